@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat
+from plumbline.llm import ann_collision, chat, simhash, topk_pivot
 from plumbline.llm.common import new_path
 
 
@@ -12,6 +12,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_topk_pivot_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_pivot.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL
+), pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.x, d.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs
+) WHERE rank <= 20
+"""
+
+
+def op5_simhash_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_ann_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_collision.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = f"{chat.END}{chat.START}assistant ok"
@@ -41,8 +67,13 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op10_chat_prefix_targets": op10_chat_prefix_targets}
+    return {
+        "op2_topk_pivot_elimination": op2_topk_pivot_elimination,
+        "op5_simhash_segment_popcount": op5_simhash_segment_popcount,
+        "op6_ann_collision_counting": op6_ann_collision_counting,
+        "op10_chat_prefix_targets": op10_chat_prefix_targets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_prefix_targets": OP10_SQL}
+    return {"op2_topk_pivot_elimination": OP2_SQL, "op10_chat_prefix_targets": OP10_SQL}

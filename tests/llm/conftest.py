@@ -1,0 +1,18 @@
+import os
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parents[2]
+sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from plumbline.session import local_session
+
+    session = local_session("llm-tests", cores="4", partitions=4)
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
