@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ann_collision, chat, simhash, topk_pivot
+from plumbline.llm import ann_collision, chat, packing, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt
 from plumbline.llm.common import new_path
 
 
@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_topk_pivot_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_pivot.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -30,6 +41,16 @@ SELECT query_id, rank, vec_id, score FROM (
 """
 
 
+def op3_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_binary.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_binary.read_digests(spark, path)
+
+
 def op5_simhash_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +59,10 @@ def op6_ann_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_collision.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_packing_swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = f"{chat.END}{chat.START}assistant ok"
@@ -68,9 +93,13 @@ FROM sized GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op1_quality_line_crf": op1_quality_line_crf,
         "op2_topk_pivot_elimination": op2_topk_pivot_elimination,
+        "op3_toxicity_boosted_trees": op3_toxicity_boosted_trees,
+        "op4_token_rans": op4_token_rans,
         "op5_simhash_segment_popcount": op5_simhash_segment_popcount,
         "op6_ann_collision_counting": op6_ann_collision_counting,
+        "op7_packing_swap_search": op7_packing_swap_search,
         "op10_chat_prefix_targets": op10_chat_prefix_targets,
     }
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
 from plumbline.llm.components import components
+from plumbline.llm.textstats import ids_of
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -65,9 +66,9 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.fromiter((fingerprint(t, shingle) for t in batch["text"]), dtype=np.int64, count=len(batch))})
+            yield pd.DataFrame({"doc_id": ids_of(batch["doc_id"]), "fp": np.fromiter((fingerprint(t, shingle) for t in batch["text"]), dtype=np.int64, count=len(batch))})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, segments: int = 16) -> DataFrame:
