@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import ann_collision, chat, packing, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt
-from plumbline.llm.common import new_path
+from plumbline.llm import ann_collision, chat, packing, pii, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt
+from plumbline.llm.common import new_path, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,16 @@ def op7_packing_swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(table(spark, sf_dir, "documents").select("doc_id", pii.candidates(F.col("text")).alias("spans")), "spans")
+    kept = pii.accepted(F.col("spans"), pii.train(found))
+    base = F.filter("kept", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", kept.alias("kept")).select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.shown(base), 256).alias("base_sha256"), pii.shown(F.col("kept")).alias("spans")
+    )
+
+
 def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = f"{chat.END}{chat.START}assistant ok"
@@ -100,6 +111,7 @@ def queries() -> dict:
         "op5_simhash_segment_popcount": op5_simhash_segment_popcount,
         "op6_ann_collision_counting": op6_ann_collision_counting,
         "op7_packing_swap_search": op7_packing_swap_search,
+        "op8_pii_weak_supervision": op8_pii_weak_supervision,
         "op10_chat_prefix_targets": op10_chat_prefix_targets,
     }
 
