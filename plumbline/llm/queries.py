@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann_collision, chat, packing, pii, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt
+from plumbline.llm import ann_collision, byte_bpe, chat, packing, pii, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt
 from plumbline.llm.common import new_path, stored
 
 
@@ -74,6 +74,13 @@ def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_byte_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return byte_bpe.digests(bpe.encode(table(spark, sf_dir, "documents")), bpe)
+
+
 def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = f"{chat.END}{chat.START}assistant ok"
@@ -112,6 +119,7 @@ def queries() -> dict:
         "op6_ann_collision_counting": op6_ann_collision_counting,
         "op7_packing_swap_search": op7_packing_swap_search,
         "op8_pii_weak_supervision": op8_pii_weak_supervision,
+        "op9_byte_bpe_fold": op9_byte_bpe_fold,
         "op10_chat_prefix_targets": op10_chat_prefix_targets,
     }
 
