@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +65,17 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     )
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(marked), "doc_id")
+
+
+def kept_by(documents: DataFrame, keep: Callable[[list[str]], np.ndarray], chars: int = 1 << 21) -> DataFrame:
+    """Rows of ``documents``, every column as it is, whose text ``keep`` marks true; null text counts as empty."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from plumbline.llm.tokens import chunks
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in chunks(texts, chars):
+                yield batch.slice(a, b - a).filter(pa.array(keep(texts[a:b]), pa.bool_()))
+
+    return documents.mapInArrow(each, documents.schema)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, training_sample
+from plumbline.llm.common import held_out, kept_by, training_sample
 from plumbline.llm.textstats import LINE_FEATURES, ids_of, line_features
 from plumbline.llm.tokens import chunks
 
@@ -192,3 +192,8 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, ma
     """doc_id, held_out, score, predicted."""
     scored = scores(documents, train(documents, labels, max_documents))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def filtered(documents: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
+    """The documents, all their columns, that reach the threshold."""
+    return kept_by(documents, lambda texts: field.score(texts) >= threshold)

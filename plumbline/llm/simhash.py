@@ -112,3 +112,22 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, segments: int = 16)
     )
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(by_fp, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+def deduplicated(documents: DataFrame, shingle: int = 3, segments: int = 16) -> DataFrame:
+    """One document of every group, that of least id, all its columns.
+
+    Rows that share a doc_id are one document, of which the row of least text
+    stays; rows with a null doc_id all stay.
+    """
+    groups = stored(near_duplicates(documents.where(F.col("doc_id").isNotNull()), shingle, segments), "groups")
+    # an id whose rows have different texts goes if any of them is in another's group
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not again.limit(1).count():
+        return left
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+    once = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in documents.columns])
+    return left.join(again, "doc_id", "left_anti").select(*documents.columns).union(once)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, training_sample
+from plumbline.llm.common import held_out, kept_by, training_sample
 from plumbline.llm.textstats import CLASSES, DIGIT, LOWER, STOP, SYMBOL, UPPER, class_table, codes_of, ids_of
 from plumbline.llm.tokens import chunks
 
@@ -257,3 +257,8 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, ma
     """doc_id, held_out, score, predicted."""
     scored = scores(documents, train(documents, labels, max_documents))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def filtered(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents, all their columns, that stay under the threshold."""
+    return kept_by(documents, lambda texts: model.score(texts) < threshold)
