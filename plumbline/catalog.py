@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.plans import series_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+ALL: dict[str, tuple[Query, str | None]] = {**series_queries.QUERIES}
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
