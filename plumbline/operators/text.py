@@ -13,7 +13,7 @@ from plumbline import vocabulary as V
 
 def term_pattern(terms: Iterable[str]) -> str:
     """One pattern for whole terms in any case."""
-    return r"(?i)(?<!\w)(?:" + "|".join(re.escape(t.strip()) for t in sorted(terms, key=len, reverse=True) if t.strip()) + r")(?!\w)"
+    return r"(?iU)(?<!\w)(?:" + "|".join(re.escape(t.strip()) for t in sorted(terms, key=len, reverse=True) if t.strip()) + r")(?!\w)"
 
 
 def categories(text: Column, lexicon: Mapping[str, Iterable[str]]) -> Column:

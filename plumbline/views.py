@@ -65,7 +65,9 @@ def money_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments of customers to suppliers, one a line item."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_extendedprice", "l_discount", "l_shipdate")
-    amount = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,2)")
+    # whole cents, so that no engine's rounding of binary fractions matters
+    cents = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("decimal(16,0)")
+    amount = (cents * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line"),
@@ -97,7 +99,7 @@ SQL = {
         UNION ALL SELECT 's' || s_suppkey, 'subsidiary_of', 'n' || s_nationkey FROM supplier
         UNION ALL SELECT 'n' || n_nationkey, 'subsidiary_of', 'r' || n_regionkey FROM nation)""",
     "flows": """flows AS (SELECT l_orderkey AS order_id, l_linenumber AS line, 'c' || o_custkey AS src, 's' || l_suppkey AS dst, l_returnflag AS currency,
-        (l_extendedprice * (1 - l_discount))::DECIMAL(18,2) AS amount, l_shipdate AS occurred_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+        (floor(l_extendedprice * (1 - l_discount) * 100)::DECIMAL(16,0) * 0.01::DECIMAL(3,2))::DECIMAL(18,2) AS amount, l_shipdate AS occurred_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
 }
 
 
