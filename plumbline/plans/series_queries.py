@@ -310,9 +310,9 @@ QUERIES = {
         CASE WHEN b.close IS NULL THEN 'unknown' WHEN (f.start_price - b.close) / b.close * 100 > 50 THEN 'bull' WHEN (f.start_price - b.close) / b.close * 100 < -50 THEN 'bear' ELSE 'range' END AS regime
         FROM (SELECT *, start_time - INTERVAL 48 HOUR AS target FROM found) f ASOF LEFT JOIN bars b ON f.instrument_key = b.instrument_key AND f.target >= b.open_time""", RETURNS_K, baseline_sql(90, 3), CANDIDATES)),
     "forecast_methods": (forecast_methods, h("SELECT instrument_key, method, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE direction_hit) AS direction_hits, round(avg(error), 4) AS mae FROM s GROUP BY 1, 2", FORECASTS)),
-    "forecast_split_selection": (forecast_split_selection, h("""SELECT instrument_key, method, n, hits, mae FROM (SELECT *, first_value(method) OVER (PARTITION BY instrument_key ORDER BY part <> 'train', hits DESC, raw, list_position(['persistence', 'linear', 'mean3'], method)) AS best FROM
+    "forecast_split_selection": (forecast_split_selection, h("""SELECT instrument_key, method, n, hits, mae FROM (SELECT *, first_value(method) OVER (PARTITION BY instrument_key ORDER BY part <> 'train', hits DESC, raw, list_position(['persistence', 'linear', 'mean3'], method)) AS best, min(part <> 'train') OVER (PARTITION BY instrument_key) AS untrained FROM
         (SELECT instrument_key, method, part, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, avg(error) AS raw, round(avg(error), 4) AS mae FROM
-        (SELECT *, CASE WHEN row_number() OVER (PARTITION BY instrument_key, method ORDER BY open_time) <= floor(count(*) OVER (PARTITION BY instrument_key, method) * 70 / 100) THEN 'train' ELSE 'test' END AS part FROM s) GROUP BY 1, 2, 3)) WHERE part = 'test' AND method = best""", FORECASTS)),
+        (SELECT *, CASE WHEN row_number() OVER (PARTITION BY instrument_key, method ORDER BY open_time) <= floor(count(*) OVER (PARTITION BY instrument_key, method) * 70 / 100) THEN 'train' ELSE 'test' END AS part FROM s) GROUP BY 1, 2, 3)) WHERE part = 'test' AND method = best AND NOT untrained""", FORECASTS)),
     "rollup_scores": (rollup_scores, h("SELECT method, coalesce(instrument_key, '(all)') AS instrument_key, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE direction_hit) AS direction_hits, round(avg(error), 4) AS mae FROM s GROUP BY GROUPING SETS ((method), (method, instrument_key))", FORECASTS)),
     "endpoint_moves_precursors": (endpoint_moves_precursors, h("""SELECT f.instrument_key, f.start_time, hours, count(*) FILTER (WHERE available_at < start_time) AS known, count(*) FILTER (WHERE NOT available_at < start_time) AS late, sum(sign(amount)) FILTER (WHERE available_at < start_time)::BIGINT AS score
         FROM (SELECT *, unnest([24, 48, 72])::INTEGER AS hours FROM found WHERE abs(change) >= 300) f JOIN obs ON occurred_at BETWEEN start_time - to_hours(hours) AND start_time GROUP BY 1, 2, 3""", RETURNS_K, baseline_sql(90, 3), CANDIDATES, "observations")),
