@@ -74,25 +74,24 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
 def links(distinct: DataFrame, segments: int = 16) -> DataFrame:
     """(a, b), a < b, such that fingerprints of column ``fp`` link at 2 or fewer bits exactly if these links connect them directly or under one value."""
     width = 64 // segments
-    mask = (1 << width) - 1
     fp = F.col("fp")
-    part = lambda v, s: F.shiftrightunsigned(v, s * width).bitwiseAND(F.lit(mask))
-    counts = F.array(*[F.bit_count(part(fp, s)) for s in range(segments)])
-    # a point is the array of counts; steps: none, one more or one less in one segment
-    steps = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(d).alias("d")) for s, d in [(-1, 0), *((s, d) for s in range(segments) for d in (-1, 1))]])
-    listed = distinct.select("fp", counts.alias("c")).select("fp", "c", F.explode(steps).alias("step"))
-    own = F.element_at(F.col("c"), F.greatest(F.col("step.s"), F.lit(0)) + 1)
-    listed = listed.where((F.col("step.s") < 0) | (own + F.col("step.d")).between(0, width))
-    moved = F.transform("c", lambda v, i: F.when(i == F.col("step.s"), v + F.col("step.d")).otherwise(v))
-    # points that share a hash only list more; values decide
-    listed = listed.select("fp", "step", F.xxhash64(moved).alias("point"))
-    met = listed.groupBy("point").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("point")
-    near = listed.join(met, "point")
+    counts = F.array(*[F.bit_count(F.shiftrightunsigned(fp, s * width).bitwiseAND(F.lit((1 << width) - 1))) for s in range(segments)])
+    # step 0 stays; step 2s + 1 takes one from segment s, step 2s + 2 adds one
+    segment, up = F.floor((F.col("step") - 1) / 2).cast("int"), F.col("step") % 2 == 0
+    listed = distinct.select("fp", counts.alias("c")).select("fp", "c", F.explode(F.sequence(F.lit(0), F.lit(2 * segments))).alias("step"))
+    own = F.element_at(F.col("c"), F.greatest(segment, F.lit(0)) + 1)
+    listed = listed.where((F.col("step") == 0) | F.when(up, own < width).otherwise(own > 0))
+    moved = F.transform("c", lambda v, i: F.when((F.col("step") > 0) & (i == segment), v + F.when(up, 1).otherwise(-1)).otherwise(v))
+    # Points that share a hash only list more; values decide. Both columns are read on either side of the
+    # join, so that one exchange serves the count and the join.
+    listed = listed.select("fp", "step", F.xxhash64(moved).alias("point")).repartition("point")
+    who = F.xxhash64("fp", "step")
+    met = listed.groupBy("point").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("point")
+    near = listed.join(met.hint("shuffle_hash"), "point")
     # the fingerprint itself, or its one-bit changes that make this step
-    at = F.col("step.s") * width
-    flips = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), at + i))
-    wanted = F.filter(flips, lambda bit: (F.col("fp").bitwiseAND(bit) == 0) == (F.col("step.d") > 0))
-    values = F.when(F.col("step.s") < 0, F.array("fp")).otherwise(F.transform(wanted, lambda bit: F.col("fp").bitwiseXOR(bit)))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), segment * width + i))
+    wanted = F.filter(flips, lambda bit: (F.col("fp").bitwiseAND(bit) == 0) == up)
+    values = F.when(F.col("step") == 0, F.array("fp")).otherwise(F.transform(wanted, lambda bit: F.col("fp").bitwiseXOR(bit)))
     value = near.select("fp", F.explode(values).alias("value"))
     groups = value.groupBy("value").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     return groups.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
