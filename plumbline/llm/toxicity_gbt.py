@@ -33,7 +33,7 @@ from plumbline.llm.common import held_out, kept_by, training_sample
 from plumbline.llm.textstats import CLASSES, DIGIT, LOWER, STOP, SYMBOL, UPPER, class_table, codes_of, ids_of
 from plumbline.llm.tokens import chunks
 
-STEM = 5
+STEMS = (5,)
 EDGES = ".,;:!?()[]{}\"'*_-#%&$|<>«»¡¿"
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner euch euer ihr sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -54,10 +54,10 @@ class Lexicon:
     stems: dict[str, float]
 
 
-def learn_lexicon(sample: DataFrame, least: int = 3, ratio: float = 6.0, max_terms: int = 4000) -> list:
+def learn_lexicon(sample: DataFrame, least: int = 3, max_terms: int = 4000) -> list:
     """Rows (term, stem, and for each fold documents with it: toxic, clean) of promising terms; at most ``max_terms``."""
     words = sample.select("fold", "y", words_of(F.col("text")).alias("w"))
-    stems = F.array_distinct(F.transform(F.filter("w", lambda w: F.length(w) > STEM), lambda w: F.substring(w, 1, STEM)))
+    stems = F.array_distinct(F.concat(*[F.transform(F.filter("w", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in STEMS]))
     terms = words.select("fold", "y", F.explode("w").alias("term"), F.lit(False).alias("stem")).union(words.select("fold", "y", F.explode(stems), F.lit(True)))
     count = lambda fold, y: F.count_if((F.col("fold") == fold) & (F.col("y") == y))
     counted = terms.groupBy("term", "stem").agg(count(0, 1).alias("t0"), count(0, 0).alias("c0"), count(1, 1).alias("t1"), count(1, 0).alias("c1"))
@@ -65,7 +65,7 @@ def learn_lexicon(sample: DataFrame, least: int = 3, ratio: float = 6.0, max_ter
     return counted.where((toxic >= least) & (toxic > clean)).orderBy(F.desc(toxic / (clean + 1)), "term", "stem").limit(max_terms).collect()
 
 
-def lexicon(rows: list, folds: tuple[int, ...], toxic_share: float, least: int = 3, ratio: float = 6.0) -> Lexicon:
+def lexicon(rows: list, folds: tuple[int, ...], toxic_share: float, least: int = 3, ratio: float = 15.0) -> Lexicon:
     words, stems = {}, {}
     prior = toxic_share / max(1 - toxic_share, 1e-6)
     for r in rows:
@@ -95,7 +95,9 @@ def features(texts: list[str], lex: Lexicon) -> np.ndarray:
         many = max(len(words), 1)
         distinct = set(words)
         hit = {w: words_in[w] for w in distinct & words_in.keys()}
-        stem = {w: stems_in[w[:STEM]] for w in distinct if w[:STEM] in stems_in and len(w) > STEM}
+        stem = {}
+        for n in STEMS:
+            stem.update((w, max(stem.get(w, 0.0), stems_in[w[:n]])) for w in distinct if w[:n] in stems_in and len(w) > n)
         places = [p for p, w in enumerate(words) if w in hit or w in stem] if hit or stem else []
         out[i, 6] = sum(words[p] in hit for p in places) / many
         out[i, 7] = sum(words[p] in stem for p in places) / many
@@ -110,7 +112,7 @@ def features(texts: list[str], lex: Lexicon) -> np.ndarray:
         out[i, 13] = len(odd) / many
         if odd:
             plain = [w.translate(LOOKALIKES) for w in distinct if INSIDE.search(w)]
-            out[i, 14] = np.log1p(sum(w in words_in or w[:STEM] in stems_in for w in plain))
+            out[i, 14] = np.log1p(sum(w in words_in or any(w[:n] in stems_in for n in STEMS) for w in plain))
         out[i, 15] = sum(w in SECOND_PERSON for w in words) / many
     return out
 
