@@ -23,9 +23,10 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import drop_stored, stored
 
-BUCKETS = 8192
+BUCKETS = 32_768
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,6 +44,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file) if a}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; expressions inside lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def java_pattern(pattern: str) -> str:
     """White space as Unicode defines it."""
     return f"(?U){pattern}"
@@ -54,53 +60,83 @@ class ByteBpe:
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            shown = token.hex().upper()
+            shown = token.decode("latin-1")
             buckets[zlib.crc32(shown.encode()) % BUCKETS][shown] = rank
             pieces[rank] = shown
         # folded to literals by the optimizer
         self.ranks = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
         self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
-    def rank(self, piece: Column) -> Column:
+    def rank(self, piece: Column, ranks: Column) -> Column:
         bucket = F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")
-        return F.try_element_at(F.get(self.ranks, bucket), piece)
+        return F.try_element_at(F.get(ranks, bucket), piece)
 
-    def fold(self, word: Column) -> Column:
+    def fold(self, word: Column, ranks: Column) -> Column:
         """Ids of one word."""
-        shown = F.hex(F.encode(word, "UTF-8"))
-        size = (F.length(shown) / 2).cast("int")
-        start = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(shown, i * 2 + 1, F.lit(2)))
-        pair_ranks = F.transform(F.sequence(F.lit(0), size - 2), lambda i: self.rank(F.substring(shown, i * 2 + 1, F.lit(4))))
+        none = F.array().cast("array<int>")
 
         def merge(acc: Column, _: Column) -> Column:
-            toks, ranks = acc["toks"], acc["ranks"]
-            least = F.array_min(ranks)
-            at = F.array_position(ranks, least).cast("int")  # from 1; pair of toks at and at + 1
-            piece = F.concat(F.get(toks, at - 1), F.get(toks, at))
-            left = F.when(at > 1, F.array(self.rank(F.concat(F.get(toks, at - 2), piece)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 1 < F.size(toks), F.array(self.rank(F.concat(piece, F.get(toks, at + 1))))).otherwise(F.array().cast("array<int>"))
-            merged = F.struct(
-                F.concat(F.slice(toks, F.lit(1), at - 1), F.array(piece), F.slice(toks, at + 2, F.size(toks))).alias("toks"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-            )
-            return F.when(least.isNull(), acc).otherwise(merged)
-
-        first = F.struct(start.alias("toks"), pair_ranks.alias("ranks"))
-        folded = F.aggregate(F.sequence(F.lit(2), size), first, merge, lambda acc: F.transform(acc["toks"], self.rank))
-        whole = self.rank(shown)
-        return F.when(whole.isNotNull(), F.array(whole)).when(size > 1, folded).otherwise(F.array().cast("array<int>"))
-
-    def encode_unit(self, unit: Column) -> Column:
-        """Ids of a unit: those of its words, one after the other."""
-        return F.flatten(F.transform(F.regexp_extract_all(unit, F.lit(self.pattern), F.lit(0)), self.fold))
+            toks, pairs = acc["toks"], acc["pairs"]
+
+            def at_pair(at: Column) -> Column:  # from 1; the pair of toks at and at + 1
+                def with_piece(piece: Column) -> Column:
+                    left = self.rank(F.concat(F.get(toks, at - 2), piece), ranks)
+                    right = self.rank(F.concat(piece, F.get(toks, at + 1)), ranks)
+                    return F.struct(
+                        F.filter(F.transform(toks, lambda t, i: F.when(i == at - 1, piece).otherwise(t)), lambda t, i: i != at).alias("toks"),
+                        F.filter(F.transform(pairs, lambda r, i: F.when(i == at - 2, left).when(i == at, right).otherwise(r)), lambda r, i: i != at - 1).alias("pairs"),
+                    )
+
+                return F.when(at.isNull(), acc).otherwise(let(F.concat(F.get(toks, at - 1), F.get(toks, at)), with_piece))
+
+            return let(F.array_position(pairs, F.array_min(pairs)).cast("int"), at_pair)
+
+        def of(shown: Column) -> Column:
+            size = F.length(shown)
+            start = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(shown, i, F.lit(1)))
+            pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: self.rank(F.substring(shown, i, F.lit(2)), ranks))
+            first = F.struct(start.alias("toks"), pairs.alias("pairs"))
+            folded = F.aggregate(F.sequence(F.lit(2), size), first, merge, lambda acc: F.transform(acc["toks"], lambda t: self.rank(t, ranks)))
+            return let(self.rank(shown, ranks), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(size > 1, folded).otherwise(none))
+
+        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
+
+    def encode_units(self, units: Column) -> Column:
+        """Ids of each unit of an array: those of its words, one after the other."""
+        words = lambda unit: F.regexp_extract_all(unit, F.lit(self.pattern), F.lit(0))
+        return let(self.ranks, lambda ranks: F.transform(units, lambda unit: F.flatten(F.transform(words(unit), lambda w: self.fold(w, ranks)))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
 
     def encode(self, documents: DataFrame, keep: int = 1 << 19) -> DataFrame:
         """doc_id, ids (array of int) of every whole text."""
-        known = self.frequent_units(documents, keep)
+        ids = lambda units: F.transform(self.encode_units(units), lambda u: F.struct(F.array_join(u.cast("array<string>"), ",").alias("a")))
+
+        def of(parts: list[tuple]) -> np.ndarray:
+            return np.array(",".join([p[0] for p in parts if p[0]]).split(","), dtype="<i4") if any(p[0] for p in parts) else np.empty(0, "<i4")
+
+        return self._by_units(documents, keep, ids, "ids array<int>", lambda made: [pa.array([of(m) for m in made], pa.list_(pa.int32()))])
+
+    def encode_digests(self, documents: DataFrame, keep: int = 1 << 19) -> DataFrame:
+        """doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined) and decoded_sha256 (bytes that the ids stand for).
+
+        A document's ids, and the bytes decoded from them, are put together unit by unit.
+        """
+        both = lambda u: F.struct(F.array_join(u.cast("array<string>"), ",").alias("a"), self.decode(u).alias("b"))
+        found = lambda units: F.transform(self.encode_units(units), both)
+
+        def of(made: list[list[tuple]]) -> list[pa.Array]:
+            ids = [",".join([p[0] for p in parts if p[0]]).encode() for parts in made]
+            sha = lambda b: hashlib.sha256(b).hexdigest()
+            decoded = [sha(b"".join([p[1] for p in parts])) for parts in made]
+            return [pa.array([x.count(b",") + 1 if x else 0 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array(decoded)]
+
+        return self._by_units(documents, keep, found, "n_tokens long, ids_sha256 string, decoded_sha256 string", of)
+
+    def _by_units(self, documents: DataFrame, keep: int, found: Callable[[Column], Column], columns: str, of: Callable[[list], list[pa.Array]]) -> DataFrame:
+        known = self.frequent_units(documents, keep, found)
         texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -113,18 +149,17 @@ class ByteBpe:
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in parts(batch):
-                    rows = zip(*(part.column(c).to_pylist() for c in ("text", "units", "unit_ids")), strict=True)
-                    ids = [join_ids(*row, known.value) for row in rows]
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
+                    own = [[tuple(x.values()) for x in row] for row in part.column("made").to_pylist()]
+                    rows = zip(part.column("text").to_pylist(), part.column("units").to_pylist(), own, strict=True)
+                    made = of([joined(text, dict(zip(units, x, strict=True)), known.value) for text, units, x in rows])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=["doc_id", *(c.split()[0] for c in columns.split(", "))])
 
         rare = texts.mapInArrow(find, f"doc_id {kind}, text string, units array<string>")
-        rare = rare.select("doc_id", "text", "units", F.transform("units", self.encode_unit).alias("unit_ids"))
-        return rare.mapInArrow(join, f"doc_id {kind}, ids array<int>")
+        rare = rare.select("doc_id", "text", "units", found(F.col("units")).alias("made"))
+        return rare.mapInArrow(join, f"doc_id {kind}, {columns}")
 
-    def frequent_units(self, documents: DataFrame, keep: int):
-        """Broadcast of at most ``keep`` units (without their space) to the bytes of their ids as 32-bit integers."""
+    def frequent_units(self, documents: DataFrame, keep: int, found: Callable[[Column], Column]):
+        """Broadcast of at most ``keep`` units (without their space) to what ``found`` makes of them."""
         spark: SparkSession = documents.sparkSession
         units = documents.select(F.explode(F.slice(F.split("text", " "), 2, 2**30)).alias("unit"))
         counted = units.where(F.col("unit").rlike(r"(?Us)^\S(?:.*\S)?$")).groupBy("unit").agg(F.count("*").alias("n")).where("n > 1")
@@ -135,9 +170,10 @@ class ByteBpe:
             if held > keep:
                 break
             least = row.n
-        rows = counted.where(F.col("n") >= least).select("unit", self.encode_unit(F.concat(F.lit(" "), "unit")).alias("ids"))
-        table = {r.unit: np.array(r.ids, dtype="<i4").tobytes() for r in rows.toLocalIterator()}
+        made = stored(counted.where(F.col("n") >= least).repartition(F.xxhash64("unit")).select("unit", F.get(found(F.array(F.concat(F.lit(" "), "unit"))), 0).alias("made")), "made")
+        table = {r.unit: tuple(r.made) for r in made.toLocalIterator()}
         drop_stored(counted)
+        drop_stored(made)
         return spark.sparkContext.broadcast(table)
 
 
@@ -158,7 +194,7 @@ def even(first: str, missing: set[str]) -> bool:
     return bool(first) and not first[-1].isspace() and not any(not w or w[0].isspace() or w[-1].isspace() for w in missing)
 
 
-def missing_units(text: str, known: dict[str, bytes]) -> set[str]:
+def missing_units(text: str, known: dict[str, tuple]) -> set[str]:
     """Units, with their spaces, whose ids are to be found in the row."""
     pieces = text.split(" ")
     new = {w for w in pieces[1:] if w not in known}
@@ -176,22 +212,11 @@ def parts(batch: pa.RecordBatch, chars: int = 1 << 22) -> Iterator[pa.RecordBatc
             yield batch.slice(a, b - a)
 
 
-def join_ids(text: str, units: list[str], ids: list[list[int]], known: dict[str, bytes]) -> np.ndarray:
-    own = {u: np.asarray(x, dtype="<i4").tobytes() for u, x in zip(units, ids, strict=True)}
+def joined(text: str, own: dict[str, tuple], known: dict[str, tuple]) -> list[tuple]:
+    """What was made of each unit of a text, in order."""
     pieces = text.split(" ")
     new = {w for w in pieces[1:] if w not in known}
     if even(pieces[0], new):
         more = {w: own[" " + w] for w in new}
-        found = b"".join([known[w] if w in known else more[w] for w in pieces[1:]])
-        return np.frombuffer(own[pieces[0]] + found, dtype="<i4")
-    return np.frombuffer(b"".join([own[u] for u in units_of(text)]), dtype="<i4")
-
-
-def digests(encoded: DataFrame, bpe: ByteBpe) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 from the ids."""
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+        return [own[pieces[0]], *[known[w] if w in known else more[w] for w in pieces[1:]]]
+    return [own[u] for u in units_of(text)]

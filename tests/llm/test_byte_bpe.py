@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from plumbline.llm import byte_bpe
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, ids string, units string"
 
@@ -33,7 +34,9 @@ def test_same_ids_as_the_library(spark, ranks, keep):
     for i, t in enumerate(rows):
         assert got[i] == library.encode_ordinary(t), repr(t[:100])
     assert got[-1] == []
-    for r in byte_bpe.digests(encoded, bpe).collect():
+    whole = {r.doc_id: bytes(r.d) for r in encoded.select("doc_id", bpe.decode(F.col("ids")).alias("d")).collect()}
+    assert all(whole[i] == t.encode() for i, t in enumerate(rows))
+    for r in bpe.encode_digests(frame, keep).collect():
         text = rows[r.doc_id] if r.doc_id >= 0 else ""
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, got[r.doc_id])).encode()).hexdigest()
