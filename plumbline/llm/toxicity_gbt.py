@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, kept_by, training_sample
+from plumbline.llm.common import held_out, kept_by, shared_dir, training_sample
 from plumbline.llm.textstats import CLASSES, DIGIT, LOWER, STOP, SYMBOL, UPPER, class_table, codes_of, ids_of
 from plumbline.llm.tokens import chunks
 
@@ -213,6 +213,7 @@ class Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_documents: int = 6000, max_terms: int = 4000) -> Model:
+    shared_dir(documents.sparkSession)
     sample = training_sample(documents, labels, "toxic", max_documents).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_documents)
     sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int")).checkpoint()
     counts = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
