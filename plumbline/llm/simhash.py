@@ -121,7 +121,8 @@ def deduplicated(documents: DataFrame, shingle: int = 3, segments: int = 16) ->
     """
     groups = stored(near_duplicates(documents.where(F.col("doc_id").isNotNull()), shingle, segments), "groups")
     # an id whose rows have different texts goes if any of them is in another's group
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    # texts are shuffled once at any size: the ids that go are no bounded table, and no sort of texts is needed
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct().hint("shuffle_hash")
     left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
     again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not again.limit(1).count():
