@@ -33,35 +33,38 @@ from plumbline.llm.textstats import ids_of
 
 
 def tokenized(documents: DataFrame, vocabulary: str, bounds: list[int]) -> DataFrame:
-    """doc_id, part, ids (deflated unsigned 16-bit ids with the end id)."""
+    """doc_id, part, ids (deflated unsigned 16-bit ids with the end id); and from each task one row of part -1 with its counts of ids."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokens.encoder(vocabulary).encode
         end = np.array([tokens.END], dtype="<u2").tobytes()
+        total = np.zeros(1 << 16, dtype="<i8")
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in tokens.chunks(texts):
                 own = ids_of(batch["doc_id"].iloc[a:b])
-                ids = [zlib.compress(x + end, 1) for x in encode(texts[a:b])]
+                ids = [x + end for x in encode(texts[a:b])]
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
                 part = np.where(own.isna(), 0, np.searchsorted(bounds, own.fillna(0).to_numpy(dtype=np.int64)))
-                yield pd.DataFrame({"doc_id": own, "part": part, "ids": ids})
+                yield pd.DataFrame({"doc_id": own, "part": part, "ids": [zlib.compress(x, 1) for x in ids]})
+        yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "part": [-1], "ids": [zlib.compress(total.tobytes(), 1)]})
 
     return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "doc_id long, part int, ids binary")
 
 
 def token_counts(ids: DataFrame) -> np.ndarray:
-    """How often each id occurs; the result is as long as the vocabulary."""
+    """How often each of 65,536 ids occurs, from the tasks' counts."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
             for x in batch["ids"]:
-                total += np.bincount(np.frombuffer(zlib.decompress(x), "<u2"), minlength=1 << 16)
+                total += np.frombuffer(zlib.decompress(x), "<i8")
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"id": seen, "n": total[seen]})
 
     counts = np.zeros(1 << 16, dtype=np.int64)
-    for row in ids.select("ids").mapInPandas(each, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in ids.where("part = -1").select("ids").mapInPandas(each, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row.id] = row.n
     return counts
 
@@ -99,7 +102,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, segment: int = 1 <<
             yield flush()
 
     (
-        ids.repartitionById(parts, F.col("part"))
+        ids.where("part >= 0").repartitionById(parts, F.col("part"))
         .sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
         .withColumn("doc_id", F.col("doc_id").cast("string"))
         .mapInPandas(each, "part int, segment int, tokens long, doc_ids array<long>, lengths array<long>, data binary")

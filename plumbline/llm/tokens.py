@@ -9,6 +9,8 @@ library for the rest in batches.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 
 END = 0
@@ -17,13 +19,15 @@ END = 0
 class PieceEncoder:
     """Ids as little-endian unsigned 16-bit bytes; the vocabulary has fewer than 65,536 ids."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep = keep
-        self.known: dict[str, bytes] = {}  # the piece without its space
+        # pieces without their space; what was not used since the last change of generation is forgotten
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         if size > 1 << 16:
             raise ValueError(f"{path} has {size} ids; 65,536 at most are supported")
@@ -48,23 +52,24 @@ class PieceEncoder:
             self.known.update((p, encoded[a:b]) for p, a, b in zip(group, bounds[:-1], bounds[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.keep:
+            self.older, self.known = self.known, {}
         split = [t.split(" ") for t in texts]
-        used = {p for pieces in split for p in pieces[1:]}
-        new = used - self.known.keys()
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = used
+        missing = set().union(*split) - self.known.keys()
+        again = missing & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        new = missing - again
         # pieces beside more white space are not encoded alone
         bare = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
         self.learn(sorted(new - bare))
         firsts = self.plain([pieces[0] for pieces in split])
-        out = []
+        ids_of, out = self.known.__getitem__, []
         for text, pieces, first in zip(texts, split, firsts, strict=True):
             head = pieces[0]
-            if bare and not bare.isdisjoint(pieces) or head and head[-1].isspace() or not head:
+            if bare and not bare.isdisjoint(pieces) or not head or head[-1].isspace():
                 out.append(self.uneven(text))
             else:
-                out.append(first + b"".join([self.known[p] for p in pieces[1:]]))
+                out.append(first + b"".join(map(ids_of, islice(pieces, 1, None))))
         return out
 
     def uneven(self, text: str) -> bytes:
@@ -82,7 +87,7 @@ class PieceEncoder:
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str, keep: int = 400_000) -> PieceEncoder:
+def encoder(path: str, keep: int = 300_000) -> PieceEncoder:
     """This worker's encoder."""
     if (path, keep) not in _encoders:
         _encoders[path, keep] = PieceEncoder(path, keep)
