@@ -9,19 +9,23 @@ library for the rest in batches.
 
 from __future__ import annotations
 
+import os
 from itertools import islice
 
 import numpy as np
 
 END = 0
+#: Stops that may follow a word; no apostrophe, which contractions begin with.
+STOPS = ".,;:!?*#%$&)"
 
 
 class PieceEncoder:
     """Ids as little-endian unsigned 16-bit bytes; the vocabulary has fewer than 65,536 ids."""
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on every core already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep = keep
@@ -34,34 +38,67 @@ class PieceEncoder:
         self.opens = np.zeros(size, dtype=bool)  # ids whose string begins with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
+        self.breaks = np.zeros(size, dtype=bool)
+        self.breaks[self.tokenizer.token_to_id("Ċ")] = True
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u2").tobytes() for e in found]
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each preceded by a space, many in one string."""
-        groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
-        for group, encoded in zip(groups, self.plain([" " + " ".join(g) for g in groups]), strict=True):
-            ids = np.frombuffer(encoded, dtype="<u2")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(group):
-                self.known.update(zip(group, self.plain([" " + p for p in group]), strict=True))
+        """Ids of pieces, each preceded by a space.
+
+        Letters, stops after them and a line break between other characters are
+        tokens apart before any merge, so their ids are found apart and joined.
+        """
+        lines = [p.partition("\n") for p in pieces if "\n" in p]
+        lines = [x for x in lines if x[0] and x[2] and not x[0][-1].isspace() and not x[2][0].isspace() and "\n" not in x[2]]
+        after = dict.fromkeys(x[2] for x in lines)
+        self.learn_whole(list(after), "\n", self.breaks, after)
+        whole = dict.fromkeys(pieces)
+        for head, _, rest in lines:
+            del whole[f"{head}\n{rest}"]
+        heads = {x[0] for x in lines if x[0] not in self.known}
+        whole.update(dict.fromkeys(heads))
+        stops = []
+        for p in [p for p in whole if not p.isalpha()]:
+            word = p.rstrip(STOPS)
+            if word.isalpha() and word != p:
+                stops.append((p, word, p[len(word) :]))
+                del whole[p]
+        whole.update(dict.fromkeys(w for _, w, _ in stops if w not in self.known))
+        self.learn_whole(list(whole), " ", self.opens, self.known)
+        tails = list({t for _, _, t in stops})
+        ids = dict(zip(tails, self.plain(tails), strict=True))
+        self.known.update((p, self.known[word] + ids[tail]) for p, word, tail in stops)
+        self.known.update((f"{head}\n{rest}", self.known[head] + after[rest]) for head, _, rest in lines)
+
+    def learn_whole(self, pieces: list[str], lead: str, starts: np.ndarray, into: dict[str, bytes]) -> None:
+        """Ids of pieces preceded by ``lead``, many in one string; ``starts`` are ids that begin with it."""
+        for first in range(0, len(pieces), 1 << 12):
+            group = pieces[first : first + (1 << 12)]
+            encoded = self.plain([lead + lead.join(group)])[0]
+            at = np.flatnonzero(starts[np.frombuffer(encoded, dtype="<u2")])
+            if len(at) != len(group):
+                into.update(zip(group, self.plain([lead + p for p in group]), strict=True))
                 continue
-            bounds = [*(starts * 2).tolist(), len(encoded)]
-            self.known.update((p, encoded[a:b]) for p, a, b in zip(group, bounds[:-1], bounds[1:], strict=True))
+            bounds = [*(at * 2).tolist(), len(encoded)]
+            into.update(zip(group, [encoded[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep:
             self.older, self.known = self.known, {}
         split = [t.split(" ") for t in texts]
-        missing = set().union(*split) - self.known.keys()
-        again = missing & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        new = missing - again
+        new = set()
+        for p in set().union(*split):
+            if p not in self.known:
+                if p in self.older:
+                    self.known[p] = self.older[p]
+                else:
+                    new.add(p)
         # pieces beside more white space are not encoded alone
         bare = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        self.learn(sorted(new - bare))
+        self.learn(list(new - bare))
         firsts = self.plain([pieces[0] for pieces in split])
         ids_of, out = self.known.__getitem__, []
         for text, pieces, first in zip(texts, split, firsts, strict=True):
@@ -87,7 +124,7 @@ class PieceEncoder:
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str, keep: int = 300_000) -> PieceEncoder:
+def encoder(path: str, keep: int = 600_000) -> PieceEncoder:
     """This worker's encoder."""
     if (path, keep) not in _encoders:
         _encoders[path, keep] = PieceEncoder(path, keep)
