@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -66,3 +67,12 @@ def test_bounded_cache_gives_the_same_ids():
     texts = [" ".join(f"w{i * j}" for i in range(50)) for j in range(30)]
     small, large = tokens.PieceEncoder(PATH, keep=60), tokens.PieceEncoder(PATH)
     assert [small.encode([t])[0] for t in texts] == large.encode(texts) == large.plain(texts)
+
+
+def test_pieces_apart_give_the_ids_of_whole_texts():
+    rng = random.Random(3)
+    parts = ["a", "Word", ".", ",", "\n", "'s", "'", "é", "12", "**", "$", "\t", "x\ny", "y.\nZ!", "日本", "²", ":)", "_", "\r\n", "!!", "<|endoftext|>", " ", "  ", "ª", "e\u0301", "\x1c", "\x85", "\u3000"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 20))) for _ in range(4000)]
+    encoder = tokens.PieceEncoder(PATH, keep=500)
+    for i in range(0, len(texts), 200):
+        assert encoder.encode(texts[i : i + 200]) == encoder.plain(texts[i : i + 200])
