@@ -1,7 +1,12 @@
 """Cases of the reviewer's findings, by planted rows and brute force."""
 
-from plumbline.operators import signals
-from plumbline.plans import report_queries
+import itertools
+
+import pytest
+from plumbline.operators import inference, signals
+from plumbline.plans import registry_queries, report_queries
+
+SF = "/root/testdata/sf0.001"
 
 DOCS = "doc_id long, lang string, source string, text string"
 
@@ -24,3 +29,25 @@ def test_nth_equals_sorting(spark):
         for place in {0, len(own) // 2, len(own) * 9 // 10}:
             assert signals.nth(rows, "v", place) == sorted(own)[place]
     assert signals.nth(rows.limit(0), "v", 0) is None
+
+
+def test_permutation_means_reads_every_order(spark):
+    made = {r.category: r for r in registry_queries.permutation_means(spark, SF).collect()}
+    full = {r.category: r for r in inference.presence(registry_queries.roles(spark, SF)).collect()}
+    assert made.keys() == full.keys()
+    for k, r in made.items():
+        assert r.difference == pytest.approx(full[k].move_share - full[k].control_share)
+        # 2,000 rounds
+        assert r.p * 2001 == pytest.approx(round(r.p * 2001))
+
+
+def test_permutation_means_agrees_with_all_labellings(spark):
+    a, b = [1.0, 5.0, 2.5, 9.0], [0.5, 1.0, 3.0, 2.5, 2.5, 4.0]
+    rows = [("x", "move", v) for v in a] + [("x", "control", v) for v in b] + [("x", "move", None), ("y", "move", 1.0), ("y", "control", 2.0)]
+    values = spark.createDataFrame(rows, "category string, role string, value double")
+    made = {r.category: r for r in inference.permutation_means(values).collect()}
+    gap = lambda own: sum(own) / 4 - (sum(a + b) - sum(own)) / 6
+    every = [abs(gap(own)) >= abs(gap(a)) - 1e-12 for own in itertools.combinations(a + b, 4)]
+    exact = sum(every) / len(every)
+    assert made["x"].difference == pytest.approx(gap(a)) and abs(made["x"].p - exact) < 4 * (exact * (1 - exact) / 2000) ** 0.5 + 1e-3
+    assert made["y"].difference is None and made["y"].p is None
