@@ -173,6 +173,11 @@ def flow_top_counterparties(spark: SparkSession, d: str) -> DataFrame:
     return flows.top_counterparties(money_flows(spark, d).where("dst IN ('s1', 's2', 's3')"), 3).withColumn("total", F.col("total").cast("double"))
 
 
+def flow_top_counterparties_all(spark: SparkSession, d: str) -> DataFrame:
+    """The three largest partners of every entity, over all flows."""
+    return flows.top_counterparties(money_flows(spark, d), 3).withColumn("total", F.col("total").cast("double"))
+
+
 def flow_attribution(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").where(F.col("o_totalprice") > 300_000).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("at"))
     made = flows.attribute(o, money_flows(spark, d), 24)
@@ -446,6 +451,8 @@ QUERIES = {
     "flow_summary": (flow_summary, with_views("flows", """sides AS (SELECT dst AS entity, currency, amount AS i, 0::DECIMAL(18,2) AS o FROM flows UNION ALL SELECT src, currency, 0, amount FROM flows)""", body="SELECT entity, currency, sum(i)::DOUBLE AS inflow, sum(o)::DOUBLE AS outflow, (sum(i) - sum(o))::DOUBLE AS net, count(*) AS n FROM sides GROUP BY 1, 2")),
     "flow_top_counterparties": (flow_top_counterparties, with_views("flows", """sides AS (SELECT dst AS entity, src AS partner, currency, amount FROM flows WHERE dst IN ('s1', 's2', 's3') UNION ALL SELECT src, dst, currency, amount FROM flows WHERE dst IN ('s1', 's2', 's3')),
         totals AS (SELECT entity, currency, partner, sum(amount)::DECIMAL(28,2) AS total FROM sides GROUP BY 1, 2, 3)""", body="SELECT entity, partner, currency, total::DOUBLE AS total, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity, currency ORDER BY total DESC, partner DESC)::INTEGER AS rank FROM totals) WHERE rank <= 3")),
+    "flow_top_counterparties_all": (flow_top_counterparties_all, with_views("flows", """sides AS (SELECT dst AS entity, src AS partner, currency, amount FROM flows UNION ALL SELECT src, dst, currency, amount FROM flows),
+        totals AS (SELECT entity, currency, partner, sum(amount)::DECIMAL(28,2) AS total FROM sides GROUP BY 1, 2, 3)""", body="SELECT entity, partner, currency, total::DOUBLE AS total, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity, currency ORDER BY total DESC, partner DESC)::INTEGER AS rank FROM totals) WHERE rank <= 3")),
     "flow_attribution": (flow_attribution, with_views("flows", body="""SELECT o_orderkey AS event_id, count(*) AS flows, sum(amount)::DOUBLE AS amount, round(sum(CASE WHEN h <= 1 THEN 0.9 WHEN h <= 6 THEN 0.6 WHEN h <= 24 THEN 0.3 ELSE 0.1 END::DOUBLE), 4) AS score
         FROM (SELECT o_orderkey, amount, (epoch_us(occurred_at) - epoch_us(o_orderdate)) / 3.6e9 AS h FROM (SELECT * FROM orders WHERE o_totalprice > 300000) JOIN flows ON occurred_at BETWEEN o_orderdate AND o_orderdate + INTERVAL 24 HOUR) GROUP BY 1""")),
     "event_graph": (event_graph, with_views("observations", GRAPH, body="SELECT a, b, strength, relation, round(hours, 4) AS hours FROM g")),

@@ -51,3 +51,17 @@ def test_permutation_means_agrees_with_all_labellings(spark):
     exact = sum(every) / len(every)
     assert made["x"].difference == pytest.approx(gap(a)) and abs(made["x"].p - exact) < 4 * (exact * (1 - exact) / 2000) ** 0.5 + 1e-3
     assert made["y"].difference is None and made["y"].p is None
+
+
+def test_top_counterparties_of_every_entity(spark):
+    rows = [(r.src, r.dst, r.currency, r.amount) for r in registry_queries.money_flows(spark, SF).collect()]
+    totals = {}
+    for src, dst, currency, amount in rows:
+        for own in ((dst, currency, src), (src, currency, dst)):
+            totals[own] = totals.get(own, 0) + amount
+    ranked = {}
+    for (entity, currency, partner), total in totals.items():
+        ranked.setdefault((entity, currency), []).append((total, partner))
+    want = {(*k, i + 1, partner) for k, own in ranked.items() for i, (_, partner) in enumerate(sorted(own, reverse=True)[:3])}
+    made = registry_queries.flow_top_counterparties_all(spark, SF).collect()
+    assert {(r.entity, r.currency, r.rank, r.partner) for r in made} == want and len(made) == len(want)
