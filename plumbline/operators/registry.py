@@ -101,6 +101,31 @@ def duplicates(entities: DataFrame) -> DataFrame:
     return pairs.select(F.col("head.key").alias("a"), F.col("key").alias("b"), reason.alias("reason"))
 
 
+def fuzzy_links(entities: DataFrame, tenths: int = 6) -> DataFrame:
+    """All links (a, b, score) of names whose token overlap coefficient is ``tenths`` / 10 or more.
+
+    Columns key and name. Keys of one token set are linked to the least of them,
+    with score 1, and the least keys of two sets that match are linked with the
+    sets' score: every matching pair of names is in these rows, without a row for
+    each. Of two sets the smaller has one of its n - ceil(tenths n / 10) + 1
+    rarest tokens in the other, so sets meet only on those.
+    """
+    named = entities.select("key", F.array_sort(name_tokens(F.col("name"))).alias("toks")).where(F.size("toks") > 0)
+    sets = named.groupBy("toks").agg(F.min("key").alias("head"), F.size("toks").alias("n")).select("head", "toks", "n")
+    listed = sets.select("head", "n", F.explode("toks").alias("tok"))
+    rarity = listed.groupBy("tok").agg(F.count("*").alias("often"))
+    placed = listed.join(rarity, "tok").groupBy("head", "n").agg(F.sort_array(F.collect_list(F.struct("often", "tok"))).alias("own"))
+    first = F.slice("own", F.lit(1), F.col("n") - F.ceil(F.col("n") * tenths / 10).cast("int") + 1)
+    few = placed.select(F.col("head").alias("x"), F.col("n").alias("nx"), F.explode(first).alias("t")).select("x", "nx", F.col("t.tok").alias("tok"))
+    met = few.join(listed.select(F.col("head").alias("y"), F.col("n").alias("ny"), "tok"), "tok")
+    met = met.where("nx < ny OR nx = ny AND x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda key, toks: sets.select(F.col("head").alias(key), F.col("toks").alias(toks))
+    both = met.join(side("a", "ta"), "a").join(side("b", "tb"), "b").withColumn("n", F.size(F.array_intersect("ta", "tb"))).withColumn("least", F.least(F.size("ta"), F.size("tb")))
+    matched = both.where(F.col("n") * 10 >= F.col("least") * tenths).select("a", "b", (F.col("n") / F.col("least")).alias("score"))
+    same = named.join(sets.select("toks", "head"), "toks").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("score"))
+    return matched.union(same)
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     """Pairs (a, b, score) of names whose token overlap coefficient is at least ``least``.
 

@@ -109,6 +109,11 @@ def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
     return registry.fuzzy_matches(left, right).select("a", "b", r4("score"))
 
 
+def fuzzy_links(spark: SparkSession, d: str) -> DataFrame:
+    """All part names against all."""
+    return registry.fuzzy_links(part_names(spark, d)).select("a", "b", r4("score"))
+
+
 def watchlist_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers with a number that a customer of the same country has in its name, not linked yet."""
     e = entities(spark, d).withColumn("digits", F.regexp_extract("name", r"(\d+)", 1))
@@ -439,6 +444,8 @@ QUERIES = {
         SELECT head AS a, key AS b, CASE WHEN p_brand = brand THEN 'name_country' ELSE 'name' END AS reason FROM n JOIN h USING (norm) WHERE key > head"""),
     "fuzzy_candidates": (fuzzy_candidates, f"""WITH t AS (SELECT p_partkey, {TOKENS} AS toks FROM part), p AS (SELECT 'p' || a.p_partkey AS a, 'p' || b.p_partkey AS b, len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks)) AS score FROM t a JOIN t b ON a.p_partkey % 10 = 1 AND b.p_partkey % 10 = 2)
         SELECT a, b, round(score, 4) AS score FROM p WHERE score >= 0.6"""),
+    "fuzzy_links": (fuzzy_links, f"""WITH t AS (SELECT 'p' || p_partkey AS key, list_sort({TOKENS}) AS toks FROM part), h AS (SELECT toks, min(key) AS head FROM t GROUP BY 1), p AS (SELECT a.head AS a, b.head AS b, len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks)) AS score FROM h a JOIN h b ON a.head < b.head)
+        SELECT a, b, round(score, 4) AS score FROM p WHERE score >= 0.6 UNION ALL SELECT head, key, 1.0 FROM t JOIN h USING (toks) WHERE key <> head"""),
     "watchlist_candidates": (watchlist_candidates, with_views("entities", body="SELECT b.key AS listing, c.key AS entity FROM entities b JOIN entities c ON b.kind = 'bank' AND c.kind = 'company' AND regexp_extract(b.name, '(\\d+)', 1) = regexp_extract(c.name, '(\\d+)', 1) WHERE substr(c.key, 2)::BIGINT % 3 <> 0")),
     "alias_resolution": (alias_resolution, with_views("flows", body="SELECT CASE WHEN substr(dst, 2)::BIGINT % 10 = 5 THEN 's' || (substr(dst, 2)::BIGINT - 1) ELSE dst END AS dst, count(*) AS n, sum(amount)::DOUBLE AS total FROM flows GROUP BY 1")),
     "delisted": (delisted, with_views("entities", "flows", body="SELECT key FROM entities WHERE kind = 'bank' AND key NOT IN (SELECT dst FROM flows WHERE occurred_at >= '2001-11-20')")),

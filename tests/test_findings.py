@@ -1,9 +1,10 @@
 """Cases of the reviewer's findings, by planted rows and brute force."""
 
 import itertools
+import random
 
 import pytest
-from plumbline.operators import inference, signals
+from plumbline.operators import inference, registry, signals
 from plumbline.plans import registry_queries, report_queries
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +66,19 @@ def test_top_counterparties_of_every_entity(spark):
     want = {(*k, i + 1, partner) for k, own in ranked.items() for i, (_, partner) in enumerate(sorted(own, reverse=True)[:3])}
     made = registry_queries.flow_top_counterparties_all(spark, SF).collect()
     assert {(r.entity, r.currency, r.rank, r.partner) for r in made} == want and len(made) == len(want)
+
+
+def test_fuzzy_links_cover_all_pairs(spark):
+    rng = random.Random(6)
+    names = [" ".join(rng.choices("abcdefghij", k=rng.randrange(1, 7))) + (" common" if i % 2 else "") for i in range(90)] + ["", None]
+    frame = spark.createDataFrame([(f"k{i:03d}", n) for i, n in enumerate(names)], "key string, name string")
+    made = [tuple(r) for r in registry.fuzzy_links(frame).collect()]
+    own = {f"k{i:03d}": frozenset((n or "").split()) for i, n in enumerate(names)}
+    head = {}
+    for k in sorted(own):
+        head.setdefault(own[k], k)
+    want = {(head[s], k, 1.0) for k, s in own.items() if s and head[s] != k}
+    for x, y in itertools.combinations(sorted(k for s, k in head.items() if s), 2):
+        score = len(own[x] & own[y]) / min(len(own[x]), len(own[y]))
+        want |= {(x, y, score)} if score >= 0.6 else set()
+    assert len(made) == len(set(made)) and set(made) == want
