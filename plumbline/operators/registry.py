@@ -101,6 +101,28 @@ def duplicates(entities: DataFrame) -> DataFrame:
     return pairs.select(F.col("head.key").alias("a"), F.col("key").alias("b"), reason.alias("reason"))
 
 
+def duplicate_links(entities: DataFrame) -> DataFrame:
+    """Links (a, b, reason) of keys that may be one firm: same LEI, name and country, or name; the strongest of each pair.
+
+    Columns key, name, country and, if known, lei. Each class of one LEI, of one
+    name and country, and of one name is linked to its least key, so that a class
+    of n members gives n - 1 rows; empty LEIs and countries are not equal.
+    """
+    some = lambda c: F.when(F.trim(c) != "", c)
+    lei = some(F.upper(F.trim("lei"))) if "lei" in entities.columns else F.lit(None).cast("string")
+    named = entities.select("key", F.struct(lei.alias("lei"), normalize_name(F.col("name")).alias("norm"), some(F.col("country")).alias("country")).alias("own"))
+    rules = {"lei": F.col("own.lei"), "name_country": F.when(F.col("own.norm").isNotNull() & F.col("own.country").isNotNull(), F.struct("own.norm", "own.country")), "name": F.col("own.norm")}
+    reason = F.when(F.col("own.lei") == F.col("head.own.lei"), "lei")
+    reason = reason.when((F.col("own.norm") == F.col("head.own.norm")) & (F.col("own.country") == F.col("head.own.country")), "name_country").otherwise("name")
+    found = None
+    for shared in rules.values():
+        held = named.select("key", "own", shared.alias("class")).where("class IS NOT NULL")
+        heads = held.groupBy("class").agg(F.min_by(F.struct("key", "own"), "key").alias("head"), F.count("*").alias("n")).where("n > 1")
+        star = held.join(heads, "class").where(F.col("key") > F.col("head.key")).select(F.col("head.key").alias("a"), F.col("key").alias("b"), reason.alias("reason"))
+        found = star if found is None else found.union(star)
+    return found.distinct()
+
+
 def fuzzy_links(entities: DataFrame, tenths: int = 6) -> DataFrame:
     """All links (a, b, score) of names whose token overlap coefficient is ``tenths`` / 10 or more.
 

@@ -103,6 +103,10 @@ def duplicate_candidates(spark: SparkSession, d: str) -> DataFrame:
     return registry.duplicates(part_names(spark, d))
 
 
+def duplicate_links(spark: SparkSession, d: str) -> DataFrame:
+    return registry.duplicate_links(part_names(spark, d))
+
+
 def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
     named = part_names(spark, d)
     left, right = named.where("CAST(substr(key, 2) AS BIGINT) % 10 = 1"), named.where("CAST(substr(key, 2) AS BIGINT) % 10 = 2")
@@ -442,6 +446,9 @@ QUERIES = {
     "entity_neighbourhood": (entity_neighbourhood, with_views("edges", body="SELECT src AS key, 'out' AS dir, rel, dst AS other FROM edges WHERE src IN ('n3', 'n7') UNION ALL SELECT dst, 'in', rel, src FROM edges WHERE dst IN ('n3', 'n7')")),
     "duplicate_candidates": (duplicate_candidates, """WITH n AS (SELECT 'p' || p_partkey AS key, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS norm, p_brand FROM part), h AS (SELECT norm, min(key) AS head, arg_min(p_brand, key) AS brand FROM n GROUP BY 1)
         SELECT head AS a, key AS b, CASE WHEN p_brand = brand THEN 'name_country' ELSE 'name' END AS reason FROM n JOIN h USING (norm) WHERE key > head"""),
+    "duplicate_links": (duplicate_links, """WITH n AS (SELECT 'p' || p_partkey AS key, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS norm, p_brand FROM part), s AS (SELECT *, min(key) OVER (PARTITION BY norm) AS x, min(key) OVER (PARTITION BY norm, p_brand) AS y FROM n),
+        l AS (SELECT x AS a, key AS b FROM s UNION SELECT y, key FROM s)
+        SELECT a, b, CASE WHEN p.p_brand = q.p_brand THEN 'name_country' ELSE 'name' END AS reason FROM l JOIN n p ON p.key = a JOIN n q ON q.key = b WHERE a <> b"""),
     "fuzzy_candidates": (fuzzy_candidates, f"""WITH t AS (SELECT p_partkey, {TOKENS} AS toks FROM part), p AS (SELECT 'p' || a.p_partkey AS a, 'p' || b.p_partkey AS b, len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks)) AS score FROM t a JOIN t b ON a.p_partkey % 10 = 1 AND b.p_partkey % 10 = 2)
         SELECT a, b, round(score, 4) AS score FROM p WHERE score >= 0.6"""),
     "fuzzy_links": (fuzzy_links, f"""WITH t AS (SELECT 'p' || p_partkey AS key, list_sort({TOKENS}) AS toks FROM part), h AS (SELECT toks, min(key) AS head FROM t GROUP BY 1), p AS (SELECT a.head AS a, b.head AS b, len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks)) AS score FROM h a JOIN h b ON a.head < b.head)

@@ -82,3 +82,10 @@ def test_fuzzy_links_cover_all_pairs(spark):
         score = len(own[x] & own[y]) / min(len(own[x]), len(own[y]))
         want |= {(x, y, score)} if score >= 0.6 else set()
     assert len(made) == len(set(made)) and set(made) == want
+
+
+def test_duplicate_links_keep_every_strong_link(spark):
+    rows = [("a", "Acme", "X", ""), ("b", "ACME", "Y", "L1"), ("c", "acme ", "Y", None), ("d", "Other", "Z", "l1 "), ("e", "Bare", "", ""), ("f", "bare", "", ""), ("g", None, "X", None)]
+    frame = spark.createDataFrame(rows, "key string, name string, country string, lei string")
+    made = sorted(tuple(r) for r in registry.duplicate_links(frame).collect())
+    assert made == [("a", "b", "name"), ("a", "c", "name"), ("b", "c", "name_country"), ("b", "d", "lei"), ("e", "f", "name")]
