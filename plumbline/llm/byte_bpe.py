@@ -3,15 +3,20 @@
 A distinct word is a match of the split pattern. Its UTF-8 bytes become an array
 of one-byte pieces, and a fold merges the adjacent pair of least rank, leftmost
 first, until none has a rank; ranks of pairs are carried along, so a merge looks
-up two new ones. Pieces are written in hexadecimal, and the rank map is a
-literal: an array of small maps picked by the crc32 of the key, since Spark
-looks up map keys one after the other.
-
-Texts are cut into units before single spaces that stand between two other
-characters, where the pattern always cuts, and units repeat far more often than
-texts. The most frequent ``keep`` units of the corpus, counted over all
-documents, are folded once and broadcast (their number is the bound); the other
-units of a document are folded in its own row. So nothing is shuffled but counts.
+up two new ones. A byte is written as the Latin-1 character of its value, and the
+rank map is a literal: an array of small maps picked by the crc32 of the key,
+since Spark looks up map keys one after the other.
+
+Every distinct word is folded once. A task splits its texts into words and writes
+them in chunks of about ``chars`` characters: each distinct word of the chunk with
+its place in the chunk's list, and the texts as places in that list. Words of all
+chunks are grouped, folded, and their ids go back to their chunks by shuffle, where
+texts become ids. Nothing is broadcast or collected. A word is in a chunk's list
+once, so the most frequent word has one row a chunk; groups hold the chunks of
+4,096 tasks at most, and beyond those a word is folded once for each such group.
+
+Texts are first cut before single spaces that stand between two other characters,
+where the pattern always cuts; what stands between two cuts is split once a chunk.
 Decoding looks up each id's bytes in a literal array and concatenates them.
 
 Defined cases: null text is empty and has no ids; a word of n bytes costs up to
@@ -23,20 +28,21 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import drop_stored, stored
+from plumbline.llm.common import stored
 
 BUCKETS = 32_768
+#: The places of a word in the chunks of 2**12 tasks are gathered in one row.
+GROUP_BITS = 12
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,14 +55,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def java_pattern(pattern: str) -> str:
-    """White space as Unicode defines it."""
-    return f"(?U){pattern}"
-
-
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.pattern = java_pattern(pattern)
+        self.split_pattern = pattern
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -101,84 +102,52 @@ class ByteBpe:
 
         return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
 
-    def encode_units(self, units: Column) -> Column:
-        """Ids of each unit of an array: those of its words, one after the other."""
-        words = lambda unit: F.regexp_extract_all(unit, F.lit(self.pattern), F.lit(0))
-        return let(self.ranks, lambda ranks: F.transform(units, lambda unit: F.flatten(F.transform(words(unit), lambda w: self.fold(w, ranks)))))
-
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
         return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
 
-    def encode(self, documents: DataFrame, keep: int = 1 << 19) -> DataFrame:
+    def encode(self, documents: DataFrame, chars: int = 1 << 25) -> DataFrame:
         """doc_id, ids (array of int) of every whole text."""
-        ids = lambda units: F.transform(self.encode_units(units), lambda u: F.struct(F.array_join(u.cast("array<string>"), ",").alias("a")))
-
-        def of(parts: list[tuple]) -> np.ndarray:
-            return np.array(",".join([p[0] for p in parts if p[0]]).split(","), dtype="<i4") if any(p[0] for p in parts) else np.empty(0, "<i4")
-
-        return self._by_units(documents, keep, ids, "ids array<int>", lambda made: [pa.array([of(m) for m in made], pa.list_(pa.int32()))])
-
-    def encode_digests(self, documents: DataFrame, keep: int = 1 << 19) -> DataFrame:
-        """doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined) and decoded_sha256 (bytes that the ids stand for).
-
-        A document's ids, and the bytes decoded from them, are put together unit by unit.
-        """
-        both = lambda u: F.struct(F.array_join(u.cast("array<string>"), ",").alias("a"), self.decode(u).alias("b"))
-        found = lambda units: F.transform(self.encode_units(units), both)
-
-        def of(made: list[list[tuple]]) -> list[pa.Array]:
-            ids = [",".join([p[0] for p in parts if p[0]]).encode() for parts in made]
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            decoded = [sha(b"".join([p[1] for p in parts])) for parts in made]
-            return [pa.array([x.count(b",") + 1 if x else 0 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array(decoded)]
-
-        return self._by_units(documents, keep, found, "n_tokens long, ids_sha256 string, decoded_sha256 string", of)
-
-    def _by_units(self, documents: DataFrame, keep: int, found: Callable[[Column], Column], columns: str, of: Callable[[list], list[pa.Array]]) -> DataFrame:
-        known = self.frequent_units(documents, keep, found)
-        texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        kind = documents.schema["doc_id"].dataType.simpleString()
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in parts(batch):
-                    units = [sorted(missing_units(t, known.value)) for t in part.column("text").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(units, pa.list_(pa.string()))], names=["doc_id", "text", "units"])
-
-        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in parts(batch):
-                    own = [[tuple(x.values()) for x in row] for row in part.column("made").to_pylist()]
-                    rows = zip(part.column("text").to_pylist(), part.column("units").to_pylist(), own, strict=True)
-                    made = of([joined(text, dict(zip(units, x, strict=True)), known.value) for text, units, x in rows])
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=["doc_id", *(c.split()[0] for c in columns.split(", "))])
-
-        rare = texts.mapInArrow(find, f"doc_id {kind}, text string, units array<string>")
-        rare = rare.select("doc_id", "text", "units", found(F.col("units")).alias("made"))
-        return rare.mapInArrow(join, f"doc_id {kind}, {columns}")
-
-    def frequent_units(self, documents: DataFrame, keep: int, found: Callable[[Column], Column]):
-        """Broadcast of at most ``keep`` units (without their space) to what ``found`` makes of them."""
-        spark: SparkSession = documents.sparkSession
-        units = documents.select(F.explode(F.slice(F.split("text", " "), 2, 2**30)).alias("unit"))
-        counted = units.where(F.col("unit").rlike(r"(?Us)^\S(?:.*\S)?$")).groupBy("unit").agg(F.count("*").alias("n")).where("n > 1")
-        counted = stored(counted, "units")
-        least, held = 1 << 30, 0
-        for row in counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect():
-            held += row.units
-            if held > keep:
-                break
-            least = row.n
-        made = stored(counted.where(F.col("n") >= least).repartition(F.xxhash64("unit")).select("unit", F.get(found(F.array(F.concat(F.lit(" "), "unit"))), 0).alias("made")), "made")
-        table = {r.unit: tuple(r.made) for r in made.toLocalIterator()}
-        drop_stored(counted)
-        drop_stored(made)
-        return spark.sparkContext.broadcast(table)
+        kind, pattern = documents.schema["doc_id"].dataType.simpleString(), self.split_pattern
+        split = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+            lambda batches: chunked(batches, pattern, chars), f"chunk long, place int, word string, doc_ids array<{kind}>, sizes array<int>, codes binary"
+        )
+        split = stored(split, "words")
+        places = split.where(F.col("word").isNotNull()).select("word", F.shiftright("chunk", 24 + GROUP_BITS).alias("part"), F.struct("chunk", "place").alias("at"))
+        folded = let(self.ranks, lambda ranks: self.fold(F.col("word"), ranks)).alias("ids")
+        words = places.repartition("word", "part").groupBy("word", "part").agg(F.collect_list("at").alias("at")).select("at", folded)
+        words = words.select("ids", F.inline("at")).select("chunk", "place", "ids")
+        texts = split.where(F.col("codes").isNotNull()).select("chunk", "doc_ids", "sizes", "codes")
+        return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(put_together, f"doc_id {kind}, ids array<int>")
+
+    def digests(self, encoded: DataFrame) -> DataFrame:
+        """doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined) and decoded_sha256 (bytes that the ids stand for)."""
+        shown = F.array_join(F.col("ids").cast("array<string>"), ",")
+        return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown.cast("binary"), 256).alias("ids_sha256"), F.sha2(self.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+class Words(dict):
+    """Places of the words of a piece of text, as bytes, found once; ``listed`` holds the words in order of place."""
+
+    def __init__(self, find: Callable[[str], list[str]], lead: str, listed: dict[str, bytes]) -> None:
+        self.find, self.lead, self.listed = find, lead, listed
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if self.lead and (not piece or piece[0].isspace() or piece[-1].isspace()):
+            self[piece] = None  # white space beside a space is not cut
+            return None
+        places = []
+        for word in self.find(self.lead + piece):
+            place = self.listed.get(word)
+            if place is None:
+                place = self.listed[word] = len(self.listed).to_bytes(4, "little")
+            places.append(place)
+        self[piece] = made = b"".join(places)
+        return made
 
 
 def units_of(text: str) -> list[str]:
-    """Units with their spaces; white space beside a space keeps it inside a unit."""
+    """Parts between cuts, spaces included; white space beside a space keeps it inside a part."""
     units, run = [], []
     for piece in text.split(" "):
         if run and run[-1] and not run[-1][-1].isspace() and piece and not piece[0].isspace():
@@ -189,34 +158,81 @@ def units_of(text: str) -> list[str]:
     return [units[0], *(" " + u for u in units[1:])]
 
 
-def even(first: str, missing: set[str]) -> bool:
-    """Whether every single space of a text is a cut; known units never have white space at their edges."""
-    return bool(first) and not first[-1].isspace() and not any(not w or w[0].isspace() or w[-1].isspace() for w in missing)
-
-
-def missing_units(text: str, known: dict[str, tuple]) -> set[str]:
-    """Units, with their spaces, whose ids are to be found in the row."""
-    pieces = text.split(" ")
-    new = {w for w in pieces[1:] if w not in known}
-    if even(pieces[0], new):
-        return {pieces[0], *(" " + w for w in new)}
-    return set(units_of(text))
-
-
-def parts(batch: pa.RecordBatch, chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``chars`` bytes of text, one row at least."""
-    size = np.cumsum(pa.compute.binary_length(batch.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False)) // chars
-    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
-def joined(text: str, own: dict[str, tuple], known: dict[str, tuple]) -> list[tuple]:
-    """What was made of each unit of a text, in order."""
-    pieces = text.split(" ")
-    new = {w for w in pieces[1:] if w not in known}
-    if even(pieces[0], new):
-        more = {w: own[" " + w] for w in new}
-        return [own[pieces[0]], *[known[w] if w in known else more[w] for w in pieces[1:]]]
-    return [own[u] for u in units_of(text)]
+def chunked(batches: Iterator[pa.RecordBatch], pattern: str, chars: int, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of words (chunk, place, word) and of blocks of texts (chunk, doc_ids, sizes, codes); numbers of chunks are the task's."""
+    import regex
+
+    find, own = regex.compile(pattern).findall, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+    number = held = 0
+    kind = pa.int64()
+    codec = pa.Codec("zstd", 3)
+
+    def fresh() -> tuple[dict, Words, Words]:
+        listed: dict[str, bytes] = {}
+        return listed, Words(find, " ", listed), Words(find, "", listed)
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        types = {"place": pa.int32(), "word": pa.string(), "doc_ids": pa.list_(kind), "sizes": pa.list_(pa.int32()), "codes": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, own + number)), *[columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()]], names=["chunk", *types])
+
+    def texts_row(ids: list, codes: list[bytes]) -> pa.RecordBatch:
+        packed = codec.compress(b"".join(codes), asbytes=True)
+        sizes = [len(c) // 4 for c in codes]
+        return rows(1, doc_ids=pa.array([ids], pa.list_(kind)), sizes=pa.array([sizes], pa.list_(pa.int32())), codes=pa.array([sum(sizes).to_bytes(8, "little") + packed], pa.binary()))
+
+    def words_rows() -> Iterator[pa.RecordBatch]:
+        words = list(listed)
+        for a in range(0, len(words), 1 << 16):
+            part = words[a : a + (1 << 16)]
+            yield rows(len(part), place=pa.array(np.arange(a, a + len(part), dtype=np.int32)), word=pa.array(part, pa.string()))
+
+    listed, after_space, whole = fresh()
+    for batch in batches:
+        kind = batch.column("doc_id").type
+        ids: list = []
+        codes: list[bytes] = []
+        size = 0
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            first, *rest = text.split(" ")
+            try:
+                if not first or first[-1].isspace():
+                    raise TypeError
+                code = whole[first] + b"".join(map(after_space.__getitem__, rest))
+            except TypeError:
+                code = b"".join([whole[u] for u in units_of(text)])
+            ids.append(doc_id)
+            codes.append(code)
+            size += len(code)
+            held += len(text)
+            if size > 4 * block or held > chars:
+                yield texts_row(ids, codes)
+                ids, codes, size = [], [], 0
+            if held > chars:
+                yield from words_rows()
+                listed, after_space, whole = fresh()
+                number, held = number + 1, 0
+        if ids:
+            yield texts_row(ids, codes)
+    yield from words_rows()
+
+
+def put_together(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+    """Ids of the texts of a chunk from the ids of its words."""
+    texts, words = texts.combine_chunks(), words.combine_chunks()
+    made = []
+    order = np.argsort(words.column("place").to_numpy())
+    found = words.column("ids").combine_chunks().take(pa.array(order))
+    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+    starts = found.offsets.to_numpy().astype(np.int64)
+    flat, length = found.values.to_numpy(zero_copy_only=False), np.diff(starts)
+    codec = pa.Codec("zstd")
+    for row in range(texts.num_rows):
+        packed, sizes = texts.column("codes")[row].as_buffer(), texts.column("sizes")[row].values.to_numpy()
+        codes = np.frombuffer(codec.decompress(packed[8:], 4 * int.from_bytes(packed[:8], "little")), "<u4")
+        each = length[codes] if len(codes) else np.empty(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])] if len(codes) else np.empty(0, np.int32)
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        made.append(pa.table({"doc_id": texts.column("doc_ids")[row].values, "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))}))
+    kind = texts.schema.field("doc_ids").type.value_type
+    return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], kind), "ids": pa.array([], pa.list_(pa.int32()))})

@@ -78,7 +78,7 @@ def op9_byte_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
-    return bpe.encode_digests(table(spark, sf_dir, "documents"))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
 def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,26 +23,34 @@ def texts():
     return [*out, "", " ", "w" * 3000, "the quick brown fox " * 2000, "ab" * 400 + " x", " lead", "trail "]
 
 
-@pytest.mark.parametrize("keep", [0, 40, 1 << 19])
-def test_same_ids_as_the_library(spark, ranks, keep):
+@pytest.mark.parametrize("chars", [0, 500, 1 << 25])
+def test_same_ids_as_the_library(spark, ranks, chars):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
     rows = texts()
     frame = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)] + [(-1, None, "", "")], SCHEMA)
-    encoded = bpe.encode(frame, keep)
+    encoded = bpe.encode(frame, chars)
     got = {r.doc_id: r.ids for r in encoded.collect()}
     for i, t in enumerate(rows):
         assert got[i] == library.encode_ordinary(t), repr(t[:100])
     assert got[-1] == []
     whole = {r.doc_id: bytes(r.d) for r in encoded.select("doc_id", bpe.decode(F.col("ids")).alias("d")).collect()}
     assert all(whole[i] == t.encode() for i, t in enumerate(rows))
-    for r in bpe.encode_digests(frame, keep).collect():
+    for r in bpe.digests(bpe.encode(frame, chars)).collect():
         text = rows[r.doc_id] if r.doc_id >= 0 else ""
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, got[r.doc_id])).encode()).hexdigest()
         assert r.n_tokens == len(got[r.doc_id])
 
 
+def test_repeated_rows_and_ids(spark, ranks):
+    bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
+    frame = spark.createDataFrame([(i % 3 if i % 4 else None, "same words, twice  over") for i in range(40)], "doc_id long, text string")
+    got = bpe.encode(frame.repartition(5), 60).collect()
+    assert len(got) == 40 and len({tuple(r.ids) for r in got}) == 1
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i % 3 if i % 4 else None) for i in range(40))
+
+
 def test_empty_table(spark, ranks):
     bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
     assert bpe.encode(spark.createDataFrame([], SCHEMA)).collect() == []
