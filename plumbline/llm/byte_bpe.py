@@ -8,12 +8,12 @@ rank map is a literal: an array of small maps picked by the crc32 of the key,
 since Spark looks up map keys one after the other.
 
 Every distinct word is folded once. A task splits its texts into words and writes
-them in chunks of about ``chars`` characters: each distinct word of the chunk with
-its place in the chunk's list, and the texts as places in that list. Words of all
-chunks are grouped, folded, and their ids go back to their chunks by shuffle, where
-texts become ids. Nothing is broadcast or collected. A word is in a chunk's list
-once, so the most frequent word has one row a chunk; groups hold the chunks of
-4,096 tasks at most, and beyond those a word is folded once for each such group.
+them in chunks of about ``chars`` characters: the texts as places in the chunk's
+list of words, the most frequent first, and that list by buckets of the words'
+crc32. A bucket's task finds the distinct words of all chunks, folds them, and the
+ids go back to their chunks by shuffle, where texts become ids. Nothing is
+broadcast or collected, and since a word is in a chunk's list once, no word is
+hot. Lists and texts travel as compressed arrays, a few for each chunk.
 
 Texts are first cut before single spaces that stand between two other characters,
 where the pattern always cuts; what stands between two cuts is split once a chunk.
@@ -41,8 +41,6 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import stored
 
 BUCKETS = 32_768
-#: The places of a word in the chunks of 2**12 tasks are gathered in one row.
-GROUP_BITS = 12
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -109,16 +107,16 @@ class ByteBpe:
     def encode(self, documents: DataFrame, chars: int = 1 << 25) -> DataFrame:
         """doc_id, ids (array of int) of every whole text."""
         kind, pattern = documents.schema["doc_id"].dataType.simpleString(), self.split_pattern
+        buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         split = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-            lambda batches: chunked(batches, pattern, chars), f"chunk long, place int, word string, doc_ids array<{kind}>, sizes array<int>, codes binary"
+            lambda batches: chunked(batches, pattern, buckets, chars), f"chunk long, bucket int, doc_ids array<{kind}>, packed binary"
         )
         split = stored(split, "words")
-        places = split.where(F.col("word").isNotNull()).select("word", F.shiftright("chunk", 24 + GROUP_BITS).alias("part"), F.struct("chunk", "place").alias("at"))
+        words = split.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "packed").repartitionById(buckets, F.col("bucket"))
         folded = let(self.ranks, lambda ranks: self.fold(F.col("word"), ranks)).alias("ids")
-        words = places.repartition("word", "part").groupBy("word", "part").agg(F.collect_list("at").alias("at")).select("at", folded)
-        words = words.select("ids", F.inline("at")).select("chunk", "place", "ids")
-        texts = split.where(F.col("codes").isNotNull()).select("chunk", "doc_ids", "sizes", "codes")
-        return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(put_together, f"doc_id {kind}, ids array<int>")
+        found = words.mapInArrow(distinct_words, "word string, at array<long>").select(folded, "at").mapInArrow(by_chunk, "chunk long, packed binary")
+        texts = split.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "packed")
+        return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(put_together, f"doc_id {kind}, ids array<int>")
 
     def digests(self, encoded: DataFrame) -> DataFrame:
         """doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined) and decoded_sha256 (bytes that the ids stand for)."""
@@ -158,81 +156,153 @@ def units_of(text: str) -> list[str]:
     return [units[0], *(" " + u for u in units[1:])]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], pattern: str, chars: int, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows of words (chunk, place, word) and of blocks of texts (chunk, doc_ids, sizes, codes); numbers of chunks are the task's."""
-    import regex
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers by planes of bytes, compressed."""
+    body = [len(arrays).to_bytes(4, "little")]
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        body += [np.array([x.itemsize, len(x)], "<u8").tobytes(), x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()]
+    whole = b"".join(body)
+    return len(whole).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(whole, asbytes=True)
 
-    find, own = regex.compile(pattern).findall, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-    number = held = 0
-    kind = pa.int64()
-    codec = pa.Codec("zstd", 3)
 
-    def fresh() -> tuple[dict, Words, Words]:
-        listed: dict[str, bytes] = {}
-        return listed, Words(find, " ", listed), Words(find, "", listed)
+def unpack(packed: pa.Buffer) -> list[np.ndarray]:
+    whole = pa.Codec("zstd").decompress(packed[8:], int.from_bytes(memoryview(packed)[:8], "little"), asbytes=True)
+    at, out = 4, []
+    for _ in range(int.from_bytes(whole[:4], "little")):
+        width, n = (int(x) for x in np.frombuffer(whole, "<u8", 2, at))
+        out.append(np.frombuffer(whole, np.uint8, width * n, at + 16).reshape(width, n).T.copy().view(f"<u{width}").reshape(-1))
+        at += 16 + width * n
+    return out
 
-    def rows(n: int, **columns) -> pa.RecordBatch:
-        types = {"place": pa.int32(), "word": pa.string(), "doc_ids": pa.list_(kind), "sizes": pa.list_(pa.int32()), "codes": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, own + number)), *[columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()]], names=["chunk", *types])
 
-    def texts_row(ids: list, codes: list[bytes]) -> pa.RecordBatch:
-        packed = codec.compress(b"".join(codes), asbytes=True)
-        sizes = [len(c) // 4 for c in codes]
-        return rows(1, doc_ids=pa.array([ids], pa.list_(kind)), sizes=pa.array([sizes], pa.list_(pa.int32())), codes=pa.array([sum(sizes).to_bytes(8, "little") + packed], pa.binary()))
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all items of ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
-    def words_rows() -> Iterator[pa.RecordBatch]:
-        words = list(listed)
-        for a in range(0, len(words), 1 << 16):
-            part = words[a : a + (1 << 16)]
-            yield rows(len(part), place=pa.array(np.arange(a, a + len(part), dtype=np.int32)), word=pa.array(part, pa.string()))
 
-    listed, after_space, whole = fresh()
+def chunked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, chars: int, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """For each chunk, rows of its words (bucket; lengths, places, bytes) and of its texts (doc_ids; sizes, places)."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    context = TaskContext.get()
+    own, number, held, kind = (context.partitionId() if context else 0) << 10, 0, 0, pa.int64()
+    ids: list = []
+    codes: list[bytes] = []
+
+    def fresh() -> tuple[dict[str, bytes], Words, Words]:
+        listed: dict[str, bytes] = {}
+        return listed, Words(find, " ", listed), Words(find, "", listed)
+
+    def row(bucket: int | None, doc_ids: list | None, *arrays: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([own + number], pa.int64()), pa.array([bucket], pa.int32()), pa.array([doc_ids], pa.list_(kind)), pa.array([pack(*arrays)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "doc_ids", "packed"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(c) // 4 for c in codes], np.int64)
+        whole = np.frombuffer(b"".join(codes), "<u4")
+        often = np.argsort(-np.bincount(whole, minlength=len(listed)), kind="stable")
+        place = np.empty(len(listed), "<u4")
+        place[often] = np.arange(len(listed), dtype="<u4")
+        ends = np.cumsum(sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // block)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield row(None, ids[a:b], sizes[a:b].astype("<u4"), place[whole[ends[a] - sizes[a] : ends[b - 1]]])
+        words = [w.encode() for w in listed]
+        of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = sorted(range(len(words)), key=words.__getitem__)
+        order = np.array(order, np.int64)[np.argsort(of[order], kind="stable")] if words else np.empty(0, np.int64)
+        first = np.searchsorted(of[order], np.arange(buckets + 1))
+        for bucket in range(buckets):
+            part = order[first[bucket] : first[bucket + 1]]
+            if len(part):
+                mine = [words[i] for i in part]
+                yield row(bucket, None, np.fromiter(map(len, mine), "<u4", len(mine)), place[part], np.frombuffer(b"".join(mine), np.uint8))
+
+    listed, after_space, whole_pieces = fresh()
     for batch in batches:
         kind = batch.column("doc_id").type
-        ids: list = []
-        codes: list[bytes] = []
-        size = 0
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             first, *rest = text.split(" ")
             try:
                 if not first or first[-1].isspace():
                     raise TypeError
-                code = whole[first] + b"".join(map(after_space.__getitem__, rest))
-            except TypeError:
-                code = b"".join([whole[u] for u in units_of(text)])
+                code = whole_pieces[first] + b"".join(map(after_space.__getitem__, rest))
+            except TypeError:  # a piece that is not cut at its spaces has None
+                code = b"".join([whole_pieces[u] for u in units_of(text)])
             ids.append(doc_id)
             codes.append(code)
-            size += len(code)
             held += len(text)
-            if size > 4 * block or held > chars:
-                yield texts_row(ids, codes)
-                ids, codes, size = [], [], 0
             if held > chars:
-                yield from words_rows()
-                listed, after_space, whole = fresh()
-                number, held = number + 1, 0
-        if ids:
-            yield texts_row(ids, codes)
-    yield from words_rows()
+                yield from flush()
+                ids, codes, held, number = [], [], 0, number + 1
+                listed, after_space, whole_pieces = fresh()
+    if ids:
+        yield from flush()
+
+
+def distinct_words(batches: Iterator[pa.RecordBatch], rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """The distinct words of a bucket, each with its places in all chunks (chunk in the high half, place in the low)."""
+    lengths, data, at = [], [], []
+    for batch in batches:
+        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed"), strict=True):
+            n, place, body = unpack(packed.as_buffer())
+            lengths.append(n)
+            data.append(body.tobytes())
+            at.append((np.int64(chunk) << 32) | place.astype(np.int64))
+    if not at:
+        return
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])
+    words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))).dictionary_encode()
+    index, places = words.indices.to_numpy(), np.concatenate(at)
+    places, ends = places[np.argsort(index, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(index))])
+    for a in range(0, len(words.dictionary), rows):
+        b = min(a + rows, len(words.dictionary))
+        of = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(places[ends[a] : ends[b]]))
+        yield pa.RecordBatch.from_arrays([words.dictionary[a:b].cast(pa.string()), of], names=["word", "at"])
+
+
+def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of an array of lists."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(offsets) else np.empty(0, np.int64), np.diff(offsets)
+
+
+def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of words, for each chunk that has them: places, numbers of ids, ids."""
+    for batch in batches:
+        ids, many = lists(batch.column("ids"))
+        at, places = lists(batch.column("at"))
+        starts = np.cumsum(many) - many
+        word = np.repeat(np.arange(len(many)), places)
+        order = np.argsort(at, kind="stable")
+        chunk, place, word = at[order] >> 32, at[order] & 0xFFFFFFFF, word[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]]) if len(chunk) else [0]
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = word[a:b]
+            rows.append((int(chunk[a]), pack(place[a:b].astype("<u4"), many[mine].astype("<u4"), ids[gather(starts[mine], many[mine])].astype("<u4"))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "packed"])
 
 
 def put_together(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of the texts of a chunk from the ids of its words."""
-    texts, words = texts.combine_chunks(), words.combine_chunks()
-    made = []
-    order = np.argsort(words.column("place").to_numpy())
-    found = words.column("ids").combine_chunks().take(pa.array(order))
-    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
-    starts = found.offsets.to_numpy().astype(np.int64)
-    flat, length = found.values.to_numpy(zero_copy_only=False), np.diff(starts)
-    codec = pa.Codec("zstd")
-    for row in range(texts.num_rows):
-        packed, sizes = texts.column("codes")[row].as_buffer(), texts.column("sizes")[row].values.to_numpy()
-        codes = np.frombuffer(codec.decompress(packed[8:], 4 * int.from_bytes(packed[:8], "little")), "<u4")
-        each = length[codes] if len(codes) else np.empty(0, np.int64)
+    found = [unpack(x.as_buffer()) for x in words.column("packed")] or [[np.empty(0, np.int64)] * 3]
+    place, many, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    many, starts = many.astype(np.int64), np.cumsum(many, dtype=np.int64) - many
+    length, start = np.full(len(place), -1), np.empty(len(place), np.int64)
+    length[place], start[place] = many, starts
+    made, kind = [], texts.schema.field("doc_ids").type.value_type
+    for doc_ids, packed in zip(texts.column("doc_ids"), texts.column("packed"), strict=True):
+        sizes, codes = unpack(packed.as_buffer())
+        each = length[codes]
+        if (each < 0).any():
+            raise ValueError(f"chunk {key[0]} has words without ids")
         ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])] if len(codes) else np.empty(0, np.int32)
-        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])]
-        made.append(pa.table({"doc_id": texts.column("doc_ids")[row].values, "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))}))
-    kind = texts.schema.field("doc_ids").type.value_type
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+        of = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids[gather(start[codes], each)].astype(np.int32)))
+        made.append(pa.table({"doc_id": doc_ids.values, "ids": of}))
     return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], kind), "ids": pa.array([], pa.list_(pa.int32()))})
