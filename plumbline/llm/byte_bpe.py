@@ -11,8 +11,8 @@ Every distinct word is folded once. A task splits its texts into words and write
 them in chunks of about ``chars`` characters: the texts as places in the chunk's
 list of words, the most frequent first, and that list by buckets of the words'
 crc32. A bucket's task finds the distinct words of all chunks, folds them, and the
-ids go back to their chunks by shuffle, where texts become ids. Nothing is
-broadcast or collected, and since a word is in a chunk's list once, no word is
+ids go back to their chunks by shuffle, where texts become ids; what a task wrote
+is bucketed by chunk, so texts are not shuffled. Nothing is broadcast or collected, and since a word is in a chunk's list once, no word is
 hot. Lists and texts travel as compressed arrays, a few for each chunk.
 
 Texts are first cut before single spaces that stand between two other characters,
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import stored_by
 
 BUCKETS = 32_768
 
@@ -111,7 +111,7 @@ class ByteBpe:
         split = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
             lambda batches: chunked(batches, pattern, buckets, chars), f"chunk long, bucket int, doc_ids array<{kind}>, packed binary"
         )
-        split = stored(split, "words")
+        split = stored_by(split, "words", "chunk")
         words = split.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "packed").repartitionById(buckets, F.col("bucket"))
         folded = let(self.ranks, lambda ranks: self.fold(F.col("word"), ranks)).alias("ids")
         found = words.mapInArrow(distinct_words, "word string, at array<long>").select(folded, "at").mapInArrow(by_chunk, "chunk long, packed binary")
@@ -201,6 +201,8 @@ def chunked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, chars
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "doc_ids", "packed"])
 
     def flush() -> Iterator[pa.RecordBatch]:
+        after_space.clear()
+        whole_pieces.clear()
         sizes = np.array([len(c) // 4 for c in codes], np.int64)
         whole = np.frombuffer(b"".join(codes), "<u4")
         often = np.argsort(-np.bincount(whole, minlength=len(listed)), kind="stable")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,17 +15,40 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh one only where it is unset."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a fresh one if Spark runs in this process alone, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='plumbline_')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+_written: list[str] = []
+_tables: dict[str, str] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete every intermediate table that this driver wrote; to be called once no result that reads them is needed."""
+    gone = len(_written)
+    while _written:
+        path = _written.pop()
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
+        delete(spark, path)
+    return gone
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -34,13 +58,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``stored`` in buckets of ``key``, as many as there are shuffle partitions, so that grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    _tables[path] = table
+    return spark.table(table)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+        delete(df.sparkSession, folder)
+        _written[:] = [w for w in _written if not folder.endswith(w.rpartition("/")[2])]
 
 
 def held_out() -> F.Column:
