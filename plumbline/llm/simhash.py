@@ -78,9 +78,10 @@ def links(distinct: DataFrame, segments: int = 16) -> DataFrame:
     counts = F.array(*[F.bit_count(F.shiftrightunsigned(fp, s * width).bitwiseAND(F.lit((1 << width) - 1))) for s in range(segments)])
     # step 0 stays; step 2s + 1 takes one from segment s, step 2s + 2 adds one
     segment, up = F.floor((F.col("step") - 1) / 2).cast("int"), F.col("step") % 2 == 0
-    # an exact number of partitions, or a small table would be listed by one task
+    # An exact number of partitions, or a small table would be listed by one task; not by fp itself, as Spark
+    # leaves out a repartitioning that the grouping by fp has already made, and then joins its partitions.
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = distinct.select("fp").repartition(parts, "fp").select("fp", counts.alias("c")).select("fp", "c", F.explode(F.sequence(F.lit(0), F.lit(2 * segments))).alias("step"))
+    listed = distinct.select("fp").repartition(parts, F.xxhash64("fp", F.lit(1))).select("fp", counts.alias("c")).select("fp", "c", F.explode(F.sequence(F.lit(0), F.lit(2 * segments))).alias("step"))
     own = F.element_at(F.col("c"), F.greatest(segment, F.lit(0)) + 1)
     listed = listed.where((F.col("step") == 0) | F.when(up, own < width).otherwise(own > 0))
     moved = F.transform("c", lambda v, i: F.when((F.col("step") > 0) & (i == segment), v + F.when(up, 1).otherwise(-1)).otherwise(v))
