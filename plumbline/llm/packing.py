@@ -76,8 +76,12 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, pairs: int = 64) -> list[list[int]]:
-    """Swap-based local search; ``pairs`` bounds how many documents of a giving bin are also tried two at a time."""
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Swap-based local search over all documents, and all pairs of documents, of the giving bin.
+
+    Documents of one size are alike, and the distinct sizes in a bin add up to
+    ``capacity`` at most, so they are fewer than the root of twice the capacity.
+    """
     least = -(-sum(sizes) // capacity)
     full = [b for b in bins if sum(sizes[i] for i in b) == capacity]
     open_ = [list(b) for b in bins if sum(sizes[i] for i in b) < capacity]
@@ -94,8 +98,10 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, pairs: int =
     def exchange(giver: int) -> bool:
         own = np.flatnonzero(home == giver)
         own = own[np.argsort(-size[own], kind="stable")]
-        units = [(int(size[i]), (i,)) for i in own]
-        some = own[:pairs]
+        first = np.flatnonzero(np.diff(size[own], prepend=-1))
+        units = [(int(size[i]), (i,)) for i in own[first]]
+        # one document of each size, and a second one that it may be paired with
+        some = own[np.unique(np.concatenate([first, np.append(first[1:], len(own)) - 1]))]
         units += [(int(size[a] + size[b]), (a, b)) for n, a in enumerate(some) for b in some[n + 1 :]]
         room = capacity - fill
         for weight, unit in units:
