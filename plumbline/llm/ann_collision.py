@@ -3,9 +3,9 @@
 Vectors are scaled to length 1. Every block of rows keeps one sorted array for
 each random projection. A query opens a window around its own projection in all
 arrays; by virtual rehashing the windows widen by a fixed factor from round to
-round. Rows that fall into the windows
-of more than a threshold share of the projections are verified by their exact
-cosine. A query is done in a block once k verified rows lie within the distance
+round, and only the rows that enter on either side of a window are counted. Rows
+in the windows of more than a threshold share of the projections are verified by
+their exact cosine. A query is done in a block once k verified rows lie within the distance
 that the current windows stand for, or every row has been verified; there is no
 cap on candidates. Every row is indexed.
 
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.vectors import block_search, usable
+from plumbline.llm.vectors import block_search, gather, usable
 
 
 def projections(dim: int, count: int, seed: int) -> np.ndarray:
@@ -45,23 +45,28 @@ def search_block(k: int, count: int, seed: int, radius: float, factor: float, wi
         asks = queries / np.linalg.norm(queries, axis=1)[:, None]
         turn = projections(vectors.shape[1], count, seed)
         place, at = unit @ turn, asks @ turn
+        # the sorted arrays one after the other, and where in them the windows of all rounds begin and end
         order = np.argsort(place, axis=0)
-        # rank of each row in each sorted array, and the windows of all rounds as ranges of ranks
-        rank = np.argsort(order, axis=0).T.astype(np.uint32 if len(ids) >= 2**16 else np.uint16)
-        low = np.empty((len(asks), len(reach), count), dtype=rank.dtype)
-        span = np.empty_like(low)
+        rows = order.T.ravel()
+        low = np.empty((len(asks), len(reach) + 1, count), dtype=np.int64)
+        high = np.empty_like(low)
         for i in range(count):
             line = place[order[:, i], i]
-            first = np.searchsorted(line, at[:, i, None] - reach)
-            low[:, :, i], span[:, :, i] = first, np.searchsorted(line, at[:, i, None] + reach, side="right") - first
+            own_place = np.searchsorted(line, at[:, i])
+            low[:, 0, i] = high[:, 0, i] = own_place
+            low[:, 1:, i] = np.minimum(np.searchsorted(line, at[:, i, None] - reach), own_place[:, None])
+            high[:, 1:, i] = np.maximum(np.searchsorted(line, at[:, i, None] + reach, side="right"), own_place[:, None])
+        base = np.arange(count) * len(ids)
         need = int(np.ceil(share * count))
         found = []
         for q, (own, ask, raw) in enumerate(zip(query_ids, asks, queries, strict=True)):
             cosine = np.full(len(ids), -np.inf)
             seen = ids == own
+            hits = np.zeros(len(ids), dtype=np.int64)
             for r, distance in enumerate([*radii, 2.0]):
-                # unsigned: a rank below the window wraps around to a large number
-                hits = ((rank - low[q, r][:, None]) < span[q, r][:, None]).sum(axis=0, dtype=np.uint16)
+                before, after = low[q, r] - low[q, r + 1], high[q, r + 1] - high[q, r]
+                entered = gather(np.concatenate([base + low[q, r + 1], base + high[q, r]]), np.concatenate([before, after]))
+                hits += np.bincount(rows[entered], minlength=len(ids))
                 fresh = np.flatnonzero((hits >= need) & ~seen)
                 if fresh.size:
                     cosine[fresh] = unit[fresh] @ ask

@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 
 
 def usable(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, x): one row an id, components as double.
+    """(vec_id, x): distinct rows, components as double.
 
     Rows with a null id, a null or empty vector, or a null or non-finite
-    component take no part. Of rows that share an id the smallest vector counts.
+    component take no part. Rows that repeat an id and its vector count once; rows
+    that share an id and differ are candidates each.
     """
     x = F.col(embedding).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     return (
         embeddings.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0) & finite)
         .select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x"))
-        .groupBy("vec_id")
-        .agg(F.min("x").alias("x"))
+        .distinct()
     )
 
 
@@ -48,9 +48,10 @@ def block_search(
 
     ``search(query_ids, queries, ids, vectors)`` gives for each query the ids
     and scores of its best in the block, at most k. Result: query_id, rank,
-    vec_id, score; ties go to the smaller vec_id.
+    vec_id, score; ties go to the smaller vec_id. An id asks once, by its smallest
+    vector, and no row of its own id is its candidate.
     """
-    asked = data.where(F.col("vec_id") % every == 0)
+    asked = data.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
     n, q = data.count(), asked.count()
     data_blocks, query_blocks = max(1, -(-n // data_rows)), max(1, -(-q // query_rows))
     left = data.select("vec_id", "x", block_of(data_blocks).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
@@ -78,5 +79,11 @@ def best_of(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all items of ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64, copy=False)

@@ -1,7 +1,8 @@
 import math
 
+import duckdb
 import numpy as np
-from plumbline.llm import ann_collision, topk_pivot
+from plumbline.llm import ann_collision, queries, topk_pivot
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, rank int"
 
@@ -61,3 +62,41 @@ def test_nearest_recall_and_scores(spark):
             assert all(abs(s - cos(data[i])) < 1e-12 for _, i, s in mine)
             hits, total = hits + len(best & {i for _, i, _ in mine}), total + 5
     assert hits / total >= 0.9
+
+
+def test_rows_that_share_an_id_and_differ(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = awkward(rng, 130, 8) + [(i, [float(x) for x in rng.standard_normal(8)]) for i in (0, 20, 20, 21, 21, 33)]
+    path = str(tmp_path / "embeddings.parquet")
+    frame(spark, rows).coalesce(1).write.parquet(path)
+    connection = duckdb.connect()
+    connection.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    want = sorted(connection.sql(queries.OP2_SQL).fetchall())
+    columns = [c[0] for c in connection.sql(queries.OP2_SQL).description]
+    got = topk_pivot.top_k(spark.read.parquet(path), data_rows=50, query_rows=4).select(*columns)
+    assert sorted(map(tuple, got.collect())) == want
+    near = ann_collision.nearest(spark.read.parquet(path), k=200, every=20, data_rows=50, query_rows=4).collect()
+    mine = [r.vec_id for r in near if r.query_id == 0]
+    assert mine.count(21) == 3 and mine.count(33) == 2 and 0 not in mine and len({r.query_id for r in near}) == 8
+
+
+def test_windows_grow_to_the_same_neighbours_as_counting_all_ranks():
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((500, 16))
+    vectors[:40] = vectors[0] + 0.1 * rng.standard_normal((40, 16))
+    ids = np.arange(500)
+    search = ann_collision.search_block(5, 24, 3, 0.15, 1.3, 0.8, 0.55)
+    found = search(ids[:10], vectors[:10], ids, vectors)
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    place = unit @ ann_collision.projections(16, 24, 3)
+    for q in range(10):
+        gap = np.abs(place - place[q])
+        distance, seen = 0.15, np.array([], dtype=int)
+        while True:
+            hits = (gap <= 0.8 * distance).sum(1) if distance < 2 * 1.3 else np.full(500, 24)
+            seen = np.flatnonzero((hits >= math.ceil(0.55 * 24)) & (ids != q))
+            cosine = unit[seen] @ unit[q]
+            if len(seen) == 499 or (cosine >= 1 - distance**2 / 2).sum() >= 5:
+                break
+            distance *= 1.3
+        assert found[q][0].tolist() == seen[np.lexsort((seen, -cosine))[:5]].tolist()
