@@ -11,8 +11,8 @@ Parts are ranges of doc_id with bounds from approximate quantiles, so that no
 data are sampled twice; a segment holds whole documents of about ``segment``
 tokens, and a longer document alone.
 
-Defined cases: null text is empty and gives the end id alone; equal doc_ids are
-ordered by their ids; rows with null doc_id come first; an empty table gives an
+Defined cases: null text is empty and gives the end id alone; rows of equal
+doc_id stand in the order of their compressed ids; rows with null doc_id come first; an empty table gives an
 empty file; further columns are ignored.
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +34,34 @@ from plumbline.llm.textstats import ids_of
 
 
 def tokenized(documents: DataFrame, vocabulary: str, bounds: list[int]) -> DataFrame:
-    """doc_id, part, ids (deflated unsigned 16-bit ids with the end id); and from each task one row of part -1 with its counts of ids."""
+    """doc_id, part, ids (packed unsigned 16-bit ids with the end id); and from each task one row of part -1 with its counts of ids."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
         end = np.array([tokens.END], dtype="<u2").tobytes()
         total = np.zeros(1 << 16, dtype="<i8")
+
+        def rows(doc_ids: pa.Array, part: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(part, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "part", "ids"])
+
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            place = np.searchsorted(bounds, doc_ids.fill_null(0).to_numpy(zero_copy_only=False)) * doc_ids.is_valid().to_numpy(zero_copy_only=False)
             for a, b in tokens.chunks(texts):
-                own = ids_of(batch["doc_id"].iloc[a:b])
                 ids = [x + end for x in encode(texts[a:b])]
                 total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
-                part = np.where(own.isna(), 0, np.searchsorted(bounds, own.fillna(0).to_numpy(dtype=np.int64)))
-                yield pd.DataFrame({"doc_id": own, "part": part, "ids": [zlib.compress(x, 1) for x in ids]})
-        yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "part": [-1], "ids": [zlib.compress(total.tobytes(), 1)]})
+                yield rows(doc_ids[a:b], place[a:b], [packed(x) for x in ids])
+        yield rows(pa.nulls(1, pa.int64()), np.array([-1]), [packed(total.tobytes())])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "doc_id long, part int, ids binary")
+
+
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
 
-    return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "doc_id long, part int, ids binary")
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True), kind)
 
 
 def token_counts(ids: DataFrame) -> np.ndarray:
@@ -59,7 +71,7 @@ def token_counts(ids: DataFrame) -> np.ndarray:
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
             for x in batch["ids"]:
-                total += np.frombuffer(zlib.decompress(x), "<i8")
+                total += unpacked(x, "<i8")
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"id": seen, "n": total[seen]})
 
@@ -74,7 +86,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, segment: int = 1 <<
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [i / parts for i in range(1, parts)]
     bounds = documents.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 10_000).alias("b")).first()["b"] if cuts else []
-    ids = stored(tokenized(documents, vocabulary, sorted(bounds or [])), "ids")
+    ids = stored(tokenized(documents, vocabulary, sorted(bounds or [])), "ids", "none")
     slots = frequencies(token_counts(ids))
     spark.createDataFrame([(slots.astype("<u4").tobytes(),)], "slots binary").coalesce(1).write.parquet(f"{path}/table")
 
@@ -91,7 +103,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, segment: int = 1 <<
         for batch in batches:
             doc_ids = ids_of(batch["doc_id"])
             for i, p, x in zip(doc_ids, batch["part"], batch["ids"], strict=True):
-                ids = np.frombuffer(zlib.decompress(x), "<u2").astype(np.uint32)
+                ids = unpacked(x, "<u2").astype(np.uint32)
                 if held and (p != part or size + len(ids) > segment):
                     yield flush()
                     place, held, size = place + 1, [], 0

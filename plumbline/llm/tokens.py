@@ -4,13 +4,15 @@ A text is cut before single spaces that stand between two other characters;
 byte-level pre-tokenisation always cuts there, so encoding the pieces one by
 one gives the ids of the whole text. Pieces repeat far more often than texts, so
 each worker keeps the ids of those it has met (a bounded number) and asks the
-library for the rest in batches.
+library for the rest in batches. A text with the string of one of the vocabulary's
+special tokens goes to the library whole, which makes that string the token's id.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import islice
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 
@@ -27,7 +29,7 @@ class PieceEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on every core already
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
         # pieces without their space; what was not used since the last change of generation is forgotten
         self.known: dict[str, bytes] = {}
@@ -86,27 +88,39 @@ class PieceEncoder:
             into.update(zip(group, [encoded[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if whole:
+            out = self.encode([t for t in texts if not any(s in t for s in self.special)])
+            for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
+                out.insert(i, ids)
+            return out
         if len(self.known) > self.keep:
             self.older, self.known = self.known, {}
         split = [t.split(" ") for t in texts]
-        new = set()
-        for p in set().union(*split):
-            if p not in self.known:
-                if p in self.older:
-                    self.known[p] = self.older[p]
-                else:
-                    new.add(p)
+        pieces = list(chain.from_iterable(split))
+        ends = np.cumsum([len(x) for x in split])
+        found = list(map(self.known.get, pieces))
+        missing = list(compress(range(len(pieces)), map(not_, found)))
+        new = {pieces[i] for i in missing}
+        if self.older:
+            again = {p: self.older[p] for p in new if p in self.older}
+            self.known.update(again)
+            new.difference_update(again)
         # pieces beside more white space are not encoded alone
-        bare = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        bare = {p for p in new if not p or p.strip() is not p}
         self.learn(list(new - bare))
-        firsts = self.plain([pieces[0] for pieces in split])
-        ids_of, out = self.known.__getitem__, []
-        for text, pieces, first in zip(texts, split, firsts, strict=True):
-            head = pieces[0]
-            if bare and not bare.isdisjoint(pieces) or not head or head[-1].isspace():
+        for i in missing:
+            found[i] = self.known.get(pieces[i])
+        starts = ends - [len(x) for x in split]
+        beside = np.array([i for i in missing if pieces[i] in bare], dtype=np.int64)
+        beside = set(np.searchsorted(ends, np.setdiff1d(beside, starts), side="right").tolist())
+        out = []
+        for i, (text, first, a, b) in enumerate(zip(texts, self.plain([x[0] for x in split]), starts.tolist(), ends.tolist(), strict=True)):
+            if i in beside or not pieces[a] or pieces[a][-1].isspace():
                 out.append(self.uneven(text))
             else:
-                out.append(first + b"".join(map(ids_of, islice(pieces, 1, None))))
+                found[a] = first
+                out.append(b"".join(found[a:b]))
         return out
 
     def uneven(self, text: str) -> bytes:

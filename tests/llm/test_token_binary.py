@@ -44,7 +44,6 @@ def test_files(spark, tmp_path):
     path = str(tmp_path / "ids")
     token_binary.write(frame, path, PATH, segment=4096, lanes=16, block=512)
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = sorted((-1 if i is None else i, t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x, _, _ in rows)
     got = sorted(((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids) for r in token_binary.read(spark, path).collect()), key=lambda r: r[0])
     assert sorted((i, ids) for _, i, _, ids in got) == want
@@ -57,6 +56,17 @@ def test_files(spark, tmp_path):
     assert all(crc[s] == zlib.crc32(np.array(ids, dtype="<u4").tobytes()) for s, _, _, ids in got)
 
 
+def test_special_strings_are_what_the_library_makes_of_them():
+    library = Tokenizer.from_file(PATH)
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "a", " ", "word", "  ", "\n", "<|", "endoftext", "|>", "é", "."]
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|endoftext|>", "<|endoftext|><|endoftext|> ", " <|endoftext|>", "no token"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(500)]
+    got = tokens.PieceEncoder(PATH).encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(got[0], "<u2")
+
+
 def test_empty_table(spark, tmp_path):
     frame = spark.createDataFrame([], "doc_id long, text string")
     token_binary.write(frame, str(tmp_path / "none"), PATH)
