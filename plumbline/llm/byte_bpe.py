@@ -104,7 +104,7 @@ class ByteBpe:
         """The bytes of an array of ids."""
         return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
 
-    def encode(self, documents: DataFrame, chars: int = 1 << 25) -> DataFrame:
+    def encode(self, documents: DataFrame, chars: int = 1 << 24) -> DataFrame:
         """doc_id, ids (array of int) of every whole text."""
         kind, pattern = documents.schema["doc_id"].dataType.simpleString(), self.split_pattern
         buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
