@@ -1,4 +1,4 @@
-"""The event graph, events against volatility legs, and the composite event indicator."""
+"""The event graph and events against volatility legs."""
 
 from __future__ import annotations
 
@@ -29,9 +29,3 @@ def leg_links(legs: DataFrame, events: DataFrame, hours: int) -> DataFrame:
     near = F.when(away <= 24, 1.0 - away / 24).otherwise(0.0)
     actor = F.when(F.col("actor").isNotNull(), 0.5).otherwise(0.0)
     return found.select("instrument_key", "start_time", "event_id", away.alias("hours"), ((near + 1.0 + actor) / 3).alias("score"))
-
-
-def indicator(counts: DataFrame) -> DataFrame:
-    """Composite of links, strengths and attributed flow, clipped at 10. Columns: links, strength, flow_score."""
-    raw = F.coalesce("links", F.lit(0)) * 0.1 + F.coalesce("strength", F.lit(0.0)) + F.coalesce("flow_score", F.lit(0.0))
-    return counts.withColumn("indicator", F.least(F.lit(10.0), raw))

@@ -24,6 +24,20 @@ def tree(edges: DataFrame, roots: DataFrame, depth: int, down: bool = True) -> D
     return reached
 
 
+def coverage(reached: DataFrame, edges: DataFrame, depth: int, down: bool = True) -> DataFrame:
+    """Per root of a ``tree``: nodes, edges that led to a node reached before, and nodes without a recorded parent.
+
+    Every edge out of a node above the last level was followed once, and each node
+    but the root was new once; all other steps are cycle edges.
+    """
+    step = edges.select(F.col("dst" if down else "src").alias("node"), F.col("src" if down else "dst").alias("next")).distinct()
+    out = step.groupBy("node").agg(F.count("*").alias("out"))
+    parents = edges.where("rel = 'subsidiary_of'").select(F.col("src").alias("node")).distinct().withColumn("known", F.lit(1))
+    seen = reached.join(out, "node", "left").join(parents, "node", "left")
+    followed = F.sum(F.when(F.col("depth") < depth, F.coalesce("out", F.lit(0))).otherwise(0))
+    return seen.groupBy("root").agg(F.count("*").alias("nodes"), (followed - (F.count("*") - 1)).alias("cycle_edges"), F.count_if(F.col("known").isNull()).alias("without_parent"))
+
+
 def parent_status(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Whether an entity has a parent, several, or none recorded."""
     parents = edges.where("rel = 'subsidiary_of'").groupBy(F.col("src").alias("key")).agg(F.countDistinct("dst").alias("parents"))

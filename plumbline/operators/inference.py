@@ -54,18 +54,31 @@ def presence(windows: DataFrame) -> DataFrame:
     return out.withColumn("enrichment", F.when(F.col("control_share") > 0, F.col("move_share") / F.col("control_share"))).withColumn("status", status)
 
 
+def upper_tail(moves: int, controls: int, move_hits: int, control_hits: int) -> float:
+    """P(X >= move_hits) for X hypergeometric, from ratios of neighbouring chances around the mode.
+
+    Chances further than 40 standard deviations from the mode are below the
+    smallest double and stand as zero, so the work grows with the root of the rows.
+    """
+    n, hits = moves + controls, move_hits + control_hits
+    low, high = max(0, moves - (n - hits)), min(moves, hits)
+    mode = min(high, max(low, (moves + 1) * (hits + 1) // (n + 2)))
+    reach = 50 + math.ceil(40 * math.sqrt(moves / max(n, 1) * hits * (1 - hits / max(n, 1)) + 1))
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    i = np.arange(first, last, dtype=np.float64)
+    ratio = np.log((hits - i) * (moves - i)) - np.log((i + 1) * (n - hits - moves + i + 1))
+    weight = np.concatenate([[0.0], np.cumsum(ratio)])
+    weight = np.exp(weight - weight.max())
+    return float(min(1.0, weight[max(0, move_hits - first) :].sum() / weight.sum()))
+
+
 def hypergeometric(contrast: DataFrame) -> DataFrame:
-    """Adds p: the exact chance of at least as many move windows with the category, all labellings alike."""
-    def tail(col: pd.DataFrame) -> pd.Series:
-        out = []
-        for a, b, x, y in zip(col["moves"], col["controls"], col["move_hits"], col["control_hits"], strict=True):
-            n, k = a + b, x + y
-            choose = lambda n_, k_: math.comb(int(n_), int(k_)) if 0 <= k_ <= n_ else 0
-            total = choose(n, a)
-            out.append(sum(choose(k, i) * choose(n - k, a - i) for i in range(int(x), int(min(a, k)) + 1)) / total if total else None)
-        return pd.Series(out, dtype="float64")
+    """Adds p: the chance of at least as many move windows with the category, all labellings alike."""
+
+    def each(col: pd.DataFrame) -> pd.Series:
+        return pd.Series([upper_tail(int(a), int(b), int(x), int(y)) for a, b, x, y in zip(col["moves"], col["controls"], col["move_hits"], col["control_hits"], strict=True)], dtype="float64")
 
-    p = F.pandas_udf(tail, "double")
+    p = F.pandas_udf(each, "double")
     return contrast.withColumn("p", p(F.struct("moves", "controls", "move_hits", "control_hits")))
 
 
@@ -132,10 +145,22 @@ def benjamini_hochberg(tested: DataFrame, p: str = "p") -> DataFrame:
 
 
 def time_trend(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Means of the earliest and latest third and whether they drift by a standard deviation or more."""
+    """Means of the earliest and latest third and whether they drift by a standard deviation or more.
+
+    ``order`` is a timestamp. Minutes are counted first, so whole minutes fall into
+    a third by their counts, and only rows of the two minutes of a key that a
+    third's end cuts are ordered.
+    """
+    minute = F.floor(times.epoch_seconds(F.col(order)) / 60)
+    counted = rows.groupBy(key, minute.alias("_m")).agg(F.count("*").alias("_c"))
     per = Window.partitionBy(key)
-    third = F.floor(F.count("*").over(per) / 3)
-    placed = rows.withColumn("_i", F.row_number().over(per.orderBy(order))).withColumn("_t", third).withColumn("_n", F.count("*").over(per))
+    placed = counted.withColumn("_before", F.sum("_c").over(per.orderBy("_m")) - F.col("_c")).withColumn("_n", F.sum("_c").over(per))
+    third = F.floor(F.col("_n") / 3)
+    cut = lambda at: (F.col("_before") < at) & (at < F.col("_before") + F.col("_c"))
+    placed = placed.select(key, "_m", "_before", "_n", third.alias("_t"), (cut(third) | cut(F.col("_n") - third)).alias("_cut"))
+    dated = rows.withColumn("_m", minute).join(placed, [key, "_m"])
+    inside = dated.where("_cut").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(key, "_m").orderBy(order)))
+    dated = dated.where("NOT _cut").withColumn("_i", F.col("_before") + 1).unionByName(inside)
     early, late = F.col("_i") <= F.col("_t"), F.col("_i") > F.col("_n") - F.col("_t")
-    out = placed.groupBy(key).agg(F.avg(F.when(early, F.col(value))).alias("early"), F.avg(F.when(late, F.col(value))).alias("late"), F.stddev_pop(value).alias("spread"))
+    out = dated.groupBy(key).agg(F.avg(F.when(early, F.col(value))).alias("early"), F.avg(F.when(late, F.col(value))).alias("late"), F.stddev_pop(value).alias("spread"))
     return out.withColumn("drift", F.when(F.col("spread") > 0, F.abs(F.col("late") - F.col("early")) >= F.col("spread")))

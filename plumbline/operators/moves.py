@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import pandas as pd
@@ -46,6 +47,12 @@ def tiers(moves: DataFrame, thresholds: Sequence[int]) -> DataFrame:
     return moves.withColumn("threshold", F.explode(cleared)).withColumn("tier", F.concat(F.lit("p"), F.col("threshold").cast("string")))
 
 
+def clear(taken: list[tuple[int, int]], start: int, end: int, apart: int) -> bool:
+    """Whether a span is ``apart`` or more from its neighbours in a sorted list of spans that do not overlap."""
+    at = bisect.bisect_left(taken, (start, end))
+    return (at == 0 or start - taken[at - 1][1] >= apart) and (at == len(taken) or taken[at][0] - end >= apart)
+
+
 def select_largest(moves: DataFrame, cooldown_bars: int = 0) -> DataFrame:
     """The largest moves of each series that do not overlap; of one direction they stay ``cooldown_bars`` apart.
 
@@ -54,13 +61,14 @@ def select_largest(moves: DataFrame, cooldown_bars: int = 0) -> DataFrame:
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         ranked = group.assign(size=group["change"].abs()).sort_values(["size", "start_n"], ascending=[False, True], kind="stable")
-        taken: list[tuple[int, int, str]] = []
+        every: list[tuple[int, int]] = []
+        same: dict[str, list[tuple[int, int]]] = {}
         kept = []
         for i, start, end, direction in zip(ranked.index, ranked["start_n"], ranked["end_n"], ranked["direction"], strict=True):
-            free = all(end <= s or start >= e for s, e, _ in taken)
-            apart = all(d != direction or start - e >= cooldown_bars or s - end >= cooldown_bars for s, e, d in taken)
-            if free and apart:
-                taken.append((start, end, direction))
+            alike = same.setdefault(direction, [])
+            if clear(every, start, end, 0) and clear(alike, start, end, cooldown_bars):
+                bisect.insort(every, (start, end))
+                bisect.insort(alike, (start, end))
                 kept.append(i)
         return group.loc[sorted(kept)]
 
@@ -120,7 +128,7 @@ def zigzag_points(times_: list, prices: list[float], threshold: float) -> list[t
 
 
 def zigzag(series: DataFrame, threshold: float) -> DataFrame:
-    """Legs of each series; the state runs along the series, which is one task's sorted group."""
+    """Legs of each series; the state runs along the series, which is one task's sorted group. Bars without a positive close take no part."""
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("open_time", kind="stable")
@@ -128,13 +136,13 @@ def zigzag(series: DataFrame, threshold: float) -> DataFrame:
         rows = [(key, d, at[s], at[e], price[s], price[e], (price[e] / price[s] - 1) * 100) for s, e, d in zigzag_points(at, price, threshold)]
         return pd.DataFrame(rows, columns=["instrument_key", "direction", "start_time", "end_time", "start_price", "end_price", "magnitude"])
 
-    return series.select("instrument_key", "open_time", "close").groupBy("instrument_key").applyInPandas(walk, LEG)
+    return series.where("close > 0").select("instrument_key", "open_time", "close").groupBy("instrument_key").applyInPandas(walk, LEG)
 
 
 def regimes(series: DataFrame, points: DataFrame, hours: int, threshold: float) -> DataFrame:
     """bull, bear, range or unknown for each point (instrument_key, start_time, start_price), by the close at or before ``hours`` earlier."""
     asked = points.withColumn("target", F.col("start_time") - times.hours(hours))
     found = as_of(asked, series.select("instrument_key", "open_time", "close"), "target", "open_time", "close", ["instrument_key"])
-    change = (F.col("start_price") - F.col("as_of_close")) / F.col("as_of_close") * 100
+    change = F.when(F.col("as_of_close") != 0, (F.col("start_price") - F.col("as_of_close")) / F.col("as_of_close") * 100)
     label = F.when(F.col("lookback_return").isNull(), "unknown").when(F.col("lookback_return") > threshold, "bull").when(F.col("lookback_return") < -threshold, "bear").otherwise("range")
     return found.withColumn("lookback_return", change).select("instrument_key", "start_time", "start_price", "lookback_return", label.alias("regime"))

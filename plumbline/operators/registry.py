@@ -146,23 +146,3 @@ def fuzzy_links(entities: DataFrame, tenths: int = 6) -> DataFrame:
     matched = both.where(F.col("n") * 10 >= F.col("least") * tenths).select("a", "b", (F.col("n") / F.col("least")).alias("score"))
     same = named.join(sets.select("toks", "head"), "toks").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("score"))
     return matched.union(same)
-
-
-def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs (a, b, score) of names whose token overlap coefficient is at least ``least``.
-
-    Both sides have key and name. Names with equal token sets are matched once,
-    then spread; candidates meet on a shared token, and only distinct token sets
-    meet.
-    """
-
-    def sets(df: DataFrame) -> DataFrame:
-        return df.select(F.array_sort(name_tokens(F.col("name"))).alias("toks")).where(F.size("toks") > 0).distinct()
-
-    a = sets(left).select(F.col("toks").alias("ta"), F.explode("toks").alias("tok"))
-    b = sets(right).select(F.col("toks").alias("tb"), F.explode("toks").alias("tok"))
-    shared = a.join(b, "tok").groupBy("ta", "tb").agg(F.count("*").alias("n"))
-    score = F.col("n") / F.least(F.size("ta"), F.size("tb"))
-    good = shared.withColumn("score", score).where(F.col("score") >= least)
-    key = lambda df, name, out: df.select(F.col("key").alias(out), F.array_sort(name_tokens(F.col("name"))).alias(name))
-    return key(left, "ta", "a").join(good, "ta").join(key(right, "tb", "b"), "tb").select("a", "b", "score")

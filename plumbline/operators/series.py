@@ -76,3 +76,11 @@ def abs_percentile(value: Column, history: Column) -> Column:
 
 def median(values: Column) -> Column:
     return F.percentile(values, F.lit(0.5))
+
+
+def newest(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The ``k`` newest rows of each key, and truncated: whether the key had more."""
+    per = Window.partitionBy(*keys)
+    ranked = rows.withColumn("_i", F.row_number().over(per.orderBy(*[F.desc(c) for c in order])))
+    many = rows.groupBy(*keys).agg((F.count("*") > k).alias("truncated"))
+    return ranked.where(F.col("_i") <= k).drop("_i").join(many, keys)

@@ -63,13 +63,6 @@ def linked_status(links: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(links.select("source", "entity").distinct(), ["source", "entity"], "left_semi")
 
 
-def category_contrast(current: DataFrame, history: DataFrame) -> DataFrame:
-    """Categories now, in history, or both. Column category."""
-    a, b = current.select("category").distinct(), history.select("category").distinct()
-    both = a.join(b, "category", "left_semi").withColumn("place", F.lit("both"))
-    return both.union(a.join(b, "category", "left_anti").withColumn("place", F.lit("new"))).union(b.join(a, "category", "left_anti").withColumn("place", F.lit("absent")))
-
-
 def nth(rows: DataFrame, column: str, place: int) -> int | None:
     """The value of an integer column at a place, from 0, in order; counts of 1,024 ranges a pass, so no sort."""
     known = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("v"))

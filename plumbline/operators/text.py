@@ -26,6 +26,63 @@ def matched_terms(text: Column, terms: Iterable[str]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(term_pattern(terms)), F.lit(0)), F.lower)))
 
 
+def load_lexicon(terms: DataFrame) -> dict[str, list[str]]:
+    """Categories and their terms from a table (category, term); a lexicon is small and closed, so it becomes patterns."""
+    found: dict[str, list[str]] = {}
+    for row in terms.where("category IS NOT NULL AND trim(term) <> ''").select("category", "term").distinct().orderBy("category", "term").collect():
+        found.setdefault(row.category, []).append(row.term.strip())
+    return found
+
+
+def classify(text: Column, lexicon: Mapping[str, Iterable[str]]) -> Column:
+    """struct(categories, matches): sorted names, and for each its terms that occur, lower-cased and sorted. Null or blank text has none."""
+    shown = F.coalesce(text, F.lit(""))
+    entries = [F.struct(F.lit(name).alias("key"), matched_terms(shown, terms).alias("value")) for name, terms in sorted(lexicon.items())]
+    hit = F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0)
+    return F.struct(F.transform(hit, lambda e: e["key"]).alias("categories"), F.map_from_entries(hit).alias("matches"))
+
+
+def primary_family(categories: Column) -> tuple[Column, Column]:
+    """(primary category, family): the first category, else uncategorized; sentiment prevails where it is among them."""
+    primary = F.coalesce(F.get(categories, F.lit(0)), F.lit("uncategorized"))
+    known = F.create_map(*[F.lit(x) for pair in V.CATEGORY_FAMILY.items() for x in pair])
+    family = F.when(F.array_contains(categories, "market_sentiment"), "sentiment_emotion").otherwise(F.coalesce(F.try_element_at(known, primary), F.lit("sentiment_emotion")))
+    return primary, family
+
+
+def headline_emotion(text: Column) -> Column:
+    """struct(method, status, score, direction, confidence, positive, negative, negation): the lexical engine first, else the headline lexicon.
+
+    Headline terms count wherever a word begins with them; a negator turns the
+    counts round if anything negative is there. No term gives no score. The headline
+    score and its confidence (a third a term, 1 at most) have four places, the
+    engine's six.
+    """
+    engine = lexicon_sentiment(F.coalesce(text, F.lit("")))
+    spaced = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z']+"), F.lit(0)), " "), F.lit(" "))
+    times = lambda spaced, terms: sum((F.size(F.split(spaced, f" {re.escape(t)}")) - 1 for t in terms), F.lit(0)).cast("long")
+
+    def of(e: Column, spaced: Column) -> Column:
+        p, n = times(spaced, V.POSITIVE_HEADLINE), times(spaced, V.NEGATIVE_HEADLINE)
+        turned = spaced.rlike(" (?:" + "|".join(V.NEGATORS_HEADLINE) + ") ") & (n > 0)
+        own = e["score"].isNotNull()
+        up = F.when(own, e["positive"]).when(turned, n).otherwise(p)
+        down = F.when(own, e["negative"]).when(turned, p).otherwise(n)
+        some = up + down > 0
+        return F.struct(
+            F.when(own, "engine").otherwise("headline_lexicon").alias("method"),
+            F.when(spaced == "  ", "no_tokens").when(some, "scored").otherwise("no_sentiment_term").alias("status"),
+            F.when(own, e["score"]).when(some, F.round((up - down) / (up + down), 4)).alias("score"),
+            F.when(up > down, "positive").when(some, F.when(own & (up == down), "neutral").otherwise("negative")).alias("direction"),
+            F.when(own, F.round((up + down) / e["words"], 6)).when(some, F.round(F.least(F.lit(1.0), (up + down) / 3), 4)).alias("confidence"),
+            up.alias("positive"),
+            down.alias("negative"),
+            (~own & turned).alias("negation"),
+        )
+
+    return F.get(F.transform(F.array(F.struct(engine.alias("e"), spaced.alias("s"))), lambda x: of(x["e"], x["s"])), F.lit(0))
+
+
 def headline_sentiment(text: Column, positive: Iterable[str], negative: Iterable[str], negators: Iterable[str]) -> tuple[Column, Column, Column]:
     """(positive, negative, score): counts of whole terms, swapped if a negator meets a negative term; score null without terms."""
     p, n = (F.regexp_count(text, F.lit(term_pattern(t))).cast("long") for t in (positive, negative))

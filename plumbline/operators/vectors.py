@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +16,40 @@ def sparse_cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
-def dense_cosine(a: Column, b: Column) -> Column:
-    add = lambda acc, v: acc + v
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), add)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def similar_within_label(vectors: DataFrame, k: int, every: int) -> DataFrame:
-    """The k most similar other vectors of the same label for ids that ``every`` divides."""
-    asked = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    pairs = asked.join(vectors, "label").where("query_id <> vec_id")
-    scored = pairs.select("query_id", "vec_id", F.round(dense_cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+def similar_within_label(vectors: DataFrame, k: int, every: int, rows: int = 8192) -> DataFrame:
+    """The k most similar other vectors of the same label for ids that ``every`` divides; cosine to 6 places, ties to the smaller id.
+
+    Vectors and queries are dealt to blocks of about ``rows``; each query block of a
+    label meets each data block of that label in a task, which gives its k best.
+    """
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    asked = vectors.where(F.col("vec_id") % every == 0)
+    blocks, query_blocks = max(1, -(-vectors.count() // rows)), max(1, -(-asked.count() // rows))
+    keep = lambda df: df.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    left = keep(vectors).withColumn("db", block(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = keep(asked).withColumn("qb", block(query_blocks)).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(data) and len(queries):
+            x, q = np.vstack(data["x"].to_numpy()), np.vstack(queries["x"].to_numpy())
+            norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
+            cosine = np.round(np.divide(q @ x.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
+            ids = data["vec_id"].to_numpy()
+            for own, line in zip(queries["vec_id"], cosine, strict=True):
+                other = np.flatnonzero(ids != own)
+                best = other[np.lexsort((ids[other], -line[other]))[:k]]
+                found.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "similarity": line[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+
+    keys = ["label", "db", "qb"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def anomaly_score(similar: DataFrame, outcome: DataFrame) -> DataFrame:
-    """Similarity-weighted mean outcome of the patterns found, scaled to +-10. outcome: vec_id, value in -1..1."""
-    w = similar.join(outcome, "vec_id").groupBy("query_id").agg((F.sum(F.col("similarity") * F.col("value")) / F.sum(F.abs("similarity"))).alias("mean"))
+    """Similarity-weighted mean outcome of the patterns found, scaled to +-10; null without similarity. outcome: vec_id, value in -1..1."""
+    weight = F.sum(F.abs("similarity"))
+    w = similar.join(outcome, "vec_id").groupBy("query_id").agg(F.when(weight > 0, F.sum(F.col("similarity") * F.col("value")) / weight).alias("mean"))
     return w.withColumn("score", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("mean") * 10)))

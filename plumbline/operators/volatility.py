@@ -2,7 +2,8 @@
 
 Variances are per bar; a variance that is not positive is null. Estimators that
 need no earlier close still leave out the window's first bar. Windows that cross
-a gap or are too short get a status instead of a number.
+a gap, are too short or hold a price that is not positive get a status instead of
+a number.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ def positive(x: Column) -> Column:
 
 
 def terms(series: DataFrame) -> DataFrame:
-    """Adds per-bar terms; all logs of ratios of positive prices."""
+    """Adds priced (all four prices positive) and per-bar terms; logs of ratios are null where a price is not positive."""
     prior = F.lag("close").over(order())
-    ln = lambda a, b: F.ln(F.col(a) / F.col(b))
+    ratio = lambda a, b: F.when((a > 0) & (b > 0), F.ln(a / b))
+    ln = lambda a, b: ratio(F.col(a), F.col(b))
     hl, co = ln("high", "low"), ln("close", "open")
     return (
-        series.withColumn("r", F.ln(F.col("close") / prior))
-        .withColumn("overnight", F.ln(F.col("open") / prior))
+        series.withColumn("priced", F.coalesce(F.least("open", "high", "low", "close") > 0, F.lit(False)))
+        .withColumn("r", ratio(F.col("close"), prior))
+        .withColumn("overnight", ratio(F.col("open"), prior))
         .withColumn("body", co)
         .withColumn("pk", hl * hl / (4 * F.ln(F.lit(2.0))))
         .withColumn("gk", 0.5 * hl * hl - (2 * F.ln(F.lit(2.0)) - 1) * co * co)
@@ -44,8 +47,8 @@ def estimates(series: DataFrame, window: int = 20) -> DataFrame:
     whole = unbroken(window - 1)
     t = float(window)
     k = (ALPHA - 1) / (ALPHA + t / (t - 2))
-    out = terms(series).withColumn("whole", F.coalesce(whole, F.lit(False)))
-    only = lambda x: F.when(F.col("whole"), positive(x))
+    out = terms(series).withColumn("whole", F.coalesce(whole, F.lit(False))).withColumn("priced", F.every("priced").over(rows))
+    only = lambda x: F.when(F.col("whole") & F.col("priced"), positive(x))
     out = (
         out.withColumn("close_to_close", only(F.avg(F.col("r") * F.col("r")).over(inner)))
         .withColumn("demeaned", only(F.var_samp("r").over(inner)))
@@ -74,7 +77,7 @@ def long_latest(series: DataFrame, window: int, cadence: int, asset_class: str =
     """The newest estimate of each series and estimator: variance, annual percent and status."""
     made = wilder_atr(series, window).select("instrument_key", "open_time", "atr")
     wide = estimates(series, window).join(made, ["instrument_key", "open_time"])
-    wide = wide.withColumn("natr", positive((F.col("atr") / F.col("close")) ** 2))
+    wide = wide.withColumn("natr", positive(F.when(F.col("close") > 0, F.col("atr") / F.col("close")) ** 2))
     newest = wide.withColumn("newest", F.row_number().over(Window.partitionBy("instrument_key").orderBy(F.desc("open_time")))).where("newest = 1")
     per_year = YEAR_DAYS[asset_class] * 86_400 / cadence
     long = newest.unpivot(["instrument_key", "open_time", "n", "whole"], list(ESTIMATORS), "estimator", "variance")
@@ -84,9 +87,10 @@ def long_latest(series: DataFrame, window: int, cadence: int, asset_class: str =
 
 
 def drawdowns(series: DataFrame, window: int = 14) -> DataFrame:
-    """Adds drawdown from the running high, the worst so far, and the ulcer index of the last bars."""
+    """Adds drawdown from the running high (null until one is positive), the worst so far, and the ulcer index of the last bars."""
     sofar = order().rowsBetween(Window.unboundedPreceding, 0)
-    out = series.withColumn("drawdown", (F.col("close") / F.max("close").over(sofar) - 1) * 100)
+    high = F.max("close").over(sofar)
+    out = series.withColumn("drawdown", F.when(high > 0, (F.col("close") / high - 1) * 100))
     return out.withColumn("max_drawdown", F.min("drawdown").over(sofar)).withColumn("ulcer", F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown")).over(last(window))))
 
 

@@ -108,12 +108,6 @@ def duplicate_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
-    named = part_names(spark, d)
-    left, right = named.where("CAST(substr(key, 2) AS BIGINT) % 10 = 1"), named.where("CAST(substr(key, 2) AS BIGINT) % 10 = 2")
-    return registry.fuzzy_matches(left, right).select("a", "b", r4("score"))
-
-
-def fuzzy_links(spark: SparkSession, d: str) -> DataFrame:
     """All part names against all."""
     return registry.fuzzy_links(part_names(spark, d)).select("a", "b", r4("score"))
 
@@ -179,18 +173,13 @@ def flow_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flow_top_counterparties(spark: SparkSession, d: str) -> DataFrame:
-    return flows.top_counterparties(money_flows(spark, d).where("dst IN ('s1', 's2', 's3')"), 3).withColumn("total", F.col("total").cast("double"))
-
-
-def flow_top_counterparties_all(spark: SparkSession, d: str) -> DataFrame:
     """The three largest partners of every entity, over all flows."""
     return flows.top_counterparties(money_flows(spark, d), 3).withColumn("total", F.col("total").cast("double"))
 
 
 def flow_attribution(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").where(F.col("o_totalprice") > 300_000).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("at"))
-    made = flows.attribute(o, money_flows(spark, d), 24)
-    return made.groupBy("event_id").agg(F.count("*").alias("flows"), F.sum("amount").cast("double").alias("amount"), F.round(F.sum("score"), 4).alias("score"))
+    return flows.attribution_totals(o, money_flows(spark, d)).select("event_id", "flows", F.col("amount").cast("double").alias("amount"), r4("score"))
 
 
 def event_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -211,12 +200,6 @@ def event_volatility_links(spark: SparkSession, d: str) -> DataFrame:
     return events.leg_links(spread_legs(spark, d), e, 6).select("instrument_key", "start_time", "event_id", r4("hours"), r4("score"))
 
 
-def event_indicator(spark: SparkSession, d: str) -> DataFrame:
-    g = events.graph(event_rows(spark, d), 6).groupBy(F.col("a").alias("event_id")).agg(F.count("*").alias("links"), F.sum("strength").alias("strength"))
-    made = events.indicator(g.withColumn("flow_score", F.lit(0.1)))
-    return made.select("event_id", "links", r4("indicator"))
-
-
 def consolidation_tree(spark: SparkSession, d: str) -> DataFrame:
     roots = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("key"))
     return graph.tree(edges(spark, d), roots, 3).select("root", "node", "depth")
@@ -328,7 +311,7 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fundamental_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return reports.ratios(metrics(spark, d), ["entity", "period"]).where("ratio IN ('liabilities_to_assets', 'net_margin')").select("entity", "period", "ratio", "value", "status")
+    return reports.ratios(metrics(spark, d), ["entity", "period"]).select("entity", "period", "ratio", "value", "status")
 
 
 def metric_alignment(spark: SparkSession, d: str) -> DataFrame:
@@ -359,7 +342,7 @@ def day_change(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.similar_within_label(table(spark, d, "embeddings"), 5, 25)
+    return vectors.similar_within_label(table(spark, d, "embeddings"), 5, 50)
 
 
 def provider_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -449,9 +432,7 @@ QUERIES = {
     "duplicate_links": (duplicate_links, """WITH n AS (SELECT 'p' || p_partkey AS key, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS norm, p_brand FROM part), s AS (SELECT *, min(key) OVER (PARTITION BY norm) AS x, min(key) OVER (PARTITION BY norm, p_brand) AS y FROM n),
         l AS (SELECT x AS a, key AS b FROM s UNION SELECT y, key FROM s)
         SELECT a, b, CASE WHEN p.p_brand = q.p_brand THEN 'name_country' ELSE 'name' END AS reason FROM l JOIN n p ON p.key = a JOIN n q ON q.key = b WHERE a <> b"""),
-    "fuzzy_candidates": (fuzzy_candidates, f"""WITH t AS (SELECT p_partkey, {TOKENS} AS toks FROM part), p AS (SELECT 'p' || a.p_partkey AS a, 'p' || b.p_partkey AS b, len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks)) AS score FROM t a JOIN t b ON a.p_partkey % 10 = 1 AND b.p_partkey % 10 = 2)
-        SELECT a, b, round(score, 4) AS score FROM p WHERE score >= 0.6"""),
-    "fuzzy_links": (fuzzy_links, f"""WITH t AS (SELECT 'p' || p_partkey AS key, list_sort({TOKENS}) AS toks FROM part), h AS (SELECT toks, min(key) AS head FROM t GROUP BY 1), p AS (SELECT a.head AS a, b.head AS b, len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks)) AS score FROM h a JOIN h b ON a.head < b.head)
+    "fuzzy_candidates": (fuzzy_candidates, f"""WITH t AS (SELECT 'p' || p_partkey AS key, list_sort({TOKENS}) AS toks FROM part), h AS (SELECT toks, min(key) AS head FROM t GROUP BY 1), p AS (SELECT a.head AS a, b.head AS b, len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks)) AS score FROM h a JOIN h b ON a.head < b.head)
         SELECT a, b, round(score, 4) AS score FROM p WHERE score >= 0.6 UNION ALL SELECT head, key, 1.0 FROM t JOIN h USING (toks) WHERE key <> head"""),
     "watchlist_candidates": (watchlist_candidates, with_views("entities", body="SELECT b.key AS listing, c.key AS entity FROM entities b JOIN entities c ON b.kind = 'bank' AND c.kind = 'company' AND regexp_extract(b.name, '(\\d+)', 1) = regexp_extract(c.name, '(\\d+)', 1) WHERE substr(c.key, 2)::BIGINT % 3 <> 0")),
     "alias_resolution": (alias_resolution, with_views("flows", body="SELECT CASE WHEN substr(dst, 2)::BIGINT % 10 = 5 THEN 's' || (substr(dst, 2)::BIGINT - 1) ELSE dst END AS dst, count(*) AS n, sum(amount)::DOUBLE AS total FROM flows GROUP BY 1")),
@@ -463,16 +444,13 @@ QUERIES = {
         SELECT user_id, event_type, event_id, value FROM (SELECT * FROM s UNION ALL SELECT * FROM n WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM s)) JOIN events USING (user_id, event_type, event_id)"""),
     "quarantine_ohlc": (quarantine_ohlc, with_views("bars_hour", body="""SELECT instrument_key, CASE WHEN hour(open_time) = 5 THEN 'not_positive' WHEN hour(open_time) = 3 THEN 'high_below_low' ELSE 'valid' END AS reason, count(*) AS n FROM bars GROUP BY 1, 2""")),
     "flow_summary": (flow_summary, with_views("flows", """sides AS (SELECT dst AS entity, currency, amount AS i, 0::DECIMAL(18,2) AS o FROM flows UNION ALL SELECT src, currency, 0, amount FROM flows)""", body="SELECT entity, currency, sum(i)::DOUBLE AS inflow, sum(o)::DOUBLE AS outflow, (sum(i) - sum(o))::DOUBLE AS net, count(*) AS n FROM sides GROUP BY 1, 2")),
-    "flow_top_counterparties": (flow_top_counterparties, with_views("flows", """sides AS (SELECT dst AS entity, src AS partner, currency, amount FROM flows WHERE dst IN ('s1', 's2', 's3') UNION ALL SELECT src, dst, currency, amount FROM flows WHERE dst IN ('s1', 's2', 's3')),
-        totals AS (SELECT entity, currency, partner, sum(amount)::DECIMAL(28,2) AS total FROM sides GROUP BY 1, 2, 3)""", body="SELECT entity, partner, currency, total::DOUBLE AS total, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity, currency ORDER BY total DESC, partner DESC)::INTEGER AS rank FROM totals) WHERE rank <= 3")),
-    "flow_top_counterparties_all": (flow_top_counterparties_all, with_views("flows", """sides AS (SELECT dst AS entity, src AS partner, currency, amount FROM flows UNION ALL SELECT src, dst, currency, amount FROM flows),
+    "flow_top_counterparties": (flow_top_counterparties, with_views("flows", """sides AS (SELECT dst AS entity, src AS partner, currency, amount FROM flows UNION ALL SELECT src, dst, currency, amount FROM flows),
         totals AS (SELECT entity, currency, partner, sum(amount)::DECIMAL(28,2) AS total FROM sides GROUP BY 1, 2, 3)""", body="SELECT entity, partner, currency, total::DOUBLE AS total, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity, currency ORDER BY total DESC, partner DESC)::INTEGER AS rank FROM totals) WHERE rank <= 3")),
     "flow_attribution": (flow_attribution, with_views("flows", body="""SELECT o_orderkey AS event_id, count(*) AS flows, sum(amount)::DOUBLE AS amount, round(sum(CASE WHEN h <= 1 THEN 0.9 WHEN h <= 6 THEN 0.6 WHEN h <= 24 THEN 0.3 ELSE 0.1 END::DOUBLE), 4) AS score
         FROM (SELECT o_orderkey, amount, (epoch_us(occurred_at) - epoch_us(o_orderdate)) / 3.6e9 AS h FROM (SELECT * FROM orders WHERE o_totalprice > 300000) JOIN flows ON occurred_at BETWEEN o_orderdate AND o_orderdate + INTERVAL 24 HOUR) GROUP BY 1""")),
     "event_graph": (event_graph, with_views("observations", GRAPH, body="SELECT a, b, strength, relation, round(hours, 4) AS hours FROM g")),
     "event_volatility_links": (event_volatility_links, with_views(*HOUR_MOVES, "observations", body="""SELECT instrument_key, start_time, event_id, round(h, 4) AS hours, round((CASE WHEN h <= 24 THEN 1 - h / 24 ELSE 0 END + 1.5) / 3, 4) AS score FROM
         (SELECT instrument_key, start_time, event_id, abs(epoch_us(occurred_at) - epoch_us(start_time)) / 3.6e9 AS h FROM found JOIN obs ON kind = instrument_key AND occurred_at BETWEEN start_time - INTERVAL 6 HOUR AND end_time + INTERVAL 6 HOUR WHERE abs(change) >= 300)""")),
-    "event_indicator": (event_indicator, with_views("observations", GRAPH, body="SELECT a AS event_id, count(*) AS links, round(least(10, count(*) * 0.1::DOUBLE + sum(strength) + 0.1::DOUBLE), 4) AS indicator FROM g GROUP BY 1")),
     "consolidation_tree": (consolidation_tree, "WITH RECURSIVE " + with_views("edges", """t AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT root, src, depth + 1 FROM t JOIN edges ON dst = node WHERE depth < 3)""", body="SELECT root, node, min(depth) AS depth FROM t GROUP BY 1, 2")[5:]),
     "parent_status": (parent_status, with_views("edges", body="SELECT key, CASE WHEN p IS NULL THEN 'none_recorded' WHEN p > 1 THEN 'conflict' ELSE 'consolidated' END AS parent_status FROM (SELECT 'c' || c_custkey AS key FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'r0' UNION ALL SELECT 'x') LEFT JOIN (SELECT src AS key, count(DISTINCT dst) AS p FROM edges GROUP BY 1) USING (key)")),
     "headline_categories": (headline_categories, "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{CAT[k]}') THEN '{k}' END" for k in sorted(CAT)) + "], lambda x: x IS NOT NULL), ',') AS categories FROM documents"),
@@ -494,14 +472,14 @@ QUERIES = {
         body="""SELECT kind, round(e, 4) AS early, round(l, 4) AS late, round(s, 4) AS spread, CASE WHEN s > 0 THEN abs(l - e) >= s END AS drift FROM (SELECT kind, avg(amount) FILTER (WHERE i <= n // 3) AS e, avg(amount) FILTER (WHERE i > n - n // 3) AS l, stddev_pop(amount) AS s FROM placed GROUP BY 1)""")),
     "fundamental_ratios": (fundamental_ratios, """WITH w AS (SELECT o_custkey AS entity, year(o_orderdate) AS period, sum(o_totalprice) AS a, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS l FROM orders GROUP BY 1, 2)
         SELECT entity, period, 'liabilities_to_assets' AS ratio, round(CASE WHEN l IS NOT NULL AND a > 0 THEN l / a END, 6) AS value, CASE WHEN l IS NULL THEN 'missing_metric' WHEN a <= 0 THEN 'denominator_not_positive' ELSE 'ok' END AS status FROM w
-        UNION ALL SELECT entity, period, 'net_margin', NULL, 'missing_metric' FROM w"""),
+        UNION ALL SELECT entity, period, unnest(['equity_to_assets', 'debt_to_assets', 'debt_to_equity', 'net_margin', 'return_on_assets', 'return_on_equity', 'cash_to_assets']), NULL, 'missing_metric' FROM w"""),
     "metric_alignment": (metric_alignment, "SELECT l_orderkey, count(DISTINCT l_returnflag) AS l_returnflag_values, count(DISTINCT l_linestatus) AS l_linestatus_values, count(*) AS metrics, greatest(count(DISTINCT l_returnflag), count(DISTINCT l_linestatus)) <= 1 AS aligned FROM lineitem GROUP BY 1"),
     "fact_selection": (fact_selection, """SELECT l_orderkey, max(l_extendedprice) AS v, count(DISTINCT l_extendedprice) > 1 AS ambiguous, max(l_shipdate) AS "end", max(l_shipdate) AS filed FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_quantity) AS r FROM lineitem) WHERE r = 1 GROUP BY 1"""),
     "watchlist_best_alias": (watchlist_best_alias, "SELECT p_brand, arg_min(p_name, (CASE WHEN p_size >= 40 THEN 0 ELSE 1 END, CASE WHEN p_type LIKE 'PROMO%' THEN 0 ELSE 1 END, p_name)) AS p_name, count(*) AS aliases FROM part GROUP BY 1"),
     "oi_change": (oi_change, with_views("bars_day", body="SELECT * FROM (SELECT instrument_key, open_time, volume - lag(volume) OVER (PARTITION BY instrument_key ORDER BY open_time) AS difference FROM bars) WHERE difference IS NOT NULL")),
     "day_change": (day_change, with_views("bars_day", body="SELECT instrument_key, open_time, round(diff, 4) AS diff, round(diff / high * 100, 4) AS percent, open_time + INTERVAL 24 HOUR AS available_at FROM (SELECT *, close - lag(close) OVER (PARTITION BY instrument_key ORDER BY open_time) AS diff FROM bars) WHERE diff IS NOT NULL")),
     "vector_topk_cosine": (vector_topk_cosine, """SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INTEGER AS rank FROM
-        (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 25 = 0)) WHERE rank <= 5"""),
+        (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5"""),
     "provider_flags": (provider_flags, """WITH r AS (SELECT 'c' || (o_custkey % 50) AS source, o_orderdate, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status, o_orderkey % 100 AS f, o_orderkey % 60 AS s, o_orderkey % 45 AS k, floor(epoch(TIMESTAMP '2001-09-01' - o_orderdate)) / 3600 AS age FROM orders),
         g AS (SELECT source, count(*) AS runs, arg_max(status, (o_orderdate, o_orderkey)) AS last_status, min(o_orderdate) AS first_run, max(o_orderdate) AS last_run, sum(f)::BIGINT AS fetched, sum(s)::BIGINT AS stored, sum(k)::BIGINT AS skipped, count(*) FILTER (WHERE status = 'failed') AS failures, min(age) AS age, min(f) AS least, max(f) AS most FROM r GROUP BY 1)
         SELECT source, runs, last_status, first_run, last_run, fetched, stored, skipped, failures, array_to_string(list_filter([CASE WHEN last_status = 'failed' THEN 'last_run_failed' END, CASE WHEN failures * 2 > runs THEN 'mostly_failing' END, CASE WHEN skipped > stored THEN 'mostly_skipped' END, CASE WHEN fetched = 0 THEN 'empty' END,

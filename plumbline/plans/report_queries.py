@@ -92,12 +92,6 @@ def linked_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Categories of the last tenth of the documents against those before, by language."""
-    rows = documents(spark, d).select("doc_id", "lang", F.explode(text.categories(F.col("text"), LEXICON)).alias("c")).select("doc_id", F.concat_ws(":", "lang", "c").alias("category"))
-    return signals.category_contrast(rows.where("doc_id % 200 = 7"), rows.where("doc_id % 200 = 8"))
-
-
-def category_scan_all(spark: SparkSession, d: str) -> DataFrame:
     """Categories of the last tenth of all documents, in order of id, against those before, by language."""
     rows = documents(spark, d).where("doc_id IS NOT NULL")
     first = signals.nth(rows, "doc_id", rows.count() * 9 // 10)
@@ -154,9 +148,7 @@ QUERIES = {
     "retracted_edges": (retracted_edges, with_views("edges", body="SELECT rel, CASE WHEN substr(src, 2)::INT % 5 <> 0 THEN 'active' ELSE 'retracted' END AS status, count(*) AS n FROM edges GROUP BY 1, 2")),
     "failure_counters": (failure_counters, """WITH k AS (SELECT o_custkey, max((o_orderdate, o_orderkey)) AS ok_at FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT 'c' || o_custkey AS src, count(*) AS failures, max(o_orderdate) AS last_failure FROM orders LEFT JOIN k USING (o_custkey) WHERE o_orderstatus <> 'F' AND (ok_at IS NULL OR (o_orderdate, o_orderkey) > ok_at) GROUP BY 1"""),
     "linked_edges": (linked_edges, with_views("flows", body="SELECT dst AS source, count(DISTINCT src) AS n FROM flows WHERE currency = 'R' GROUP BY 1")),
-    "category_scan": (category_scan, "WITH x AS (SELECT doc_id, lang, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '{CAT[k]}') THEN '{k}' END" for k in sorted(CAT)) + """]) AS c FROM documents), a AS (SELECT DISTINCT lang || ':' || c AS category FROM x WHERE c IS NOT NULL AND doc_id % 200 = 7), b AS (SELECT DISTINCT lang || ':' || c AS category FROM x WHERE c IS NOT NULL AND doc_id % 200 = 8)
-        SELECT coalesce(a.category, b.category) AS category, CASE WHEN b.category IS NULL THEN 'new' WHEN a.category IS NULL THEN 'absent' ELSE 'both' END AS place FROM a FULL JOIN b ON a.category = b.category"""),
-    "category_scan_all": (category_scan_all, "WITH placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM documents WHERE doc_id IS NOT NULL), cut AS (SELECT doc_id AS first FROM placed WHERE i = n * 9 // 10 + 1), x AS (SELECT doc_id >= first AS now, lang, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '{CAT[k]}') THEN '{k}' END" for k in sorted(CAT)) + """]) AS c FROM documents, cut)
+    "category_scan": (category_scan, "WITH placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM documents WHERE doc_id IS NOT NULL), cut AS (SELECT doc_id AS first FROM placed WHERE i = n * 9 // 10 + 1), x AS (SELECT doc_id >= first AS now, lang, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '{CAT[k]}') THEN '{k}' END" for k in sorted(CAT)) + """]) AS c FROM documents, cut)
         SELECT lang || ':' || c AS category, CASE WHEN bool_and(now) THEN 'new' WHEN bool_or(now) THEN 'both' ELSE 'absent' END AS place FROM x WHERE c IS NOT NULL AND now IS NOT NULL GROUP BY 1"""),
     "spread_report": (spread_report, with_views("observations", body="SELECT kind, source, scope, count(*) AS n, round(arg_min(amount, occurred_at), 4) AS first, round(arg_max(amount, occurred_at), 4) AS last, round(min(amount), 4) AS least, round(max(amount), 4) AS greatest, round(CASE WHEN count(*) > 1 THEN stddev_pop(amount) END, 4) AS spread FROM obs GROUP BY 1, 2, 3")),
     "explained_window": (explained_window, with_views(*HOUR_MOVES, "observations", "flows", f"w AS (SELECT TIMESTAMP '{SPAN[0]}' AS s, TIMESTAMP '{SPAN[1]}' AS e)", body="""SELECT 'bars' AS measure, count(*) AS n FROM bars, w WHERE open_time >= s AND open_time < e UNION ALL SELECT 'moves', count(*) FROM found, w WHERE abs(change) >= 300 AND start_time >= s AND start_time < e

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import times
 from plumbline.operators import forecasts, moves, pit, reports, series, volatility
-from plumbline.views import bars, observations, with_views
+from plumbline.views import SQL, bars, observations, with_views
 
 KEYS = ["instrument_key", "open_time"]
 
@@ -105,13 +107,14 @@ def moves_verified(spark: SparkSession, d: str) -> DataFrame:
 
 
 W = "WINDOW w AS (PARTITION BY instrument_key ORDER BY open_time), r AS (PARTITION BY instrument_key ORDER BY open_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), i AS (PARTITION BY instrument_key ORDER BY open_time ROWS BETWEEN 18 PRECEDING AND CURRENT ROW)"
-VOLATILITY = f"""t AS (SELECT *, ln(close / lag(close) OVER w) AS r, ln(open / lag(close) OVER w) AS o, ln(close / open) AS c, power(ln(high / low), 2) / (4 * ln(2)) AS pk,
-    0.5 * power(ln(high / low), 2) - (2 * ln(2) - 1) * power(ln(close / open), 2) AS gk, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs,
-    greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM series WINDOW w AS (PARTITION BY instrument_key ORDER BY open_time)),
-    e AS (SELECT *, gaps = lag(gaps, 19) OVER w AS whole, avg(r * r) OVER i AS v1, var_samp(r) OVER i AS v2, avg(pk) OVER r AS v3, avg(gk) OVER i AS v4, avg(rs) OVER i AS v5,
+VOLATILITY = f"""logs AS (SELECT *, CASE WHEN open > 0 THEN ln(open) END AS lo, CASE WHEN high > 0 THEN ln(high) END AS lh, CASE WHEN low > 0 THEN ln(low) END AS ll, CASE WHEN close > 0 THEN ln(close) END AS lc FROM series),
+    t AS (SELECT *, lc - lag(lc) OVER w AS r, lo - lag(lc) OVER w AS o, lc - lo AS c, power(lh - ll, 2) / (4 * ln(2)) AS pk,
+    0.5 * power(lh - ll, 2) - (2 * ln(2) - 1) * power(lc - lo, 2) AS gk, (lh - lc) * (lh - lo) + (ll - lc) * (ll - lo) AS rs,
+    greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM logs WINDOW w AS (PARTITION BY instrument_key ORDER BY open_time)),
+    e AS (SELECT *, gaps = lag(gaps, 19) OVER w AS whole, bool_and(least(open, high, low, close) > 0) OVER r AS ok, avg(r * r) OVER i AS v1, var_samp(r) OVER i AS v2, avg(pk) OVER r AS v3, avg(gk) OVER i AS v4, avg(rs) OVER i AS v5,
     var_samp(o) OVER i + (0.34 / (1.34 + 20.0 / 18)) * var_samp(c) OVER i + (1 - 0.34 / (1.34 + 20.0 / 18)) * avg(rs) OVER i AS v6 FROM t {W}),
-    v AS (SELECT instrument_key, open_time, coalesce(whole, false) AS whole, n, close, CASE WHEN whole AND v1 > 0 THEN v1 END AS close_to_close, CASE WHEN whole AND v2 > 0 THEN v2 END AS demeaned,
-    CASE WHEN whole AND v3 > 0 THEN v3 END AS parkinson, CASE WHEN whole AND v4 > 0 THEN v4 END AS garman_klass, CASE WHEN whole AND v5 > 0 THEN v5 END AS rogers_satchell, CASE WHEN whole AND v6 > 0 THEN v6 END AS yang_zhang FROM e)"""
+    v AS (SELECT instrument_key, open_time, coalesce(whole, false) AS whole, n, close, CASE WHEN whole AND ok AND v1 > 0 THEN v1 END AS close_to_close, CASE WHEN whole AND ok AND v2 > 0 THEN v2 END AS demeaned,
+    CASE WHEN whole AND ok AND v3 > 0 THEN v3 END AS parkinson, CASE WHEN whole AND ok AND v4 > 0 THEN v4 END AS garman_klass, CASE WHEN whole AND ok AND v5 > 0 THEN v5 END AS rogers_satchell, CASE WHEN whole AND ok AND v6 > 0 THEN v6 END AS yang_zhang FROM e)"""
 SHOWN = ("close_to_close", "demeaned", "parkinson", "garman_klass", "rogers_satchell", "yang_zhang")
 
 
@@ -145,6 +148,18 @@ def volatility_latest(spark: SparkSession, d: str) -> DataFrame:
     return made.select("instrument_key", "open_time", "estimator", F.round("variance", 6).alias("variance"), F.round("annual_percent", 2).alias("annual_percent"), "status")
 
 
+LATEST_SQL = with_views(
+    "bars_hour", "cadence", VOLATILITY,
+    """a AS (SELECT instrument_key, open_time, array_agg(tr) OVER (PARTITION BY instrument_key ORDER BY open_time ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS x FROM t)""",
+    """b AS (SELECT instrument_key, open_time, CASE WHEN len(x) >= 14 THEN list_reduce(list_concat([list_sum(x[1:14]) / 14], x[15:]), lambda a, b: (a * 13 + b) / 14) END AS atr FROM a)""",
+    """w AS (SELECT v.*, list_avg(list_filter([parkinson, garman_klass, rogers_satchell], lambda x: x IS NOT NULL)) AS lpv, CASE WHEN whole AND close > 0 AND atr > 0 THEN power(atr / close, 2) END AS natr,
+        row_number() OVER (PARTITION BY instrument_key ORDER BY open_time DESC) AS newest FROM v JOIN b USING (instrument_key, open_time))""",
+    body="SELECT instrument_key, open_time, e.name AS estimator, round(e.v, 6) AS variance, round(sqrt(e.v * 8760) * 100, 2) AS annual_percent, CASE WHEN n < 20 THEN 'insufficient_bars' WHEN NOT whole THEN 'gap' WHEN e.v IS NULL THEN 'not_computable' ELSE 'ok' END AS status FROM w, unnest(["
+    + ", ".join(f"{{'name': '{n}', 'v': {n}}}" for n in volatility.ESTIMATORS)
+    + "]) AS u(e) WHERE newest = 1",
+)
+
+
 def drawdown_ulcer(spark: SparkSession, d: str) -> DataFrame:
     return volatility.drawdowns(bars(spark, d)).select(*KEYS, r4("drawdown"), r4("max_drawdown"), r4("ulcer"))
 
@@ -269,6 +284,15 @@ def h(body: str, *more: str) -> str:
     return with_views("bars_hour", "cadence", *more, body=body)
 
 
+#: The same series without every eleventh bar, with its own cadence and gaps.
+THINNED = "thin AS (SELECT * FROM series WHERE n % 11 <> 0), " + re.sub(r"\b(steps|cadences|series)\b", r"thin_\1", SQL["cadence"]).replace("FROM bars", "FROM (SELECT instrument_key, open_time, close FROM thin)")
+VERIFIED_SQL = with_views(
+    "bars_hour", "cadence", RETURNS_K, baseline_sql(90, 3), CANDIDATES, THINNED,
+    """kept AS (SELECT f.instrument_key, f.start_time, f.end_time, CASE WHEN s.n % 7 = 0 THEN f.start_price + 1 ELSE f.start_price END AS start_price, f.end_price FROM found f JOIN series s ON s.instrument_key = f.instrument_key AND s.open_time = f.end_time)""",
+    body="""SELECT k.instrument_key, CASE WHEN a.close IS NULL THEN 'start_missing' WHEN b.close IS NULL THEN 'end_missing' WHEN a.gaps <> b.gaps THEN 'gap' WHEN a.close <> k.start_price OR b.close <> k.end_price THEN 'changed' ELSE 'verified' END AS status, count(*) AS n
+    FROM kept k LEFT JOIN thin_series a ON a.instrument_key = k.instrument_key AND a.open_time = k.start_time LEFT JOIN thin_series b ON b.instrument_key = k.instrument_key AND b.open_time = k.end_time GROUP BY 1, 2""",
+)
+
 QUERIES = {
     "bars_hourly": (bars_hourly, with_views("bars_hour", body="SELECT * FROM bars")),
     "bars_daily": (bars_daily, with_views("bars_day", body="SELECT * FROM bars")),
@@ -285,11 +309,11 @@ QUERIES = {
     "current_move": (current_move, h("""SELECT instrument_key, open_time AS as_of, round(change, 4) AS change, CASE WHEN n <= 3 THEN 'insufficient_bars' WHEN gaps <> g3 THEN 'gap' WHEN abs(change) >= 100 THEN 'move' ELSE 'calm' END AS status
         FROM (SELECT *, lag(gaps, 3) OVER (PARTITION BY instrument_key ORDER BY open_time) AS g3, row_number() OVER (PARTITION BY instrument_key ORDER BY open_time DESC) AS newest FROM changes) WHERE newest = 1""", RETURNS_K)),
     "move_pre_windows": (move_pre_windows, h("SELECT instrument_key, start_time, greatest(start_time - INTERVAL 24 HOUR, first_bar) AS pre_start, start_time AS pre_end FROM found JOIN (SELECT instrument_key, min(open_time) AS first_bar FROM bars GROUP BY 1) USING (instrument_key)", RETURNS_K, baseline_sql(90, 3), CANDIDATES)),
-    "moves_verified": (moves_verified, None),
+    "moves_verified": (moves_verified, VERIFIED_SQL),
     **{f"vol_{n}": (one_estimator(n), estimator_sql(n)) for n in (*SHOWN, "lpv")},
     "vol_atr": (vol_atr, ATR_SQL),
-    "volatility_latest": (volatility_latest, None),
-    "drawdown_ulcer": (drawdown_ulcer, with_views("bars_hour", """dd AS (SELECT *, (close / max(close) OVER w - 1) * 100 AS drawdown FROM bars WINDOW w AS (PARTITION BY instrument_key ORDER BY open_time))""",
+    "volatility_latest": (volatility_latest, LATEST_SQL),
+    "drawdown_ulcer": (drawdown_ulcer, with_views("bars_hour", """dd AS (SELECT *, (close / CASE WHEN max(close) OVER w > 0 THEN max(close) OVER w END - 1) * 100 AS drawdown FROM bars WINDOW w AS (PARTITION BY instrument_key ORDER BY open_time))""",
         body="""SELECT instrument_key, open_time, round(drawdown, 4) AS drawdown, round(min(drawdown) OVER w, 4) AS max_drawdown, round(sqrt(avg(drawdown * drawdown) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)), 4) AS ulcer
         FROM dd WINDOW w AS (PARTITION BY instrument_key ORDER BY open_time)""")),
     **{f"price_anomalies_{m}": (anomalies(m), anomalies_sql(m)) for m in volatility.MODES},
@@ -298,7 +322,7 @@ QUERIES = {
         FROM series WINDOW b AS (PARTITION BY instrument_key ORDER BY open_time ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE gaps = g AND k = 10 AND sd > 0""")),
     "context_refusals": (context_refusals, h("""SELECT instrument_key, CASE WHEN n <= 10 THEN 'short_baseline' WHEN gaps <> g THEN 'hole_in_baseline' WHEN v = 0 THEN 'no_variation' WHEN round(v, 8) = 0 AND v <> 0 THEN 'value_not_representable' ELSE 'stored' END AS reason, count(*) AS n
         FROM (SELECT *, (close - open) / 1e9 AS v, lag(gaps, 10) OVER (PARTITION BY instrument_key ORDER BY open_time) AS g FROM series) GROUP BY 1, 2""")),
-    "window_behaviour": (window_behaviour, h(f"""SELECT instrument_key, count(*) AS bars, round((arg_max(close, open_time) - arg_min(open, open_time)) / arg_min(open, open_time) * 100, 4) AS return_percent, max(high) AS high, min(low) AS low, sum(volume)::BIGINT AS volume,
+    "window_behaviour": (window_behaviour, h(f"""SELECT instrument_key, count(*) AS bars, round((arg_max(close, open_time) - arg_min(open, open_time)) / nullif(arg_min(open, open_time), 0) * 100, 4) AS return_percent, max(high) AS high, min(low) AS low, sum(volume)::BIGINT AS volume,
         round(arg_max(change, (coalesce(abs(change), -1), open_time)), 4) AS largest_move, arg_max(open_time, (coalesce(abs(change), -1), open_time)) AS largest_at FROM changes WHERE open_time >= '{SPAN[0]}' AND open_time < '{SPAN[1]}' GROUP BY 1""", RETURNS)),
     "window_change": (window_change, with_views("observations", body=f"""SELECT kind, count(*) AS points, round(arg_min(amount, occurred_at), 4) AS first, round(arg_max(amount, occurred_at), 4) AS last,
         CASE WHEN count(*) > 1 THEN round(arg_max(amount, occurred_at) - arg_min(amount, occurred_at), 4) END AS change FROM obs WHERE occurred_at >= '{SPAN[0]}' AND occurred_at < '{SPAN[1]}' GROUP BY 1""")),
@@ -306,8 +330,8 @@ QUERIES = {
         FROM changes WINDOW r AS (PARTITION BY instrument_key ORDER BY open_time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), b AS (PARTITION BY instrument_key ORDER BY open_time ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING)) WHERE n >= 48""", RETURNS)),
     "daily_tiles": (daily_tiles, with_views("bars_hour", body="""SELECT instrument_key, date_trunc('day', open_time)::TIMESTAMP AS tile_start, count(*) AS bars, arg_min(open, open_time) AS first_open, arg_max(close, open_time) AS last_close, max(high) AS high, min(low) AS low, round(avg(volume), 4) AS mean_volume FROM bars GROUP BY 1, 2""")),
     "zigzag_legs": (zigzag_legs, None),
-    "episode_regime": (episode_regime, h("""SELECT f.instrument_key, f.start_time, round((f.start_price - b.close) / b.close * 100, 4) AS lookback_return,
-        CASE WHEN b.close IS NULL THEN 'unknown' WHEN (f.start_price - b.close) / b.close * 100 > 50 THEN 'bull' WHEN (f.start_price - b.close) / b.close * 100 < -50 THEN 'bear' ELSE 'range' END AS regime
+    "episode_regime": (episode_regime, h("""SELECT f.instrument_key, f.start_time, round((f.start_price - b.close) / nullif(b.close, 0) * 100, 4) AS lookback_return,
+        CASE WHEN b.close IS NULL OR b.close = 0 THEN 'unknown' WHEN (f.start_price - b.close) / nullif(b.close, 0) * 100 > 50 THEN 'bull' WHEN (f.start_price - b.close) / nullif(b.close, 0) * 100 < -50 THEN 'bear' ELSE 'range' END AS regime
         FROM (SELECT *, start_time - INTERVAL 48 HOUR AS target FROM found) f ASOF LEFT JOIN bars b ON f.instrument_key = b.instrument_key AND f.target >= b.open_time""", RETURNS_K, baseline_sql(90, 3), CANDIDATES)),
     "forecast_methods": (forecast_methods, h("SELECT instrument_key, method, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE direction_hit) AS direction_hits, round(avg(error), 4) AS mae FROM s GROUP BY 1, 2", FORECASTS)),
     "forecast_split_selection": (forecast_split_selection, h("""SELECT instrument_key, method, n, hits, mae FROM (SELECT *, first_value(method) OVER (PARTITION BY instrument_key ORDER BY part <> 'train', hits DESC, raw, list_position(['persistence', 'linear', 'mean3'], method)) AS best, min(part <> 'train') OVER (PARTITION BY instrument_key) AS untrained FROM

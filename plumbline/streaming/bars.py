@@ -72,7 +72,7 @@ def zigzag(bars: DataFrame, threshold: float) -> DataFrame:
     """Confirmed ZigZag legs of a stream of bars (instrument_key, at, close), one state a series.
 
     Rows of a batch are taken in order of time; rows older than the state's
-    newest are not applied.
+    newest are not applied, nor are rows without a positive close.
     """
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -95,7 +95,7 @@ def zigzag(bars: DataFrame, threshold: float) -> DataFrame:
         state.update((anchor, way, extreme, extreme_at, start_at))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in LEGS.split(", ")])
 
-    return bars.groupBy("instrument_key").applyInPandasWithState(walk, LEGS, STATE, "append", "NoTimeout")
+    return bars.where("close > 0").groupBy("instrument_key").applyInPandasWithState(walk, LEGS, STATE, "append", "NoTimeout")
 
 
 def late_counts(events: DataFrame, path: str, checkpoint: str, hours: int = 24) -> DataStreamWriter:

@@ -20,7 +20,7 @@ def test_category_scan_reads_every_document(spark, tmp_path):
     rows[95] = (105, "de", "s", "x und y")
     rows[99] = (109, "fr", "s", "x et y")
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {tuple(r) for r in report_queries.category_scan_all(spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in report_queries.category_scan(spark, str(tmp_path)).collect()}
     assert got == {("en:license", "absent"), ("de:connective", "both"), ("fr:connective", "new")}
 
 
@@ -64,7 +64,7 @@ def test_top_counterparties_of_every_entity(spark):
     for (entity, currency, partner), total in totals.items():
         ranked.setdefault((entity, currency), []).append((total, partner))
     want = {(*k, i + 1, partner) for k, own in ranked.items() for i, (_, partner) in enumerate(sorted(own, reverse=True)[:3])}
-    made = registry_queries.flow_top_counterparties_all(spark, SF).collect()
+    made = registry_queries.flow_top_counterparties(spark, SF).collect()
     assert {(r.entity, r.currency, r.rank, r.partner) for r in made} == want and len(made) == len(want)
 
 
