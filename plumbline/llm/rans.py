@@ -41,7 +41,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    def __init__(self, slots: np.ndarray, lanes: int = 1024, block: int = 1 << 18) -> None:
+    def __init__(self, slots: np.ndarray, lanes: int = 4096, block: int = 1 << 19) -> None:
         self.lanes, self.block = lanes, block
         self.freq = slots.astype(np.uint64)
         self.cum = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
@@ -55,7 +55,7 @@ class Coder:
             part = ids[first : first + self.block]
             states, words = self._encode(part)
             body = states.astype("<u8").tobytes() + words.astype("<u4").tobytes()
-            table.append(CHECKPOINT.pack(first, at, len(words), zlib.crc32(part.astype("<u4").tobytes())))
+            table.append(CHECKPOINT.pack(first, at, len(words), zlib.crc32(np.ascontiguousarray(part, "<u4"))))
             data.append(body)
             at += len(body)
         head = HEAD.pack(MAGIC, self.lanes, len(ids), len(table), self.table_crc) + b"".join(table)
@@ -89,7 +89,7 @@ class Coder:
             size = (points[b + 1][0] if b + 1 < blocks else count) - first
             states = np.frombuffer(segment, "<u8", lanes, end + 4 + at)
             ids = self._decode(states, np.frombuffer(segment, "<u4", words, end + 4 + at + 8 * lanes), size)
-            if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+            if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != crc:
                 raise ValueError(f"block {b} is damaged")
             out.append(ids)
         return np.concatenate(out) if out else np.empty(0, np.uint32)

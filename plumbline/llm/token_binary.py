@@ -81,7 +81,7 @@ def token_counts(ids: DataFrame) -> np.ndarray:
     return counts
 
 
-def write(documents: DataFrame, path: str, vocabulary: str, segment: int = 1 << 20, lanes: int = 1024, block: int = 1 << 18) -> None:
+def write(documents: DataFrame, path: str, vocabulary: str, segment: int = 1 << 20, lanes: int = 4096, block: int = 1 << 19) -> None:
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [i / parts for i in range(1, parts)]
@@ -131,7 +131,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document."""
-    return _decoded(spark, path, "ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    return _decoded(spark, path, "ids_crc32 long", lambda ids: zlib.crc32(np.ascontiguousarray(ids, "<u4")))
 
 
 def _decoded(spark: SparkSession, path: str, column: str, of) -> DataFrame:
