@@ -24,7 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.vectors import block_search, gather, usable
+from plumbline.llm.common import gather
+from plumbline.llm.vectors import block_search, usable
 
 
 def projections(dim: int, count: int, seed: int) -> np.ndarray:

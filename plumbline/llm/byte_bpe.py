@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored_by
+from plumbline.llm.common import gather, stored_by
 
 BUCKETS = 32_768
 
@@ -176,12 +176,6 @@ def unpack(packed: pa.Buffer) -> list[np.ndarray]:
     return out
 
 
-def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places of all items of ranges, one range after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def chunked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, chars: int, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """For each chunk, rows of its words (bucket; lengths, places, bytes) and of its texts (doc_ids; sizes, places)."""
     import regex

@@ -34,21 +34,21 @@ def pieces(documents: DataFrame, vocabulary: str, capacity: int = 2048) -> DataF
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(vocabulary).encode
+        encode, end = tokens.encoder(vocabulary).encode, np.array([tokens.END], dtype="<u2").tobytes()
         for batch in batches:
             texts, doc_ids = batch["text"].tolist(), ids_of(batch["doc_id"])
             for a, b in tokens.chunks(texts):
-                at, rows = [], []
-                for i, x in zip(range(a, b), encode(texts[a:b]), strict=True):
-                    ids = np.append(np.frombuffer(x, "<u2"), tokens.END).astype("<u4")
-                    first = len(ids) % capacity or capacity
-                    cuts = [0, *range(first, len(ids) + 1, capacity)]
-                    for piece, (start, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        at.append(i)
-                        rows.append((piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
-                out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
-                out.insert(0, "doc_id", doc_ids.iloc[at].array)
-                yield out
+                found = [x + end for x in encode(texts[a:b])]
+                n = np.array([len(x) // 2 for x in found], dtype=np.int64)
+                ids, begin = np.frombuffer(b"".join(found), "<u2").astype("<u4"), np.cumsum(n) - n
+                many = -(-n // capacity)
+                of = np.repeat(np.arange(b - a), many)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                # the first piece is the short one
+                stop = n[of] - (many[of] - 1 - piece) * capacity
+                start = np.maximum(stop - capacity, 0)
+                crc = [zlib.crc32(ids[s:e]) for s, e in zip((begin[of] + start).tolist(), (begin[of] + stop).tolist(), strict=True)]
+                yield pd.DataFrame({"doc_id": doc_ids.iloc[a + of].array, "piece": piece, "start": start, "length": stop - start, "ids_crc32": crc})
 
     return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, PIECE)
 

@@ -11,10 +11,12 @@ special tokens goes to the library whole, which makes that string the token's id
 from __future__ import annotations
 
 import os
-from itertools import chain, compress
-from operator import not_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from plumbline.llm.common import gather
 
 END = 0
 #: Stops that may follow a word; no apostrophe, which contractions begin with.
@@ -96,31 +98,33 @@ class PieceEncoder:
             return out
         if len(self.known) > self.keep:
             self.older, self.known = self.known, {}
-        split = [t.split(" ") for t in texts]
-        pieces = list(chain.from_iterable(split))
-        ends = np.cumsum([len(x) for x in split])
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        index, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, pieces))
-        missing = list(compress(range(len(pieces)), map(not_, found)))
-        new = {pieces[i] for i in missing}
-        if self.older:
-            again = {p: self.older[p] for p in new if p in self.older}
-            self.known.update(again)
-            new.difference_update(again)
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        again = [i for i in missing if pieces[i] in self.older] if self.older else []
+        self.known.update((pieces[i], self.older[pieces[i]]) for i in again)
         # pieces beside more white space are not encoded alone
-        bare = {p for p in new if not p or p.strip() is not p}
-        self.learn(list(new - bare))
+        bare = {p for p in map(pieces.__getitem__, missing) if not p or p.strip() is not p}
+        self.learn([p for p in map(pieces.__getitem__, missing) if p not in bare and p not in self.known])
         for i in missing:
-            found[i] = self.known.get(pieces[i])
-        starts = ends - [len(x) for x in split]
-        beside = np.array([i for i in missing if pieces[i] in bare], dtype=np.int64)
-        beside = set(np.searchsorted(ends, np.setdiff1d(beside, starts), side="right").tolist())
+            found[i] = self.known.get(pieces[i], b"")
+        many = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        each, starts = many[index], bounds[:-1]
+        beside = np.array([p in bare for p in pieces], dtype=bool)[index] if bare else np.zeros(len(index), dtype=bool)
+        each[starts], beside[starts] = 0, False  # the first piece of a text has no space
+        ids = np.frombuffer(b"".join(found), "<u2")[gather((np.cumsum(many) - many)[index], each)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(each)])[bounds] * 2
+        odd = np.add.reduceat(beside, starts, dtype=np.int64) > 0 if len(texts) else []
+        heads = [t.partition(" ")[0] for t in texts]
         out = []
-        for i, (text, first, a, b) in enumerate(zip(texts, self.plain([x[0] for x in split]), starts.tolist(), ends.tolist(), strict=True)):
-            if i in beside or not pieces[a] or pieces[a][-1].isspace():
-                out.append(self.uneven(text))
+        for i, first in enumerate(self.plain(heads)):
+            if odd[i] or not heads[i] or heads[i][-1].isspace():
+                out.append(self.uneven(texts[i]))
             else:
-                found[a] = first
-                out.append(b"".join(found[a:b]))
+                out.append(first + ids[ends[i] : ends[i + 1]])
         return out
 
     def uneven(self, text: str) -> bytes:
@@ -145,7 +149,7 @@ def encoder(path: str, keep: int = 600_000) -> PieceEncoder:
     return _encoders[path, keep]
 
 
-def chunks(texts: list[str], chars: int = 1 << 21):
+def chunks(texts: list[str], chars: int = 1 << 22):
     """Ranges of texts with about ``chars`` characters, one text at least."""
     start = held = 0
     for i, text in enumerate(texts):
