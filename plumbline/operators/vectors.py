@@ -52,4 +52,4 @@ def anomaly_score(similar: DataFrame, outcome: DataFrame) -> DataFrame:
     """Similarity-weighted mean outcome of the patterns found, scaled to +-10; null without similarity. outcome: vec_id, value in -1..1."""
     weight = F.sum(F.abs("similarity"))
     w = similar.join(outcome, "vec_id").groupBy("query_id").agg(F.when(weight > 0, F.sum(F.col("similarity") * F.col("value")) / weight).alias("mean"))
-    return w.withColumn("score", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("mean") * 10)))
+    return w.withColumn("score", F.when(F.col("mean").isNotNull(), F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("mean") * 10))))

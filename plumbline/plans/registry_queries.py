@@ -338,7 +338,7 @@ def oi_change(spark: SparkSession, d: str) -> DataFrame:
 def day_change(spark: SparkSession, d: str) -> DataFrame:
     """Day on day, in percent of the high, known a day later."""
     b = bars(spark, d, "day").withColumn("diff", F.col("close") - F.lag("close").over(series.order()))
-    return b.where("diff IS NOT NULL").select("instrument_key", "open_time", r4("diff"), F.round(F.col("diff") / F.col("high") * 100, 4).alias("percent"), (F.col("open_time") + times.hours(24)).alias("available_at"))
+    return b.where("diff IS NOT NULL").select("instrument_key", "open_time", r4("diff"), F.round(F.when(F.col("high") != 0, F.col("diff") / F.col("high") * 100), 4).alias("percent"), (F.col("open_time") + times.hours(24)).alias("available_at"))
 
 
 def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -477,7 +477,7 @@ QUERIES = {
     "fact_selection": (fact_selection, """SELECT l_orderkey, max(l_extendedprice) AS v, count(DISTINCT l_extendedprice) > 1 AS ambiguous, max(l_shipdate) AS "end", max(l_shipdate) AS filed FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_quantity) AS r FROM lineitem) WHERE r = 1 GROUP BY 1"""),
     "watchlist_best_alias": (watchlist_best_alias, "SELECT p_brand, arg_min(p_name, (CASE WHEN p_size >= 40 THEN 0 ELSE 1 END, CASE WHEN p_type LIKE 'PROMO%' THEN 0 ELSE 1 END, p_name)) AS p_name, count(*) AS aliases FROM part GROUP BY 1"),
     "oi_change": (oi_change, with_views("bars_day", body="SELECT * FROM (SELECT instrument_key, open_time, volume - lag(volume) OVER (PARTITION BY instrument_key ORDER BY open_time) AS difference FROM bars) WHERE difference IS NOT NULL")),
-    "day_change": (day_change, with_views("bars_day", body="SELECT instrument_key, open_time, round(diff, 4) AS diff, round(diff / high * 100, 4) AS percent, open_time + INTERVAL 24 HOUR AS available_at FROM (SELECT *, close - lag(close) OVER (PARTITION BY instrument_key ORDER BY open_time) AS diff FROM bars) WHERE diff IS NOT NULL")),
+    "day_change": (day_change, with_views("bars_day", body="SELECT instrument_key, open_time, round(diff, 4) AS diff, round(diff / nullif(high, 0) * 100, 4) AS percent, open_time + INTERVAL 24 HOUR AS available_at FROM (SELECT *, close - lag(close) OVER (PARTITION BY instrument_key ORDER BY open_time) AS diff FROM bars) WHERE diff IS NOT NULL")),
     "vector_topk_cosine": (vector_topk_cosine, """SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INTEGER AS rank FROM
         (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5"""),
     "provider_flags": (provider_flags, """WITH r AS (SELECT 'c' || (o_custkey % 50) AS source, o_orderdate, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status, o_orderkey % 100 AS f, o_orderkey % 60 AS s, o_orderkey % 45 AS k, floor(epoch(TIMESTAMP '2001-09-01' - o_orderdate)) / 3600 AS age FROM orders),
