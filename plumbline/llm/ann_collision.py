@@ -41,7 +41,7 @@ def search_block(k: int, count: int, seed: int, radius: float, factor: float, wi
         radii.append(radii[-1] * factor)
     reach = width * np.array([*radii, np.inf])
 
-    def search(query_ids, queries, ids, vectors):
+    def search(query_ids, queries, ids, vectors, least=None):
         unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         asks = queries / np.linalg.norm(queries, axis=1)[:, None]
         turn = projections(vectors.shape[1], count, seed)

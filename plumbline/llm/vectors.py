@@ -40,14 +40,14 @@ def block_search(
     every: int,
     k: int,
     score_type: str,
-    search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]],
+    search: Callable[..., list[tuple[np.ndarray, np.ndarray]]],
     data_rows: int = 8192,
     query_rows: int = 4096,
 ) -> DataFrame:
     """The ``k`` best of ``data`` for each row whose id ``every`` divides.
 
-    ``search(query_ids, queries, ids, vectors)`` gives for each query the ids
-    and scores of its best in the block, at most k. Result: query_id, rank,
+    ``search(query_ids, queries, ids, vectors, least)`` gives for each query the
+    ids and scores of its best in the block, at most k. Result: query_id, rank,
     vec_id, score; ties go to the smaller vec_id. An id asks once, by its smallest
     vector, and no row of its own id is its candidate.
     """
@@ -55,21 +55,29 @@ def block_search(
     n, q = data.count(), asked.count()
     data_blocks, query_blocks = max(1, -(-n // data_rows)), max(1, -(-q // query_rows))
     left = data.select("vec_id", "x", block_of(data_blocks).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    right = asked.select("vec_id", "x", block_of(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("db"))
+    right = asked.select("vec_id", "x", block_of(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("db"), F.lit(None).cast("double").alias("least"))
+    return best_of(met(left, right, score_type, search), k)
+
+
+def met(left: DataFrame, right: DataFrame, score_type: str, search: Callable[..., list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """query_id, vec_id, score from the meetings of data (vec_id, x, db, qb) and queries (the same and least, the score that counts, or null) of one block each."""
 
     def meet(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for length in set(rows["x"].map(len)) & set(queries["x"].map(len)):
+        lengths = set(rows["x"].map(len)) & set(queries["x"].map(len)) if len(rows) and len(queries) else []
+        for length in lengths:
             rows_, queries_ = rows[rows["x"].map(len) == length].sort_values("vec_id"), queries[queries["x"].map(len) == length]
             ids, query_ids = rows_["vec_id"].to_numpy(), queries_["vec_id"].to_numpy()
-            for own, (best, score) in zip(query_ids, search(query_ids, matrix(queries_["x"]), ids, matrix(rows_["x"])), strict=True):
+            least = queries_["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
+            for own, (best, score) in zip(query_ids, search(query_ids, matrix(queries_["x"]), ids, matrix(rows_["x"]), least), strict=True):
                 found.append((np.full(len(best), own), best, score))
         query_id, vec_id, score = (np.concatenate(part) for part in zip(*found[len(found) > 1 :], strict=True))
         return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
 
     keys = ["db", "qb"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query_id long, vec_id long, score {score_type}")
-    return best_of(near, k)
+    # new columns, as both sides may come from one table
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query_id long, vec_id long, score {score_type}")
 
 
 def best_of(near: DataFrame, k: int) -> DataFrame:

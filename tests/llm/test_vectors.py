@@ -100,3 +100,27 @@ def test_windows_grow_to_the_same_neighbours_as_counting_all_ranks():
                 break
             distance *= 1.3
         assert found[q][0].tolist() == seen[np.lexsort((seen, -cosine))[:5]].tolist()
+
+
+def test_pivots_eliminate_on_clustered_data(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((24, 12)) * 6
+    vectors = np.vstack([c + 0.2 * rng.standard_normal((60, 12)) for c in centres]).astype(np.float32).astype(float)
+    ints = np.floor(64 * vectors)
+    top = (ints**2).sum(1).max()
+    near = topk_pivot.lifted(ints, top)
+    points = near[topk_pivot.pivot_rows(near, 24)]
+    away = topk_pivot.distances(near, points)
+    cell = away.argmin(1)
+    low, high = (np.array([f(away[cell == c], 0) for c in range(24)]) for f in (np.min, np.max))
+    scores = ints @ ints.T
+    np.fill_diagonal(scores, -np.inf)
+    least = np.array([np.sort(scores[q][cell == cell[q]])[-5] for q in range(len(ints))])
+    reach = topk_pivot.reached(ints, least, points, low, high, top)
+    best = np.sort(scores, axis=1)[:, -5]
+    for q in range(0, len(ints), 7):  # no cell with one of the five best is left out
+        assert reach[q, np.unique(cell[scores[q] >= best[q]])].all()
+    assert reach.mean() < 0.35
+    frame_ = frame(spark, [(i, [float(x) for x in v]) for i, v in enumerate(vectors)])
+    got = {tuple(r) for r in topk_pivot.top_k(frame_, k=5, pivots=24, data_rows=40, query_rows=16).collect()}
+    assert got == {(q, r + 1, int(i), int(scores[q, i])) for q in range(0, len(ints), 20) for r, i in enumerate(np.lexsort((np.arange(len(ints)), -scores[q]))[:5])}
