@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import times
-from plumbline.sources import payloads, sinks
-from plumbline.views import bars, observations, table, with_views
+from plumbline.operators import series
+from plumbline.sources import payloads, sinks, validation
+from plumbline.views import bars, entities, observations, table, with_views
 
 
 def ms(c: str) -> F.Column:
@@ -86,6 +87,157 @@ def evidence_validation(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy(F.coalesce("reason", F.lit("stored")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def source_chart(spark: SparkSession, d: str) -> DataFrame:
+    b = bars(spark, d)
+    close = F.when(F.hour("open_time") != 4, F.col("close"))
+    # a list of nulls would lose them, so the document is put together as text
+    joined = lambda c: F.concat(F.lit("["), F.array_join(F.collect_list(F.coalesce(c.cast("string"), F.lit("null"))), ","), F.lit("]"))
+    row = b.withColumn("at", times.epoch_seconds(F.col("open_time"))).groupBy("instrument_key")
+    raw = row.agg(F.concat(F.lit('{"timestamp":'), joined(F.col("at")), F.lit(',"close":'), joined(close), F.lit("}")).alias("payload"))
+    return payloads.chart(raw).groupBy("at").agg(F.count("*").alias("points"), F.round(F.sum("close"), 4).alias("close"))
+
+
+def source_rates(spark: SparkSession, d: str) -> DataFrame:
+    b = bars(spark, d, "day")
+    rate = F.when(F.col("volume") % 5 == 0, "n/a").otherwise((F.col("volume") / 1000).cast("string"))
+    raw = b.groupBy("instrument_key").agg(F.to_json(F.collect_list(F.struct(ms("open_time").alias("timestamp"), rate.alias("fundingRate")))).alias("payload"))
+    return payloads.ratio_levels(raw, "instrument_key", "fundingRate").select("instrument_key", "at", F.round("value", 6).alias("value"))
+
+
+def source_short_interest(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    shares = F.when(F.col("p_partkey") % 9 == 0, "-1").otherwise(F.concat((F.col("p_size") + 1).cast("string"), F.lit(",500")))
+    raw = p.select(F.to_json(F.struct(F.col("p_brand").alias("symbol"), F.lit("2024-01-15").alias("settlementDate"), shares.alias("currentShortPositionQuantity"))).alias("payload"))
+    return payloads.short_interest(raw).groupBy("symbol", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum("shares").alias("shares"))
+
+
+def source_supply(spark: SparkSession, d: str) -> DataFrame:
+    b = bars(spark, d, "day")
+    pegs = F.map_from_arrays(F.collect_list("instrument_key"), F.collect_list(F.col("volume").cast("double")))
+    raw = b.groupBy("open_time").agg(F.to_json(F.struct(times.epoch_seconds(F.first("open_time")).alias("date"), pegs.alias("circulating"))).alias("payload")).select("payload")
+    return payloads.supply_levels(raw).select(F.col("day").cast("string").alias("day"), "supply")
+
+
+def source_holdings(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as filers, their parts as holdings; every seventh is worth nothing."""
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    worth = F.when(F.col("l_linenumber") == 7, "0").otherwise(F.floor("l_extendedprice").cast("string"))
+    info = tag("infoTable", F.concat(tag("nameOfIssuer", F.concat(F.lit("Issuer "), F.col("l_partkey").cast("string"))), tag("cusip", F.col("l_partkey").cast("string")), tag("value", worth), tag("shrsOrPrnAmt", tag("sshPrnamt", F.col("l_quantity").cast("int").cast("string")))))
+    raw = table(spark, d, "lineitem").groupBy("l_orderkey").agg(tag("informationTable", F.array_join(F.collect_list(info), "")).alias("payload")).select("payload")
+    return payloads.holdings(raw).groupBy("cusip").agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.sum("shares").alias("shares"))
+
+
+def source_awards(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    cents = F.floor(F.col("o_totalprice")).cast("string")
+    r = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.substring("o_orderpriority", 1, 1).alias("agency"), (F.col("o_custkey") % 10).cast("string").alias("recipient"), F.when(F.col("o_orderkey") % 6 == 0, F.concat(F.lit("-"), cents)).otherwise(cents).alias("amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return payloads.awards(o.select(F.to_json(r).alias("payload"))).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min("day").cast("string").alias("first_day"))
+
+
+def source_lobbying(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    r = F.struct(F.concat(F.lit("c"), "o_custkey").alias("client"), F.lit("r").alias("registrant"), F.floor("o_totalprice").cast("string").alias("income"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"), F.array(F.col("o_orderstatus"), F.lit("TAX"), F.lit("BAN"), F.lit("TAX")).alias("issues"))
+    return payloads.lobbying(o.select(F.to_json(r).alias("payload"))).groupBy(F.col("quarter_start").cast("string").alias("quarter_start"), "issues").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+
+
+def source_uk_list(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    kind = F.when(F.col("p_size") % 5 == 0, "Primary name").when(F.col("p_size") % 5 == 1, "AKA").otherwise("Low quality")
+    return payloads.uk_listings(p.select(F.col("p_brand").alias("group_id"), F.col("p_type").alias("name1"), F.lit(None).cast("string").alias("name2"), F.col("p_name").alias("name6"), kind.alias("alias_type")))
+
+
+def xml(tag: str, *parts: F.Column) -> F.Column:
+    return F.concat(F.lit(f"<{tag}>"), *parts, F.lit(f"</{tag}>"))
+
+
+def source_un_list(spark: SparkSession, d: str) -> DataFrame:
+    """One list for each nation; a seventh of them declare a document type and are refused whole."""
+    s = table(spark, d, "supplier")
+    one = xml("INDIVIDUAL", xml("DATAID", F.col("s_suppkey").cast("string")), xml("FIRST_NAME", F.col("s_name")), xml("SECOND_NAME", F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))), xml("UN_LIST_TYPE", F.lit("X")))
+    body = xml("CONSOLIDATED_LIST", xml("INDIVIDUALS", F.array_join(F.collect_list(one), "")))
+    raw = s.groupBy("s_nationkey").agg(body.alias("b")).select(F.when(F.col("s_nationkey") % 7 == 0, F.concat(F.lit("<!DOCTYPE x>"), "b")).otherwise(F.col("b")).alias("payload"))
+    return payloads.un_listings(raw)
+
+
+def source_eu_list(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    alias = F.concat(F.lit('<nameAlias wholeName="'), F.col("p_name"), F.lit('" strong="'), F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), F.lit('" nameLanguage="'), F.when(F.col("p_size") % 3 == 0, "EN").otherwise("FR"), F.lit('"/>'))
+    by_brand = p.groupBy("p_brand").agg(F.array_join(F.collect_list(alias), "").alias("a"))
+    raw = by_brand.select(F.concat(F.lit('<export><sanctionEntity euReferenceNumber="'), "p_brand", F.lit('">'), "a", F.lit("</sanctionEntity></export>")).alias("payload"))
+    return payloads.eu_listings(raw)
+
+
+FORMS = ["8-K", "10-K", "S-1/A", "424B3", "DEF 14A", "4"]
+
+
+def source_filings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer as columnar filings; material forms only."""
+    form = F.element_at(F.array(*[F.lit(f) for f in FORMS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    o = table(spark, d, "orders").withColumn("r", F.struct(form.alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderkey").cast("string").alias("id")))
+    raw = o.groupBy("o_custkey").agg(F.collect_list("r").alias("r")).select(F.to_json(F.struct(F.col("r.form").alias("form"), F.col("r.day").alias("filingDate"), F.col("r.id").alias("accessionNumber"))).alias("payload"))
+    return payloads.material_forms(payloads.submissions(raw)).withColumn("filed", F.col("filed").cast("string"))
+
+
+def source_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Imported relationships by whether both ends were imported; a third of the nations is missing."""
+    n = table(spark, d, "nation")
+    entity = F.struct(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.lit("country").alias("kind"), F.col("n_name").alias("name"), F.lit("XX").alias("country"))
+    relation = F.struct(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.lit("subsidiary_of").alias("rel"), F.concat(F.lit("n"), ((F.col("n_nationkey") + 1) % 25).cast("string")).alias("dst"), F.lit("https://sec.gov/x").alias("source_url"))
+    raw = n.agg(F.to_json(F.struct(F.collect_list(F.when(F.col("n_nationkey") % 3 != 0, entity)).alias("entities"), F.collect_list(relation).alias("relationships"))).alias("payload"))
+    found, relations = payloads.catalogue(raw)
+    known = found.select(F.col("key"))
+    whole = relations.join(known.withColumnRenamed("key", "src"), "src", "left_semi").join(known.withColumnRenamed("key", "dst"), "dst", "left_semi").select("src", "dst").withColumn("whole", F.lit(True))
+    return relations.select("src", "rel", "dst").join(whole, ["src", "dst"], "left").select("src", "rel", "dst", F.coalesce("whole", F.lit(False)).alias("whole"))
+
+
+def price_document_check(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars as price documents, some rows off the grid, out of range or out of order: rows by reason."""
+    b = bars(spark, d).withColumn("i", F.row_number().over(series.order()))
+    shift = F.when(F.col("i") % 50 == 7, F.expr("INTERVAL 1 MINUTE")).when(F.col("i") % 50 == 9, F.expr("INTERVAL -3 HOUR")).otherwise(F.expr("INTERVAL 0 HOUR"))
+    at = F.concat(F.date_format(F.col("open_time") + shift, "yyyy-MM-dd HH:mm:ss"), F.lit("Z"))
+    price = F.when(F.col("i") % 50 == 11, "0").when(F.col("i") % 50 == 13, "12345678901234").otherwise(F.concat((F.floor("close") + 1).cast("string"), F.lit(".5")))
+    rows = b.groupBy("instrument_key").agg(F.sort_array(F.collect_list(F.struct("i", at.alias("timestamp"), price.alias("price")))).alias("r"))
+    raw = rows.select("instrument_key", F.to_json(F.struct(F.transform("r", lambda r: F.struct(r["timestamp"].alias("timestamp"), r["price"].alias("price"))).alias("prices"))).alias("payload"))
+    made = validation.price_documents(raw, "instrument_key")
+    return made.groupBy("instrument_key", F.coalesce("reason", F.lit("stands")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def flow_import(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as flow records against the entities; some have no amount, an unknown end or a private address."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    dst = F.when(k % 7 == 0, "nobody").when(k % 11 == 0, F.concat(F.lit("c"), "o_custkey")).otherwise("s1")
+    amount = F.when(k % 5 == 0, "-1").when(k % 13 == 0, " ").otherwise(F.floor("o_totalprice").cast("string"))
+    url = F.when(k % 17 == 0, "http://plain.example/x").otherwise("https://sec.gov/x")
+    records = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), dst.alias("dst"), F.lit("payment").alias("type"), amount.alias("amount"), F.lit("USD").alias("currency"), url.alias("source_url"))
+    return validation.flow_records(records, entities(spark, d)).groupBy(F.coalesce("reason", F.lit("stored")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def mapping_check(spark: SparkSession, d: str) -> DataFrame:
+    """Events as evidence with mappings of every kind: rows by reason."""
+    e = table(spark, d, "events")
+    i, kind = F.col("event_id"), F.when(F.col("event_type") == "click", "decision").when(F.col("event_type") == "view", "fund_flow").otherwise("macro_release")
+    text = lambda when, value="x": F.when(when, value)
+    m = F.struct(
+        text(i % 2 == 0, "a").alias("from"),
+        text(i % 3 == 0, "b").alias("to"),
+        text((i % 5 == 0) & (kind == "decision")).alias("actor"),
+        text((i % 7 != 0) & (kind == "decision")).alias("action"),
+        text((i % 11 == 0) & (kind == "decision")).alias("reason"),
+        F.when((i % 11 == 0) & (kind == "decision"), "stated_reason").otherwise("unknown").alias("reason_basis"),
+        F.when(i % 19 == 0, F.array(F.lit("p"), F.lit("p"))).otherwise(F.array(F.lit("p"))).alias("related_ids"),
+        text(i % 5 == 0).alias("source_locator"),
+    )
+    reason = validation.mapping_reason(i.cast("string"), kind, F.when(i % 23 != 0, m), F.col("value").cast("string"), F.when(i % 4 != 0, "USD"))
+    return e.select(reason.alias("r")).groupBy(F.coalesce("r", F.lit("stands")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+MAPPING_CHECK_SQL = """WITH e AS (SELECT event_id AS i, value, CASE event_type WHEN 'click' THEN 'd' WHEN 'view' THEN 'f' ELSE 'm' END AS k FROM events),
+    r AS (SELECT CASE WHEN i % 23 = 0 THEN 'stands' WHEN i % 19 = 0 THEN 'related_ids' WHEN k = 'd' AND (i % 2 = 0 OR i % 3 = 0) THEN 'decision_with_route' WHEN k = 'd' AND i % 7 = 0 THEN 'decision_without_action'
+    WHEN k = 'd' AND i % 11 = 0 AND i % 5 <> 0 THEN 'unattributed_reason' WHEN k = 'm' AND (i % 2 = 0 OR i % 3 = 0) THEN 'route_kind' WHEN k = 'f' AND (i % 2 = 0) <> (i % 3 = 0) THEN 'half_route'
+    WHEN k = 'f' AND i % 6 = 0 AND value <= 0 THEN 'route_amount' WHEN k = 'f' AND i % 6 = 0 AND i % 4 = 0 THEN 'route_currency' ELSE 'stands' END AS reason FROM e) SELECT reason, count(*) AS n FROM r GROUP BY 1"""
+
+
 QUERIES = {
     "source_klines": (source_klines, with_views("bars_hour", body="SELECT open_time, count(*) AS bars, round(sum(close), 4) AS close, round(sum(volume), 4)::DOUBLE AS volume, sum(50.0::DOUBLE) AS order_flow FROM bars GROUP BY 1")),
     "source_order_book": (source_order_book, "SELECT l_orderkey, round((sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE -1 END * l_quantity * l_linenumber)) / sum(l_quantity * l_linenumber), 6) AS imbalance FROM lineitem GROUP BY 1"),
@@ -96,4 +248,21 @@ QUERIES = {
     "source_feed": (source_feed, "SELECT substr(sha256('https://x.example/' || (p_partkey // 2)), 1, 16) AS id, min(p_name) AS title, TIMESTAMP '2024-01-01 10:00:00' AS published FROM part GROUP BY 1"),
     "ledger_breaks": (ledger_breaks, "SELECT 9::BIGINT AS seq, 'hash' AS reason"),
     "evidence_validation": (evidence_validation, with_views("observations", body="SELECT CASE WHEN event_id % 11 = 0 THEN 'malformed' WHEN event_id % 7 = 0 THEN 'no_date' WHEN event_id % 5 = 0 THEN 'no_amount' ELSE 'stored' END AS reason, count(*) AS n FROM obs GROUP BY 1")),
+    "source_chart": (source_chart, with_views("bars_hour", body="SELECT open_time AS at, count(*) AS points, round(sum(close), 4) AS close FROM bars WHERE hour(open_time) <> 4 GROUP BY 1")),
+    "source_rates": (source_rates, with_views("bars_day", body="SELECT instrument_key, open_time AS at, round(volume / 1000, 6) AS value FROM bars WHERE volume % 5 <> 0")),
+    "source_short_interest": (source_short_interest, "SELECT p_brand AS symbol, '2024-01-15' AS day, count(*) AS n, sum((p_size + 1) * 1000 + 500)::DOUBLE AS shares FROM part WHERE p_partkey % 9 <> 0 GROUP BY 1"),
+    "source_supply": (source_supply, with_views("bars_day", body="SELECT open_time::DATE::VARCHAR AS day, sum(volume)::DOUBLE AS supply FROM bars GROUP BY 1")),
+    "source_holdings": (source_holdings, "SELECT l_partkey::VARCHAR AS cusip, count(*) AS n, sum(floor(l_extendedprice)) AS value, sum(floor(l_quantity)) AS shares FROM lineitem WHERE l_linenumber <> 7 AND floor(l_extendedprice) > 0 GROUP BY 1"),
+    "source_awards": (source_awards, "SELECT 'agency:' || substr(o_orderpriority, 1, 1) AS src, 'recipient:' || (o_custkey % 10) AS dst, count(*) AS n, sum(floor(o_totalprice)) AS amount, min(o_orderdate)::DATE::VARCHAR AS first_day FROM orders WHERE o_orderkey % 6 <> 0 AND floor(o_totalprice) > 0 GROUP BY 1, 2"),
+    "source_lobbying": (source_lobbying, "SELECT date_trunc('quarter', o_orderdate)::DATE::VARCHAR AS quarter_start, array_to_string(list_sort(list_distinct([o_orderstatus, 'TAX', 'BAN'])), ',') AS issues, count(*) AS n, sum(floor(o_totalprice)) AS amount FROM orders GROUP BY 1, 2"),
+    "source_uk_list": (source_uk_list, "SELECT p_brand AS group_id, arg_min(p_type || ' ' || p_name, (CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, p_type || ' ' || p_name)) AS name, count(*) AS aliases FROM part GROUP BY 1"),
+    "source_un_list": (source_un_list, "SELECT s_suppkey::VARCHAR AS key, s_name || ' n' || s_nationkey AS name, 'X' AS program FROM supplier WHERE s_nationkey % 7 <> 0"),
+    "source_eu_list": (source_eu_list, "SELECT p_brand AS key, arg_min(p_name, (p_size % 2 <> 0, p_size % 3 <> 0, p_name)) AS name, count(*) AS aliases FROM part GROUP BY 1"),
+    "source_filings": (source_filings, f"SELECT o_orderkey::VARCHAR AS accession, list_extract({FORMS}, o_orderkey % 6 + 1) AS form, o_orderdate::DATE::VARCHAR AS filed FROM orders WHERE o_orderkey % 6 NOT IN (1, 5)"),
+    "source_catalogue": (source_catalogue, "SELECT 'n' || n_nationkey AS src, 'subsidiary_of' AS rel, 'n' || ((n_nationkey + 1) % 25) AS dst, n_nationkey % 3 <> 0 AND ((n_nationkey + 1) % 25) % 3 <> 0 AS whole FROM nation"),
+    "price_document_check": (price_document_check, with_views("bars_hour", """r AS (SELECT instrument_key, row_number() OVER (PARTITION BY instrument_key ORDER BY open_time) AS i, open_time FROM bars),
+        s AS (SELECT *, open_time + CASE i % 50 WHEN 7 THEN INTERVAL 1 MINUTE WHEN 9 THEN INTERVAL (-3) HOUR ELSE INTERVAL 0 HOUR END AS t FROM r)""",
+        body="""SELECT instrument_key, CASE WHEN i % 50 = 7 THEN 'grid' WHEN i % 50 IN (11, 13) THEN 'price' WHEN t <= before THEN 'not_increasing' ELSE 'stands' END AS reason, count(*) AS n FROM (SELECT *, lag(t) OVER (PARTITION BY instrument_key ORDER BY i) AS before FROM s) GROUP BY 1, 2""")),
+    "flow_import": (flow_import, """SELECT CASE WHEN o_orderkey % 13 = 0 AND o_orderkey % 5 <> 0 THEN 'missing_field' WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 THEN 'same_ends' WHEN o_orderkey % 7 = 0 THEN 'unknown_destination' WHEN o_orderkey % 17 = 0 THEN 'source_url' WHEN o_orderkey % 5 = 0 OR floor(o_totalprice) <= 0 THEN 'amount' ELSE 'stored' END AS reason, count(*) AS n FROM orders GROUP BY 1"""),
+    "mapping_check": (mapping_check, MAPPING_CHECK_SQL),
 }
