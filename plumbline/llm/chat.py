@@ -88,6 +88,13 @@ def read_loss(formatted: Column, start: Column, length: Column) -> Column:
     return unescape(F.substring(formatted, start.cast("int") + 1, length.cast("int")))
 
 
+def broken_contexts(examples: DataFrame) -> DataFrame:
+    """conv_id, example of examples that are not the beginning of their conversation's longest one."""
+    longest = examples.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("longest")).withColumnRenamed("conv_id", "_conv")
+    both = examples.join(longest, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    return both.where(~F.col("longest").startswith(F.col("formatted"))).select("conv_id", "example")
+
+
 def digest(examples: DataFrame) -> DataFrame:
     """Per conversation, from the examples: turns, their digest, and the text under the loss mask."""
     loss = read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_length"))

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, example long, formatted string"
@@ -22,3 +24,13 @@ def test_round_trip_and_targets(spark):
     plain = examples.where("conv_id = 1").collect()
     assert len(plain) == 6 and all(e.formatted.count("<|im_start|>") == e.example for e in plain)
     assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_contexts_are_beginnings_of_the_longest_example(spark):
+    said = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|im_end|>") for t in range(40)] + [(2, 0, "user", "x" * 300_000), (2, 1, "assistant", "y"), (None, 0, "assistant", None)]
+    made = chat.format_conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    assert chat.broken_contexts(made).count() == 0
+    damaged = made.withColumn("formatted", F.when(F.col("example") == 4, F.concat(F.lit("?"), "formatted")).otherwise(F.col("formatted")))
+    assert [tuple(r) for r in chat.broken_contexts(damaged).collect()] == [(1, 4)]
+    (long,) = chat.digest(made).where("conv_id = 2").collect()
+    assert long.n_turns == 2 and long.loss_chars == 1
