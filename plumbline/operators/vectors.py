@@ -16,6 +16,22 @@ def sparse_cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
+def feature_vectors(found: DataFrame) -> DataFrame:
+    """One row a boundary of ``pit.evidence``: vector (a sparse map) and hash.
+
+    Features are the records, the sum of directions, and for each kind its records
+    and total amount. The hash is of the sorted features in millionths, so equal
+    vectors have equal hashes.
+    """
+    by_kind = found.groupBy("as_of", "kind").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.sum(F.signum("amount")).alias("signs"))
+    entry = lambda name, value: F.struct(name.alias("key"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"))
+    own = F.array(entry(F.concat(F.lit("kind_"), "kind"), F.col("n")), entry(F.concat(F.lit("measured_"), "kind", F.lit("_total")), F.col("total")))
+    whole = F.array(entry(F.lit("event_records"), F.sum("n")), entry(F.lit("direction_score"), F.sum("signs")))
+    made = by_kind.groupBy("as_of").agg(F.array_sort(F.concat(F.flatten(F.collect_list(own)), whole)).alias("e"))
+    shown = F.array_join(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 1e6).cast("long").cast("string"))), ",")
+    return made.select("as_of", F.map_from_entries("e").alias("vector"), F.substring(F.sha2(shown, 256), 1, 32).alias("hash"))
+
+
 def similar_within_label(vectors: DataFrame, k: int, every: int, rows: int = 8192) -> DataFrame:
     """The k most similar other vectors of the same label for ids that ``every`` divides; cosine to 6 places, ties to the smaller id.
 

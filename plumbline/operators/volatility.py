@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from plumbline.operators.series import abs_percentile, last, order, trailing, unbroken
 
 #: Days a year by asset class.
-YEAR_DAYS = {"crypto": 365, "other": 252}
+YEAR_DAYS = {"crypto": 365, "equity": 252, "other": 252}
 ALPHA = 1.34
 ESTIMATORS = ("close_to_close", "demeaned", "parkinson", "garman_klass", "rogers_satchell", "yang_zhang", "lpv", "natr")
 
 
+def annual_basis(cadence: int, asset_class: str) -> int | None:
+    """Bars in a year; none unless it is a whole number and the class is known."""
+    seconds = YEAR_DAYS.get(asset_class, 0) * 86_400
+    return seconds // cadence if cadence > 0 and seconds >= cadence and seconds % cadence == 0 else None
+
+
 def positive(x: Column) -> Column:
     return F.when(x > 0, x)
 
@@ -74,14 +80,14 @@ def wilder_atr(series: DataFrame, window: int = 40, period: int = 14) -> DataFra
 
 
 def long_latest(series: DataFrame, window: int, cadence: int, asset_class: str = "crypto") -> DataFrame:
-    """The newest estimate of each series and estimator: variance, annual percent and status."""
+    """The newest estimate of each series and estimator: variance, annual percent (null without a whole number of bars a year) and status."""
     made = wilder_atr(series, window).select("instrument_key", "open_time", "atr")
     wide = estimates(series, window).join(made, ["instrument_key", "open_time"])
     wide = wide.withColumn("natr", positive(F.when(F.col("close") > 0, F.col("atr") / F.col("close")) ** 2))
     newest = wide.withColumn("newest", F.row_number().over(Window.partitionBy("instrument_key").orderBy(F.desc("open_time")))).where("newest = 1")
-    per_year = YEAR_DAYS[asset_class] * 86_400 / cadence
+    per_year = annual_basis(cadence, asset_class)
     long = newest.unpivot(["instrument_key", "open_time", "n", "whole"], list(ESTIMATORS), "estimator", "variance")
-    annual = F.sqrt(F.col("variance") * per_year) * 100
+    annual = F.sqrt(F.col("variance") * F.lit(per_year).cast("double")) * 100
     status = F.when(F.col("n") < window, "insufficient_bars").when(~F.col("whole"), "gap").when(F.col("variance").isNull(), "not_computable").otherwise("ok")
     return long.select("instrument_key", "open_time", "estimator", "variance", annual.alias("annual_percent"), status.alias("status"))
 

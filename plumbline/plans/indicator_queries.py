@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import times
-from plumbline.operators import flows, graph, indicators, series, text, volatility
+from plumbline.operators import episodes, flows, graph, indicators, moves, pit, series, text, vectors, volatility
+from plumbline.plans.registry_queries import HOUR_MOVES, OBS_PIT, WEEK, boundaries
 from plumbline.plans.series_queries import anomalies_sql
 from plumbline.views import bars, edges, money_flows, observations, table, with_views
 
@@ -133,7 +134,40 @@ def tree_coverage(spark: SparkSession, d: str) -> DataFrame:
     return graph.coverage(graph.tree(e, roots, 3), e, 3)
 
 
+def episode_comparison(spark: SparkSession, d: str) -> DataFrame:
+    b = bars(spark, d)
+    legs = moves.candidates(b, 3, 800.0).select("instrument_key", "start_time", "end_time", "direction")
+    o = observations(spark, d).select("event_id", "amount", "occurred_at", "available_at")
+    return episodes.comparison(b, legs, o, 6, 25).withColumn("mean_score", F.round("mean_score", 4))
+
+
+EPISODES_SQL = with_views(
+    *HOUR_MOVES, "observations",
+    "legs AS (SELECT instrument_key, start_time, end_time, direction FROM found WHERE abs(change) >= 800 AND direction IN ('up', 'down'))",
+    """pts AS (SELECT CASE direction WHEN 'up' THEN 'pump' ELSE 'dump' END AS label, instrument_key, start_time FROM legs UNION ALL SELECT 'control', instrument_key, open_time FROM
+        (SELECT *, row_number() OVER (PARTITION BY instrument_key ORDER BY open_time) - 1 AS i FROM bars b WHERE NOT EXISTS (SELECT 1 FROM legs f WHERE f.instrument_key = b.instrument_key AND b.open_time BETWEEN f.start_time - INTERVAL 6 HOUR AND f.end_time)) WHERE i % 25 = 0)""",
+    """ev AS (SELECT label, p.instrument_key, p.start_time, count(*) FILTER (WHERE available_at < start_time) AS known, sum(sign(amount)) FILTER (WHERE available_at < start_time) AS score FROM pts p JOIN obs ON occurred_at BETWEEN start_time - INTERVAL 6 HOUR AND start_time GROUP BY 1, 2, 3)""",
+    body="SELECT label, count(*) AS episodes, count(*) FILTER (WHERE known > 0) AS with_evidence, round(avg(score) FILTER (WHERE known > 0), 4) AS mean_score, coalesce(sum(known), 0)::BIGINT AS records FROM pts LEFT JOIN ev USING (label, instrument_key, start_time) GROUP BY 1",
+)
+
+
+def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of each day's point-in-time evidence, stored once by their hash."""
+    made = vectors.feature_vectors(pit.evidence(boundaries(spark, d), observations(spark, d), WEEK))
+    return made.groupBy("hash").agg(F.min("as_of").alias("as_of"), F.min(F.size("vector")).cast("long").alias("features"))
+
+
+FEATURES_SQL = with_views(
+    "observations", OBS_PIT.format(s=WEEK), "k AS (SELECT as_of, kind, count(*) AS n, sum(amount) AS t FROM found GROUP BY 1, 2)",
+    """e AS (SELECT as_of, 'kind_' || kind AS name, n::DOUBLE AS v FROM k UNION ALL SELECT as_of, 'measured_' || kind || '_total', t FROM k UNION ALL SELECT as_of, 'event_records', count(*) FROM found GROUP BY 1
+        UNION ALL SELECT as_of, 'direction_score', sum(sign(amount)) FROM found GROUP BY 1)""",
+    """h AS (SELECT as_of, count(*) AS features, substr(sha256(string_agg(name || '=' || round(v * 1e6)::BIGINT, ',' ORDER BY name)), 1, 32) AS hash FROM e GROUP BY 1)""",
+    body="SELECT hash, min(as_of) AS as_of, min(features)::BIGINT AS features FROM h GROUP BY 1",
+)
+
 QUERIES = {
+    "episode_comparison": (episode_comparison, EPISODES_SQL),
+    "feature_vectors": (feature_vectors, FEATURES_SQL),
     "indicators_frozen": (indicators_frozen, f"WITH {EVIDENCE_SQL}, {INDICATORS_SQL} SELECT entity, indicator, round(value, 4) AS value, direction FROM ind"),
     "indicator_evidence": (indicator_evidence, f"""WITH {EVIDENCE_SQL}, {INDICATORS_SQL} SELECT 'constructed_indicator' AS source, indicator || '-' || coalesce(entity, 'all') AS external_id, 'decision' AS kind, 'Constructed indicator ' || indicator || ': ' || direction AS description,
         'indicator:' || indicator AS actor, 'indicator_signal' AS action, 'analyst_hypothesis' AS reason_basis, '1' AS amount, 'signal' AS unit, 'estimated' AS basis FROM ind WHERE direction <> 'neutral'"""),
