@@ -88,17 +88,10 @@ def search(entities: DataFrame, text: str, country: str | None = None, kind: str
     return out.orderBy("name", "key").limit(limit) if limit else out
 
 
-def duplicates(entities: DataFrame) -> DataFrame:
-    """Pairs of keys with one normalised name, strongest reason first: name and country, or name.
-
-    Members of a name are linked to the least key of the name, so that a name of
-    n members gives n - 1 rows.
-    """
-    named = entities.select("key", "country", normalize_name(F.col("name")).alias("norm"))
-    head = named.groupBy("norm").agg(F.min_by(F.struct("key", "country"), "key").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = named.join(head, "norm").where(F.col("key") > F.col("head.key"))
-    reason = F.when(F.col("country") == F.col("head.country"), "name_country").otherwise("name")
-    return pairs.select(F.col("head.key").alias("a"), F.col("key").alias("b"), reason.alias("reason"))
+def watchlist_candidates(listings: DataFrame, entities: DataFrame, linked: DataFrame) -> DataFrame:
+    """(listing, entity) of equal normalised names that are not linked yet; listings and entities have key and name, linked has listing and entity."""
+    named = lambda df, out: df.select(F.col("key").alias(out), normalize_name(F.col("name")).alias("norm")).where("norm <> ''")
+    return named(listings, "listing").join(named(entities, "entity"), "norm").select("listing", "entity").join(linked.select("listing", "entity"), ["listing", "entity"], "left_anti")
 
 
 def duplicate_links(entities: DataFrame) -> DataFrame:

@@ -100,11 +100,10 @@ def part_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return registry.duplicates(part_names(spark, d))
-
-
-def duplicate_links(spark: SparkSession, d: str) -> DataFrame:
-    return registry.duplicate_links(part_names(spark, d))
+    """Parts that may be one: some share an identifier, others a name, or name and brand."""
+    p = part_names(spark, d)
+    lei = F.when(F.substring("key", 2, 20).cast("long") % 5 == 0, F.concat(F.lit("L"), (F.substring("key", 2, 20).cast("long") % 97).cast("string")))
+    return registry.duplicate_links(p.withColumn("lei", lei))
 
 
 def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -113,12 +112,12 @@ def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def watchlist_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers with a number that a customer of the same country has in its name, not linked yet."""
-    e = entities(spark, d).withColumn("digits", F.regexp_extract("name", r"(\d+)", 1))
-    left, right = e.where("kind = 'bank'"), e.where("kind = 'company'")
-    pairs = left.select(F.col("key").alias("listing"), "digits").join(right.select(F.col("key").alias("entity"), "digits"), "digits")
-    linked = pairs.where("CAST(substr(entity, 2) AS BIGINT) % 3 = 0").select("listing", "entity")
-    return pairs.select("listing", "entity").join(linked, ["listing", "entity"], "left_anti")
+    """Listings whose name, in other case and spacing, is a customer's, and that are not linked yet."""
+    e = entities(spark, d)
+    shown = F.concat(F.lit("  CUSTOMER#"), F.substring("name", 10, 20), F.lit(" "))
+    listings, firms = e.where("kind = 'bank'").select("key", shown.alias("name")), e.where("kind = 'company'").select("key", "name")
+    linked = firms.where("CAST(substr(key, 2) AS BIGINT) % 3 = 0").select(F.concat(F.lit("s"), F.substring("key", 2, 20)).alias("listing"), F.col("key").alias("entity"))
+    return registry.watchlist_candidates(listings, firms, linked)
 
 
 def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -427,14 +426,13 @@ QUERIES = {
     "entity_search": (entity_search, with_views("entities", body="SELECT key, name, country FROM entities WHERE (key ILIKE '%0000001%' OR kind ILIKE '%0000001%' OR name ILIKE '%0000001%' OR country ILIKE '%0000001%') AND kind = 'company'")),
     "entity_stats": (entity_stats, with_views("entities", body="SELECT kind, count(*) AS n, count(DISTINCT coalesce(country, '?')) AS countries FROM entities GROUP BY 1")),
     "entity_neighbourhood": (entity_neighbourhood, with_views("edges", body="SELECT src AS key, 'out' AS dir, rel, dst AS other FROM edges WHERE src IN ('n3', 'n7') UNION ALL SELECT dst, 'in', rel, src FROM edges WHERE dst IN ('n3', 'n7')")),
-    "duplicate_candidates": (duplicate_candidates, """WITH n AS (SELECT 'p' || p_partkey AS key, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS norm, p_brand FROM part), h AS (SELECT norm, min(key) AS head, arg_min(p_brand, key) AS brand FROM n GROUP BY 1)
-        SELECT head AS a, key AS b, CASE WHEN p_brand = brand THEN 'name_country' ELSE 'name' END AS reason FROM n JOIN h USING (norm) WHERE key > head"""),
-    "duplicate_links": (duplicate_links, """WITH n AS (SELECT 'p' || p_partkey AS key, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS norm, p_brand FROM part), s AS (SELECT *, min(key) OVER (PARTITION BY norm) AS x, min(key) OVER (PARTITION BY norm, p_brand) AS y FROM n),
-        l AS (SELECT x AS a, key AS b FROM s UNION SELECT y, key FROM s)
-        SELECT a, b, CASE WHEN p.p_brand = q.p_brand THEN 'name_country' ELSE 'name' END AS reason FROM l JOIN n p ON p.key = a JOIN n q ON q.key = b WHERE a <> b"""),
+    "duplicate_candidates": (duplicate_candidates, """WITH n AS (SELECT 'p' || p_partkey AS key, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS norm, p_brand, CASE WHEN p_partkey % 5 = 0 THEN 'L' || (p_partkey % 97) END AS lei FROM part),
+        s AS (SELECT *, min(key) OVER (PARTITION BY norm) AS x, min(key) OVER (PARTITION BY norm, p_brand) AS y, CASE WHEN lei IS NOT NULL THEN min(key) OVER (PARTITION BY lei) END AS z FROM n),
+        l AS (SELECT x AS a, key AS b FROM s UNION SELECT y, key FROM s UNION SELECT z, key FROM s WHERE z IS NOT NULL)
+        SELECT a, b, CASE WHEN p.lei = q.lei THEN 'lei' WHEN p.norm = q.norm AND p.p_brand = q.p_brand THEN 'name_country' ELSE 'name' END AS reason FROM l JOIN n p ON p.key = a JOIN n q ON q.key = b WHERE a <> b"""),
     "fuzzy_candidates": (fuzzy_candidates, f"""WITH t AS (SELECT 'p' || p_partkey AS key, list_sort({TOKENS}) AS toks FROM part), h AS (SELECT toks, min(key) AS head FROM t GROUP BY 1), p AS (SELECT a.head AS a, b.head AS b, len(list_intersect(a.toks, b.toks)) / least(len(a.toks), len(b.toks)) AS score FROM h a JOIN h b ON a.head < b.head)
         SELECT a, b, round(score, 4) AS score FROM p WHERE score >= 0.6 UNION ALL SELECT head, key, 1.0 FROM t JOIN h USING (toks) WHERE key <> head"""),
-    "watchlist_candidates": (watchlist_candidates, with_views("entities", body="SELECT b.key AS listing, c.key AS entity FROM entities b JOIN entities c ON b.kind = 'bank' AND c.kind = 'company' AND regexp_extract(b.name, '(\\d+)', 1) = regexp_extract(c.name, '(\\d+)', 1) WHERE substr(c.key, 2)::BIGINT % 3 <> 0")),
+    "watchlist_candidates": (watchlist_candidates, with_views("entities", body="SELECT b.key AS listing, c.key AS entity FROM entities b JOIN entities c ON b.kind = 'bank' AND c.kind = 'company' AND substr(b.name, 10) = substr(c.name, 10) WHERE NOT (substr(c.key, 2)::BIGINT % 3 = 0 AND substr(b.key, 2) = substr(c.key, 2))")),
     "alias_resolution": (alias_resolution, with_views("flows", body="SELECT CASE WHEN substr(dst, 2)::BIGINT % 10 = 5 THEN 's' || (substr(dst, 2)::BIGINT - 1) ELSE dst END AS dst, count(*) AS n, sum(amount)::DOUBLE AS total FROM flows GROUP BY 1")),
     "delisted": (delisted, with_views("entities", "flows", body="SELECT key FROM entities WHERE kind = 'bank' AND key NOT IN (SELECT dst FROM flows WHERE occurred_at >= '2001-11-20')")),
     "orphan_orders": (orphan_orders, "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY 1"),
