@@ -251,3 +251,15 @@ def test_composite_without_flows_or_anomalies(spark):
 
 def test_no_flow_is_lost(spark):
     assert money_flows(spark, SF).count() == table(spark, SF, "lineitem").count()
+
+
+def test_annual_basis_is_whole_or_none():
+    assert volatility.annual_basis(3600, "crypto") == 8760 and volatility.annual_basis(86_400, "equity") == 252
+    assert volatility.annual_basis(7000, "crypto") is None and volatility.annual_basis(3600, "unknown") is None and volatility.annual_basis(0, "crypto") is None
+    assert volatility.annual_basis(400 * 86_400, "crypto") is None
+
+
+def test_an_odd_cadence_has_no_annual_figure(spark):
+    rows = [("a", START + timedelta(seconds=7000 * i), 100.0 + i % 3, 102.0 + i % 3, 99.0, 100.0 + (i + 1) % 3, 1) for i in range(40)]
+    made = volatility.long_latest(series.with_gaps(spark.createDataFrame(rows, BARS)), 20, 7000).collect()
+    assert made and all(r.annual_percent is None for r in made) and any(r.variance for r in made)
