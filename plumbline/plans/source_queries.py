@@ -190,6 +190,30 @@ def source_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return relations.select("src", "rel", "dst").join(whole, ["src", "dst"], "left").select("src", "rel", "dst", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
+def source_fund_holdings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as fund reports, lines as holdings; every seventh line has no name and no value, every ninth order is another form."""
+    text = lambda c: c.cast("string")
+    li, bare = table(spark, d, "lineitem"), F.col("l_linenumber") == 7
+    security = xml("invstOrSec", xml("name", F.when(bare, "").otherwise(F.concat(F.lit("p"), text(F.col("l_partkey"))))), xml("cusip", text(F.col("l_partkey"))), xml("balance", text(F.col("l_quantity").cast("int"))), xml("valUSD", F.when(bare, "N/A").otherwise(text(F.floor("l_extendedprice")))))
+    body = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", security.alias("s")))), lambda x: x["s"]), "").alias("b"))
+    form = F.when(F.col("l_orderkey") % 9 == 0, "10-K").otherwise("NPORT-P")
+    payload = xml("edgarSubmission", xml("submissionType", form), xml("formData", xml("genInfo", xml("regName", F.lit("Fund")), xml("repPdDate", F.lit("2024-01-31"))), xml("invstOrSecs", F.col("b"))))
+    return payloads.fund_holdings(body.select("l_orderkey", payload.alias("payload"))).groupBy("l_orderkey", "currency").agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.max("place").cast("long").alias("last"))
+
+
+def source_fundraising(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as notices of offerings; some sold nothing, some have no first sale, some are other forms."""
+    o = table(spark, d, "orders")
+    k, total = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    sale = F.when(k % 4 == 0, "").otherwise(xml("dateOfFirstSale", xml("value", day)))
+    form = F.when(k % 7 == 0, "C").when(k % 3 == 0, "D/A").otherwise("D")
+    sold = F.when(k % 5 == 0, "0").otherwise(total)
+    offering = xml("offeringData", xml("typeOfFiling", sale), xml("offeringSalesAmounts", xml("totalOfferingAmount", total), xml("totalAmountSold", sold)), xml("signatureBlock", xml("signature", xml("signatureDate", F.lit("2024-02-01")))))
+    payload = xml("edgarSubmission", xml("submissionType", form), xml("primaryIssuer", xml("entityName", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))), offering)
+    return payloads.fundraising(o.select("o_orderkey", payload.alias("payload"))).withColumn("day", F.col("day").cast("string"))
+
+
 def price_document_check(spark: SparkSession, d: str) -> DataFrame:
     """Hourly bars as price documents, some rows off the grid, out of range or out of order: rows by reason."""
     b = bars(spark, d).withColumn("i", F.row_number().over(series.order()))
@@ -260,6 +284,9 @@ QUERIES = {
     "source_eu_list": (source_eu_list, "SELECT p_brand AS key, arg_min(p_name, (p_size % 2 <> 0, p_size % 3 <> 0, p_name)) AS name, count(*) AS aliases FROM part GROUP BY 1"),
     "source_filings": (source_filings, f"SELECT o_orderkey::VARCHAR AS accession, list_extract({FORMS}, o_orderkey % 6 + 1) AS form, o_orderdate::DATE::VARCHAR AS filed FROM orders WHERE o_orderkey % 6 NOT IN (1, 5)"),
     "source_catalogue": (source_catalogue, "SELECT 'n' || n_nationkey AS src, 'subsidiary_of' AS rel, 'n' || ((n_nationkey + 1) % 25) AS dst, n_nationkey % 3 <> 0 AND ((n_nationkey + 1) % 25) % 3 <> 0 AS whole FROM nation"),
+    "source_fund_holdings": (source_fund_holdings, "SELECT l_orderkey, 'USD' AS currency, count(*) AS n, sum(floor(l_extendedprice)) AS value, max(i)::BIGINT AS last FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem) WHERE l_linenumber <> 7 AND l_orderkey % 9 <> 0 GROUP BY 1"),
+    "source_fundraising": (source_fundraising, """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'D/A' ELSE 'D' END AS form, 'c' || o_custkey AS issuer, floor(o_totalprice) AS offered, CASE WHEN o_orderkey % 5 <> 0 AND floor(o_totalprice) > 0 THEN floor(o_totalprice) END AS sold,
+        CASE WHEN o_orderkey % 4 = 0 THEN '2024-02-01' ELSE o_orderdate::DATE::VARCHAR END AS day FROM orders WHERE o_orderkey % 7 <> 0"""),
     "price_document_check": (price_document_check, with_views("bars_hour", """r AS (SELECT instrument_key, row_number() OVER (PARTITION BY instrument_key ORDER BY open_time) AS i, open_time FROM bars),
         s AS (SELECT *, open_time + CASE i % 50 WHEN 7 THEN INTERVAL 1 MINUTE WHEN 9 THEN INTERVAL (-3) HOUR ELSE INTERVAL 0 HOUR END AS t FROM r)""",
         body="""SELECT instrument_key, CASE WHEN i % 50 = 7 THEN 'grid' WHEN i % 50 IN (11, 13) THEN 'price' WHEN t <= before THEN 'not_increasing' ELSE 'stands' END AS reason, count(*) AS n FROM (SELECT *, lag(t) OVER (PARTITION BY instrument_key ORDER BY i) AS before FROM s) GROUP BY 1, 2""")),

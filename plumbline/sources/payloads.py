@@ -118,6 +118,30 @@ def holdings(raw: DataFrame) -> DataFrame:
     return t.select(F.col("t.nameOfIssuer").alias("issuer"), "t.cusip", number(F.col("t.value")).alias("value"), number(F.col("t.shrsOrPrnAmt.sshPrnamt")).alias("shares")).where("value > 0")
 
 
+def fund_holdings(raw: DataFrame) -> DataFrame:
+    """Fund reports: one row a holding with a name or a value, its place, value and currency; other forms are refused."""
+    security = "struct<name:string,title:string,cusip:string,balance:string,units:string,curCd:string,valUSD:string>"
+    shape = f"submissionType string, formData struct<genInfo:struct<regName:string,repPdDate:string>,invstOrSecs:struct<invstOrSec:array<{security}>>>"
+    x = raw.where(~has_doctype(F.col("payload"))).select(*[c for c in raw.columns if c != "payload"], F.from_xml("payload", shape).alias("x"))
+    x = x.where(F.col("x.submissionType").isin("NPORT-P", "NPORT-P/A"))
+    own = [c for c in raw.columns if c != "payload"]
+    rows = x.select(*own, F.col("x.formData.genInfo.regName").alias("fund"), F.to_date("x.formData.genInfo.repPdDate").alias("period"), F.posexplode("x.formData.invstOrSecs.invstOrSec").alias("place", "s"))
+    kept = rows.where((F.coalesce("s.name", F.lit("")) != "") | number(F.col("s.valUSD")).isNotNull())
+    value = number(F.col("s.valUSD"))
+    return kept.select(*own, "fund", "period", (F.col("place") + 1).alias("place"), F.col("s.name").alias("name"), F.col("s.cusip").alias("cusip"), number(F.col("s.balance")).alias("balance"), value.alias("value"), F.when(value.isNotNull(), F.coalesce("s.curCd", F.lit("USD"))).alias("currency"))
+
+
+def fundraising(raw: DataFrame) -> DataFrame:
+    """Notices of offerings: issuer, offered and sold amounts (sold null unless positive), first sale or else signature day; other forms are refused."""
+    amount = "struct<totalOfferingAmount:string,totalAmountSold:string>"
+    shape = f"submissionType string, primaryIssuer struct<entityName:string>, offeringData struct<offeringSalesAmounts:{amount},typeOfFiling:struct<dateOfFirstSale:struct<value:string>>,signatureBlock:struct<signature:struct<signatureDate:string>>>"
+    own = [c for c in raw.columns if c != "payload"]
+    x = raw.where(~has_doctype(F.col("payload"))).select(*own, F.from_xml("payload", shape).alias("x")).where(F.col("x.submissionType").isin("D", "D/A"))
+    sold, day = number(F.col("x.offeringData.offeringSalesAmounts.totalAmountSold")), lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date")
+    first = F.coalesce(day(F.col("x.offeringData.typeOfFiling.dateOfFirstSale.value")), day(F.col("x.offeringData.signatureBlock.signature.signatureDate")))
+    return x.select(*own, F.col("x.submissionType").alias("form"), F.col("x.primaryIssuer.entityName").alias("issuer"), number(F.col("x.offeringData.offeringSalesAmounts.totalOfferingAmount")).alias("offered"), F.when(sold > 0, sold).alias("sold"), first.alias("day"))
+
+
 def awards(raw: DataFrame) -> DataFrame:
     """Public awards as flows from agency to recipient, positive amounts only."""
     r = F.from_json("payload", "struct<id:string,agency:string,recipient:string,amount:string,day:string>").alias("r")
