@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import gather, stored_by
+from plumbline.llm.common import gather, pack, stored_by, unpack
 
 BUCKETS = 32_768
 
@@ -156,26 +156,6 @@ def units_of(text: str) -> list[str]:
     return [units[0], *(" " + u for u in units[1:])]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned integers by planes of bytes, compressed."""
-    body = [len(arrays).to_bytes(4, "little")]
-    for x in arrays:
-        x = np.ascontiguousarray(x)
-        body += [np.array([x.itemsize, len(x)], "<u8").tobytes(), x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()]
-    whole = b"".join(body)
-    return len(whole).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(whole, asbytes=True)
-
-
-def unpack(packed: pa.Buffer) -> list[np.ndarray]:
-    whole = pa.Codec("zstd").decompress(packed[8:], int.from_bytes(memoryview(packed)[:8], "little"), asbytes=True)
-    at, out = 4, []
-    for _ in range(int.from_bytes(whole[:4], "little")):
-        width, n = (int(x) for x in np.frombuffer(whole, "<u8", 2, at))
-        out.append(np.frombuffer(whole, np.uint8, width * n, at + 16).reshape(width, n).T.copy().view(f"<u{width}").reshape(-1))
-        at += 16 + width * n
-    return out
-
-
 def chunked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, chars: int, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """For each chunk, rows of its words (bucket; lengths, places, bytes) and of its texts (doc_ids; sizes, places)."""
     import regex
