@@ -103,15 +103,17 @@ def reached(queries: np.ndarray, least: np.ndarray, points: np.ndarray, low: np.
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, pivots: int = 32, data_rows: int = 8192, query_rows: int = 4096, sample: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score (integer inner product) for ids that ``every`` divides.
 
-    Pivots of the whole table come from at most ``sample`` rows, by a hash of the
-    id. Vectors of another length than the commonest are in a cell of their own
+    Pivots of the whole table come from at most ``sample`` rows whose ids a hash
+    picks; which they are changes the work only. Vectors of another length than the commonest are in a cell of their own
     that every query reaches.
     """
     whole = stored(usable(embeddings).select("vec_id", F.transform("x", lambda v: F.floor(v * 64).cast("double")).alias("x")), "vectors")
     square = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
     usual = whole.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("top")).orderBy(F.desc("n"), "dim").first()
     dim, top = (usual.dim, usual.top) if usual else (0, 0.0)
-    rows = whole.where(F.size("x") == dim).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id", "x").limit(sample).select("x").collect()
+    # a share of the ids by hash, so that no more than the sample comes to the driver
+    share = max(1, usual.n // sample) if usual else 1
+    rows = whole.where((F.size("x") == dim) & (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(share)) == 0)).select("x").limit(sample).collect()
     near = lifted(np.array([r.x for r in rows], dtype=np.float64).reshape(len(rows), dim), top)
     points = near[pivot_rows(near, pivots)] if len(rows) else np.zeros((1, dim + 1))
     cells = len(points)
