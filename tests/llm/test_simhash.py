@@ -79,3 +79,12 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_grid_points_are_listed_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    distinct = spark.range(5000).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    plan = simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
+    # an exchange of its own, with an exact number of partitions, between the grouping and the listing
+    assert "REPARTITION_BY_NUM" in plan
