@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann_collision, byte_bpe, chat, packing, pii, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt
+from plumbline.llm import ann_collision, byte_bpe, chat, merkle, packing, pii, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt
 from plumbline.llm.common import new_path, stored
 
 
@@ -111,6 +111,54 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op11_merkle_supersteps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.leaves(table(spark, sf_dir, "documents"), changed={"text": merkle.tampered()})
+    return merkle.proofs(rows).select(F.col("id").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _value(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+#: One tree's levels, then the paths of its leaves folded over them: ``up`` and ``way`` serve both kinds of tree.
+OP11_SQL = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source AS tree, sha256({" || ".join(map(_value, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+         sha256({" || ".join(map(_value, ("doc_id", "source", "lang", "n_chars")))} || {_value("CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")}) AS found
+  FROM (SELECT *, list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1])),
+    lambda r, b: xor((CASE WHEN b >= 0 THEN xor(r, b) ELSE r END) >> 1, CASE WHEN (CASE WHEN b >= 0 THEN xor(r, b) ELSE r END) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT) & 1 = 1 AS even FROM documents)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM rows_
+), up AS (
+  SELECT tree, 0 AS height, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, height + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY tree, height, i // 3, n
+), roots AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS height, i, n, h FROM roots
+  UNION ALL
+  SELECT height + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY height, i // 3, n
+), runs AS (SELECT tree, height, i // 3 AS p, list(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY ALL
+), top_runs AS (SELECT height, i // 3 AS p, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY ALL
+), way AS (
+  SELECT tree, i AS leaf_i, 0 AS height, i, n, found AS f, '' AS proof FROM leaves
+  UNION ALL
+  SELECT w.tree, leaf_i, w.height + 1, w.i // 3, (n + 2) // 3, sha256(array_to_string(hs[:(w.i % 3)::INTEGER], '') || f || array_to_string(hs[(w.i % 3 + 2)::INTEGER:], '')),
+         proof || array_to_string(hs[:(w.i % 3)::INTEGER], '') || array_to_string(hs[(w.i % 3 + 2)::INTEGER:], '')
+  FROM way w JOIN runs r ON w.tree IS NOT DISTINCT FROM r.tree AND w.height = r.height AND w.i // 3 = r.p WHERE n > 1
+), on_ AS (
+  SELECT w.tree, leaf_i, 0 AS height, s.i, s.n, f, proof FROM way w JOIN roots s ON w.tree IS NOT DISTINCT FROM s.tree WHERE w.n = 1
+  UNION ALL
+  SELECT tree, leaf_i, w.height + 1, w.i // 3, (n + 2) // 3, sha256(array_to_string(hs[:(w.i % 3)::INTEGER], '') || f || array_to_string(hs[(w.i % 3 + 2)::INTEGER:], '')),
+         proof || array_to_string(hs[:(w.i % 3)::INTEGER], '') || array_to_string(hs[(w.i % 3 + 2)::INTEGER:], '')
+  FROM on_ w JOIN top_runs r ON w.height = r.height AND w.i // 3 = r.p WHERE n > 1
+)
+SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(o.proof) AS proof_sha256, o.f AS folded_root, o.f = (SELECT h FROM top WHERE n = 1) AS verified
+FROM leaves l JOIN roots s ON l.tree IS NOT DISTINCT FROM s.tree JOIN on_ o ON o.n = 1 AND o.leaf_i = l.i AND o.tree IS NOT DISTINCT FROM l.tree
+"""
+
+
 def queries() -> dict:
     return {
         "op1_quality_line_crf": op1_quality_line_crf,
@@ -123,8 +171,9 @@ def queries() -> dict:
         "op8_pii_weak_supervision": op8_pii_weak_supervision,
         "op9_byte_bpe_fold": op9_byte_bpe_fold,
         "op10_chat_prefix_targets": op10_chat_prefix_targets,
+        "op11_merkle_supersteps": op11_merkle_supersteps,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_pivot_elimination": OP2_SQL, "op10_chat_prefix_targets": OP10_SQL}
+    return {"op2_topk_pivot_elimination": OP2_SQL, "op10_chat_prefix_targets": OP10_SQL, "op11_merkle_supersteps": OP11_SQL}
