@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann_collision, byte_bpe, chat, merkle, packing, pii, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt
+from plumbline.llm import ann_collision, byte_bpe, chat, merkle, packing, pii, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt, vector_codes
 from plumbline.llm.common import new_path, stored
 
 
@@ -159,6 +159,44 @@ FROM leaves l JOIN roots s ON l.tree IS NOT DISTINCT FROM s.tree JOIN on_ o ON o
 """
 
 
+def op12_hamerly_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.hex("code")).alias("code")
+    return vector_codes.with_label_errors(codes).select("vec_id", code, "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _lloyd(rounds: int = 2, width: int = 4) -> str:
+    """Assignments a0, a1, ... to codebooks c0, c1, ..., each in full."""
+    gap = " + ".join(f"(x{w} - c{w}) * (x{w} - c{w})" for w in range(width))
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS (SELECT rid, part, min({{'d': {gap}, 'k': k}}) AS best FROM parts JOIN c{r} USING (part) GROUP BY 1, 2)")
+        if r < rounds:
+            sums = ", ".join(f"sum(x{w}) AS s{w}" for w in range(width))
+            floors = ", ".join(f"coalesce(((s{w} - ((s{w} % n) + n) % n) // n)::BIGINT, c{w}) AS c{w}" for w in range(width))
+            out.append(f"m{r} AS (SELECT part, best.k AS k, count(*) AS n, {sums} FROM a{r} JOIN parts USING (rid, part) GROUP BY 1, 2)")
+            out.append(f"c{r + 1} AS (SELECT part, k, {floors} FROM c{r} LEFT JOIN m{r} USING (part, k))")
+    return ",\n".join(out)
+
+
+OP12_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT rid, part, x[4 * part + 1] AS x0, x[4 * part + 2] AS x1, x[4 * part + 3] AS x2, x[4 * part + 4] AS x3 FROM v, range(16) AS t(part)
+), first AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS k, x FROM (SELECT vec_id, min(x) AS x FROM v GROUP BY 1)
+), c0 AS (
+  SELECT part, k, x[4 * part + 1] AS c0, x[4 * part + 2] AS c1, x[4 * part + 3] AS c2, x[4 * part + 4] AS c3 FROM first, range(16) AS t(part) WHERE k < 64
+), {_lloyd()},
+coded AS (SELECT rid, string_agg(printf('%02x', best.k), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(concat_ws(',', c0, c1, c2, c3), ',' ORDER BY part, k)) FROM c2) AS codebooks_sha256
+FROM coded JOIN v USING (rid)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_quality_line_crf": op1_quality_line_crf,
@@ -172,8 +210,9 @@ def queries() -> dict:
         "op9_byte_bpe_fold": op9_byte_bpe_fold,
         "op10_chat_prefix_targets": op10_chat_prefix_targets,
         "op11_merkle_supersteps": op11_merkle_supersteps,
+        "op12_hamerly_vector_codes": op12_hamerly_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_pivot_elimination": OP2_SQL, "op10_chat_prefix_targets": OP10_SQL, "op11_merkle_supersteps": OP11_SQL}
+    return {"op2_topk_pivot_elimination": OP2_SQL, "op10_chat_prefix_targets": OP10_SQL, "op11_merkle_supersteps": OP11_SQL, "op12_hamerly_vector_codes": OP12_SQL}
