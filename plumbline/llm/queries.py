@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann_collision, byte_bpe, chat, merkle, packing, pii, quality_crf, simhash, token_binary, topk_pivot, toxicity_gbt, vector_codes
+from plumbline.llm import ann_collision, byte_bpe, chat, merkle, packing, pii, quality_crf, quality_rules, simhash, token_binary, topk_pivot, toxicity_gbt, vector_codes
 from plumbline.llm.common import new_path, stored
 
 
@@ -197,6 +197,11 @@ FROM coded JOIN v USING (rid)
 """
 
 
+def op13_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_rules.judged(documents, quality_rules.train(documents, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         "op1_quality_line_crf": op1_quality_line_crf,
@@ -211,6 +216,7 @@ def queries() -> dict:
         "op10_chat_prefix_targets": op10_chat_prefix_targets,
         "op11_merkle_supersteps": op11_merkle_supersteps,
         "op12_hamerly_vector_codes": op12_hamerly_vector_codes,
+        "op13_quality_decision_list": op13_quality_decision_list,
     }
 
 
