@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import gather, pack, stored_by, unpack
+from plumbline.llm.common import gather, let, pack, stored_by, unpack
 
 BUCKETS = 32_768
 
@@ -48,11 +48,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file) if a}
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once; expressions inside lambdas are not shared otherwise."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.split_pattern = pattern

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,34 @@ def unpack(packed: pa.Buffer) -> list[np.ndarray]:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; expressions inside lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], shown: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``shown(state, item)`` of every item of an array in order, ``state`` being what ``step`` made of those before it.
+
+    Spark's folds copy an array to add to it. Items are folded in blocks of about
+    the root of their number, so n items cost copies of n * sqrt(n) places.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def block(acc: Column, some: Column) -> Column:
+        first = F.struct(acc["state"].alias("state"), none.alias("out"))
+        done = F.aggregate(some, first, lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], F.array(shown(a["state"], x))).cast(f"array<{kind}>").alias("out")))
+        return let(done, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).cast(f"array<array<{kind}>>").alias("out")))
+
+    first = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return let(items, lambda a: F.when(F.size(a) > 0, F.aggregate(blocks(a), first, block, lambda acc: F.flatten(acc["out"]))).otherwise(none))
+
+
+def blocks(items: Column) -> Column:
+    """A non-empty array cut into arrays of about the root of its length."""
+    width = F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int")
+    return F.transform(F.sequence(F.lit(1), F.size(items), width), lambda at: F.slice(items, at, width))
+
+
 def held_out() -> F.Column:
     """Rows kept from training: crc32 of the id as text, modulo 5, is 0."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0

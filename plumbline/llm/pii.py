@@ -31,6 +31,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import blocks, let, scan
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL, LABEL, PART = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]", r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kind, whether it is the base form, pattern.
@@ -87,32 +89,33 @@ def _context(kind: int, before: Column) -> Column:
 
 
 def _found(text: Column, form: int) -> Column:
-    kind, base, pattern = FORMS[form]
-    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pattern = FORMS[form][2]
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: let(F.split(text, pattern, -1), lambda pieces: _spans(matches, pieces, form)))
+
+
+def _spans(matches: Column, pieces: Column, form: int) -> Column:
+    """Valid spans of a form from its matches in a text and the pieces between them."""
+    kind, base, _ = FORMS[form]
     both = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     rows = F.zip_with(both, F.slice(pieces, F.lit(2), F.size(matches)), lambda b, n: F.struct(b["m"].alias("m"), b["p"].alias("p"), n.alias("next")))
-    empty = F.array().cast(SPAN)
+    starts = scan(both, F.lit(0), lambda at, b: at + F.length(b["p"]) + F.length(b["m"]), lambda at, b: at + F.length(b["p"]), "int")
+    placed = F.zip_with(rows, starts, lambda x, start: F.struct(x["m"].alias("m"), F.right(x["p"], F.lit(24)).alias("near"), x["next"].alias("next"), start.alias("start")))
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        near = F.right(x["p"], F.lit(24))
-        span = F.struct(
-            start.alias("start"),
+    def span(x: Column) -> Column:
+        return F.struct(
+            x["start"].alias("start"),
             F.lit(kind).alias("kind"),
-            (start + F.length(x["m"])).alias("end"),
+            (x["start"] + F.length(x["m"])).alias("end"),
             F.lit(base).alias("base"),
             F.lit(form).alias("form"),
             F.least(F.lit(3), F.floor(F.length(x["m"]) / 8)).cast("int").alias("size"),
-            near.rlike(r"(?:^|[^\p{L}\p{N}])$").alias("before"),
+            x["near"].rlike(r"(?:^|[^\p{L}\p{N}])$").alias("before"),
             x["next"].rlike(r"^(?:$|[^\p{L}\p{N}])").alias("after"),
-            _context(kind, near).alias("context"),
+            _context(kind, x["near"]).alias("context"),
             _gazetteer(kind, x["m"]).alias("gazetteer"),
         )
-        kept = F.when(_valid(kind, x["m"], base), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((start + F.length(x["m"])).alias("at"), kept.cast(SPAN).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(rows, first, add, lambda acc: acc["out"])).otherwise(empty)
+    return F.transform(F.filter(placed, lambda x: _valid(kind, x["m"], base)), span).cast(SPAN)
 
 
 def candidates(text: Column) -> Column:
@@ -192,10 +195,23 @@ def train(spans: DataFrame) -> SpanModel:
 
 
 def accepted(spans: Column, model: SpanModel, threshold: float = 0.5) -> Column:
-    """Base spans and the wider ones that the classifier takes and no base span overlaps, by start and kind."""
-    overlap = lambda s: F.exists(F.filter(spans, lambda b: b["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    take = lambda s: s["base"] | ((model.probability(s) >= threshold) & ~overlap(s))
-    return F.array_sort(F.transform(F.filter(spans, take), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"))))
+    """Base spans and the wider ones that the classifier takes and no base span overlaps, by start and kind.
+
+    In order of start, a span is overlapped by a base span before it if one of
+    those ends after its start, and by one after it if the next starts before its end.
+    """
+    base_end = lambda most, s: F.when(s["base"], F.greatest(most, s["end"])).otherwise(most)
+    base_start = lambda at, s: F.when(s["base"], s["start"]).otherwise(at)
+
+    def taken(s: Column) -> Column:
+        ends = scan(s, F.lit(-1), base_end, lambda most, _: most, "int")
+        starts = F.reverse(scan(F.reverse(s), F.lit(2**31 - 1), base_start, lambda at, _: at, "int"))
+        both = F.zip_with(ends, starts, lambda e, b: F.struct(e.alias("e"), b.alias("b")))
+        rows = F.zip_with(s, both, lambda x, n: F.struct(x.alias("s"), ((n["e"] > x["start"]) | (n["b"] < x["end"])).alias("over")))
+        return F.filter(rows, lambda r: r["s"]["base"] | (~r["over"] & (model.probability(r["s"]) >= threshold)))
+
+    plain = lambda r: F.struct(r["s"]["start"].alias("start"), r["s"]["kind"].alias("kind"), r["s"]["end"].alias("end"), r["s"]["base"].alias("base"))
+    return F.sort_array(F.transform(let(F.sort_array(spans), taken), plain))
 
 
 def shown(spans: Column) -> Column:
@@ -205,25 +221,29 @@ def shown(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one."""
-    text = F.coalesce(text, F.lit(""))
+    """The text with every span replaced by its kind in brackets; overlapping spans become one. ``spans`` are in order."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def add(acc, s):
-        lead = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(lead, F.get(names, s["kind"])))).otherwise(acc["out"]).alias("out"),
-        )
+    def block(t: Column, some: Column) -> Column:
+        # one piece of the text for the block, cut up by itself
+        first = F.get(some, F.lit(0))["at"]
+        piece = F.substring(t, first + 1, F.element_at(some, -1)["start"] - first)
+        cut = lambda p, at: F.transform(some, lambda x: F.concat(F.substring(p, x["at"] - at + 1, x["start"] - x["at"]), F.get(names, x["kind"])))
+        return let(piece, lambda p: let(first, lambda at: F.array_join(cut(p, at), "")))
+
+    def of(t: Column, s: Column) -> Column:
+        ends = scan(s, F.lit(0), lambda at, x: F.greatest(at, x["end"]), lambda at, _: at, "int")
+        rows = F.zip_with(s, ends, lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), x["kind"].alias("kind")))
+        fresh = F.filter(rows, lambda x: x["start"] >= x["at"])
+        rest = F.substring(t, F.array_max(F.transform(s, lambda x: x["end"])) + 1, F.length(t))
+        return F.concat(let(fresh, lambda f: F.array_join(F.transform(blocks(f), lambda some: block(t, some)), "")), rest)
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, add, rest)).otherwise(text)
+    return let(F.coalesce(text, F.lit("")), lambda t: let(spans, lambda s: F.when(F.size(s) > 0, of(t, s)).otherwise(t)))
 
 
 def redacted(documents: DataFrame) -> DataFrame:
     """The documents with personal data replaced and n_chars, if there is one, brought up to date; null texts stay null."""
     model = train(documents.select(candidates(F.col("text")).alias("spans")))
-    marked = documents.withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("text"), accepted(candidates(F.col("text")), model))))
+    hidden = let(candidates(F.col("text")), lambda spans: redact(F.col("text"), accepted(spans, model)))
+    marked = documents.withColumn("text", F.when(F.col("text").isNotNull(), hidden))
     return marked.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else marked

@@ -34,8 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.byte_bpe import let
-from plumbline.llm.common import stored, training_sample
+from plumbline.llm.common import let, stored, training_sample
 
 SPACES = " \t\n\x0b\x0c\r"
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
