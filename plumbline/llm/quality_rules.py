@@ -241,7 +241,8 @@ def cuts_of(known: DataFrame, cuts: int) -> dict[str, list[float]]:
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, cuts: int = 12) -> DecisionList:
     """The decision list of at most ``max_rows`` labelled training rows, of those that the base passes."""
-    sample = training_sample(documents, labels, "quality", max_rows)
+    # stored, or the statistics would be taken of every row before the join
+    sample = stored(training_sample(documents, labels, "quality", max_rows), "labelled")
     m = sample.select("doc_id", "y", measured(F.col("text")).alias("m")).where(~base_failed(F.col("m")))
     known = stored(m.select("y", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), *[v.alias(k) for k, v in statistics(F.col("m")).items()]), "statistics")
     cut = cuts_of(known, cuts)
