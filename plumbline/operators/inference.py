@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -98,41 +98,78 @@ def permutation(contrast: DataFrame, rounds: int = 2000, seed: int = 20260927) -
     return contrast.withColumn("p_permuted", F.pandas_udf(each, "double")(F.struct("moves", "controls", "move_hits", "control_hits")))
 
 
-def permutation_means(values: DataFrame, rounds: int = 2000, seed: int = 20260927, share: int = 100) -> DataFrame:
+SHARDS, VALUES = 4096, 1 << 14
+
+
+def drawn(count: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among ``take`` of ``count.sum()`` items, all choices alike.
+
+    Every item is taken by itself with the chance that gives ``take`` in the mean;
+    then as many as are too many are put back, or too few added, all alike. Numbers
+    may exceed what hypergeometric generators take.
+    """
+    total = int(count.sum())
+    chance = take / total if total else 0.0
+    got = (rng.random(len(count)) < chance).astype(np.int64) if len(count) and count.max() == 1 else rng.binomial(count, chance)
+    over = int(got.sum()) - take
+    if not over:
+        return got
+    pool = got if over > 0 else count - got
+    size, wanted = int(pool.sum()), abs(over)
+    if 3 * wanted >= size:
+        places = rng.permutation(size)[:wanted]
+    else:
+        places = np.unique(rng.integers(0, size, wanted))
+        while len(places) < wanted:
+            places = np.unique(np.concatenate([places, rng.integers(0, size, wanted - len(places))]))
+    change = np.bincount(np.searchsorted(np.cumsum(pool), places, "right"), minlength=len(count))
+    return got - change if over > 0 else got + change
+
+
+def permutation_means(values: DataFrame, rounds: int = 2000, seed: int = 20260927, shards: int = SHARDS) -> DataFrame:
     """Per category (columns role, value): two-sided permutation test of the difference of means.
 
-    Rows are counted by role and value, and each round draws the moves' counts of
-    the values, which is a permutation of all rows. ``share`` rounds are one task's
-    work; it holds the distinct values of a category, not its rows. Null values
-    are left out. A category may have 10^9 rows.
+    Rows are counted by role and value, and a category's distinct values are dealt
+    by hash to shards of about ``VALUES``, ``shards`` at most. In each round the
+    number of moves of every shard is drawn from the shards' sizes, alike in all of
+    the category's tasks, and inside a shard the moves are drawn from its counts:
+    together a permutation of all rows. A task returns a sum for each round, so
+    neither values nor rows of a category meet. p counts rounds whose difference
+    is as large as the observed one, within 1e-9, and the observed one itself.
+    Null and non-finite values are left out; fewer than two rows of either role
+    give a null difference and p.
     """
     many = lambda role: F.sum(F.when(F.col("role") == role, 1).otherwise(0))
-    counted = values.where("value IS NOT NULL AND role IN ('move', 'control')").groupBy("category", F.col("value").cast("double").alias("value")).agg(many("move").alias("a"), many("control").alias("b"))
-    held = counted.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("value", "a", "b"))).alias("v"), F.sum("a").alias("n"), F.sum("b").alias("m"))
-    parts = -(-rounds // share)
-    dealt = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, "category", "part")
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for category, v, n, m, part in zip(batch["category"], batch["v"], batch["n"], batch["m"], batch["part"], strict=True):
-                if n < 2 or m < 2:
-                    out.append((category, None, None))
-                    continue
-                value = np.array([r["value"] for r in v])
-                move = np.array([r["a"] for r in v], dtype=np.int64)
-                both = move + np.array([r["b"] for r in v], dtype=np.int64)
-                total = float(both @ value)
-                gap = lambda drawn: (s := float(drawn @ value)) / n - (total - s) / m  # noqa: B023, E731
-                diff = gap(move)
-                rng = np.random.default_rng([seed, zlib.crc32(str(category).encode()), int(part)])
-                least = abs(diff) - 1e-12
-                draws = (rng.multivariate_hypergeometric(both, int(n), method="marginals") for _ in range(min(share, rounds - part * share)))
-                out.append((category, diff, sum(abs(gap(drawn)) >= least for drawn in draws)))
-            yield pd.DataFrame({"category": [r[0] for r in out], "difference": pd.Series([r[1] for r in out], dtype="float64"), "hits": pd.Series([r[2] for r in out], dtype="Int64")})
-
-    drawn = dealt.mapInPandas(each, "category string, difference double, hits long")
-    return drawn.groupBy("category").agg(F.min("difference").alias("difference"), ((F.sum("hits") + 1) / (rounds + 1)).alias("p"))
+    known = values.withColumn("value", F.col("value").cast("double")).where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('Infinity') AND role IN ('move', 'control')")
+    counted = known.groupBy("category", "value").agg(many("move").alias("a"), many("control").alias("b"))
+    size = counted.groupBy("category").agg(F.least(F.lit(shards), F.ceil(F.count("*") / VALUES)).cast("int").alias("shards"), F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum(F.col("a") * F.col("value")).alias("moves"), F.sum(F.col("b") * F.col("value")).alias("controls"))
+    difference = F.when((F.col("n") >= 2) & (F.col("m") >= 2), F.col("moves") / F.col("n") - F.col("controls") / F.col("m"))
+    size = size.select("category", "shards", "n", "m", (F.col("moves") + F.col("controls")).alias("total"), difference.alias("difference"))
+    dealt = counted.join(size.select(F.col("category").alias("_c"), "shards", "n", "difference").where("difference IS NOT NULL"), F.col("category").eqNullSafe(F.col("_c")))
+    dealt = dealt.select("category", F.pmod(F.xxhash64("value"), F.col("shards")).cast("int").alias("shard"), "n", "value", (F.col("a") + F.col("b")).alias("many"))
+    # one row a category: the sizes of its shards, ``shards`` numbers at most
+    sizes = dealt.groupBy("category", "shard").agg(F.sum("many").alias("s")).groupBy(F.col("category").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("shard", "s"))).alias("sizes"))
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("value")
+        category, shard = group["category"].iloc[0], int(group["shard"].iloc[0])
+        held = group["sizes"].iloc[0]
+        own = [r["shard"] for r in held].index(shard)
+        of = np.array([r["s"] for r in held], dtype=np.int64)
+        value, count, take = group["value"].to_numpy(), group["many"].to_numpy(dtype=np.int64), int(group["n"].iloc[0])
+        key = [seed, zlib.crc32(str(category).encode())]
+        alike, inside = np.random.default_rng(key), np.random.default_rng([*key, shard + 1])
+        sums = [float(drawn(count, int(drawn(of, take, alike)[own]), inside) @ value) for _ in range(rounds)]
+        return pd.DataFrame({"category": category, "round": np.arange(rounds, dtype=np.int32), "part": sums})
+
+    kind = values.schema["category"].dataType.simpleString()
+    with_sizes = dealt.join(sizes, F.col("category").eqNullSafe(F.col("_c"))).drop("_c")
+    parts = with_sizes.groupBy("category", "shard").applyInPandas(each, f"category {kind}, round int, part double")
+    moves = parts.groupBy(F.col("category").alias("_c"), "round").agg(F.sum("part").alias("s"))
+    met = moves.join(size, F.col("category").eqNullSafe(F.col("_c")))
+    gap = F.abs(F.col("s") / F.col("n") - (F.col("total") - F.col("s")) / F.col("m"))
+    hits = met.groupBy("_c").agg(F.count_if(gap >= F.abs("difference") - 1e-9).alias("hits"))
+    return size.join(hits, F.col("category").eqNullSafe(F.col("_c")), "left").select("category", "difference", ((F.col("hits") + 1) / (rounds + 1)).alias("p"))
 
 
 def benjamini_hochberg(tested: DataFrame, p: str = "p") -> DataFrame:
@@ -144,10 +181,10 @@ def benjamini_hochberg(tested: DataFrame, p: str = "p") -> DataFrame:
     return ranked.join(F.broadcast(m)).withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(raw).over(down)))).drop("_r", "_m")
 
 
-def time_trend(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def time_trend(rows: DataFrame, key: str, order: str, value: str, ties: Sequence[str] = ()) -> DataFrame:
     """Means of the earliest and latest third and whether they drift by a standard deviation or more.
 
-    ``order`` is a timestamp. Minutes are counted first, so whole minutes fall into
+    ``order`` is a timestamp; rows of one instant are ordered by ``ties``. Minutes are counted first, so whole minutes fall into
     a third by their counts, and only rows of the two minutes of a key that a
     third's end cuts are ordered.
     """
@@ -159,7 +196,7 @@ def time_trend(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     cut = lambda at: (F.col("_before") < at) & (at < F.col("_before") + F.col("_c"))
     placed = placed.select(key, "_m", "_before", "_n", third.alias("_t"), (cut(third) | cut(F.col("_n") - third)).alias("_cut"))
     dated = rows.withColumn("_m", minute).join(placed, [key, "_m"])
-    inside = dated.where("_cut").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(key, "_m").orderBy(order)))
+    inside = dated.where("_cut").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(key, "_m").orderBy(order, *ties)))
     dated = dated.where("NOT _cut").withColumn("_i", F.col("_before") + 1).unionByName(inside)
     early, late = F.col("_i") <= F.col("_t"), F.col("_i") > F.col("_n") - F.col("_t")
     out = dated.groupBy(key).agg(F.avg(F.when(early, F.col(value))).alias("early"), F.avg(F.when(late, F.col(value))).alias("late"), F.stddev_pop(value).alias("spread"))

@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql_have_tests_of_their_own():
-    tested = {"moves_nonoverlapping", "zigzag_legs", "lexicon_sentiment", "headline_emotion", "permutation_presence", "permutation_means"}
+    tested = {"moves_nonoverlapping", "zigzag_legs", "lexicon_sentiment", "headline_emotion", "permutation_presence", "permutation_means", "permutation_amounts", "move_profile_tests"}
     assert {n for n, (_, sql) in catalog.ALL.items() if not sql} == tested
 
 
