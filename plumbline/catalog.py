@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import indicator_queries, profile_queries, registry_queries, report_queries, series_queries, source_queries
+from plumbline.plans import indicator_queries, pattern_queries, profile_queries, registry_queries, report_queries, series_queries, source_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL: dict[str, tuple[Query, str | None]] = {**series_queries.QUERIES, **registry_queries.QUERIES, **source_queries.QUERIES, **report_queries.QUERIES, **indicator_queries.QUERIES, **profile_queries.QUERIES}
+ALL: dict[str, tuple[Query, str | None]] = {**series_queries.QUERIES, **registry_queries.QUERIES, **source_queries.QUERIES, **report_queries.QUERIES, **indicator_queries.QUERIES, **profile_queries.QUERIES, **pattern_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:
