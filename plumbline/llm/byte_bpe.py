@@ -7,21 +7,23 @@ up two new ones. A byte is written as the Latin-1 character of its value, and th
 rank map is a literal: an array of small maps picked by the crc32 of the key,
 since Spark looks up map keys one after the other.
 
-Every distinct word is folded once. A task splits its texts into words and writes
-them in chunks of about ``chars`` characters: the texts as places in the chunk's
-list of words, the most frequent first, and that list by buckets of the words'
-crc32. A bucket's task finds the distinct words of all chunks, folds them, and the
-ids go back to their chunks by shuffle, where texts become ids; what a task wrote
-is bucketed by chunk, so texts are not shuffled. Nothing is broadcast or collected, and since a word is in a chunk's list once, no word is
-hot. Lists and texts travel as compressed arrays, a few for each chunk.
+Every distinct word of a region, about 2 billion characters, is folded once. A task
+splits its texts into words and writes them in chunks of about ``chars``
+characters: the texts as places in the chunk's list of words, the most frequent
+first, and that list by buckets of the words' crc32. Chunks fall into regions by
+hash. A task takes the lists of a region and bucket one after the other, finds
+their distinct words, folds them, and the ids go back to their chunks by shuffle,
+where texts become ids; what a task wrote is bucketed by chunk, so texts are not
+shuffled. Nothing is broadcast or collected, since a word is in a chunk's list
+once no word is hot, and a task holds one region's lists of one bucket at any size
+of input. Lists and texts travel as compressed arrays, a few for each chunk.
 
 Texts are first cut before single spaces that stand between two other characters,
 where the pattern always cuts; what stands between two cuts is split once a chunk.
 Decoding looks up each id's bytes in a literal array and concatenates them.
 
 Defined cases: null text is empty and has no ids; a word of n bytes costs up to
-n merges over arrays of n, so one word of very many thousand bytes is slow but
-right; repeated rows are encoded each; an empty table gives no rows; further
+n merges over arrays of n, over 512 bytes of the root of n; repeated rows are encoded each; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -41,6 +43,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import gather, let, pack, stored_by, unpack
 
 BUCKETS = 32_768
+#: Words of more bytes are folded in blocks.
+LONG = 512
+#: Chunks whose words are folded together, about, and lists that a chunk's words are cut into at most.
+REGION, LISTS = 128, 256
+BLOCK = "struct<toks:array<int>,pairs:array<int>,least:int>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,8 +72,8 @@ class ByteBpe:
         bucket = F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")
         return F.try_element_at(F.get(ranks, bucket), piece)
 
-    def fold(self, word: Column, ranks: Column) -> Column:
-        """Ids of one word."""
+    def fold(self, word: Column, ranks: Column, pieces: Column) -> Column:
+        """Ids of one word; ``ranks`` and ``pieces`` are this object's, bound once."""
         none = F.array().cast("array<int>")
 
         def merge(acc: Column, _: Column) -> Column:
@@ -90,11 +97,69 @@ class ByteBpe:
             start = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(shown, i, F.lit(1)))
             pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: self.rank(F.substring(shown, i, F.lit(2)), ranks))
             first = F.struct(start.alias("toks"), pairs.alias("pairs"))
-            folded = F.aggregate(F.sequence(F.lit(2), size), first, merge, lambda acc: F.transform(acc["toks"], lambda t: self.rank(t, ranks)))
+            short = F.aggregate(F.sequence(F.lit(2), size), first, merge, lambda acc: F.transform(acc["toks"], lambda t: self.rank(t, ranks)))
+            folded = F.when(size > LONG, self.fold_long(shown, ranks, pieces)).otherwise(short)
             return let(self.rank(shown, ranks), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(size > 1, folded).otherwise(none))
 
         return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
 
+    def fold_long(self, shown: Column, ranks: Column, pieces: Column) -> Column:
+        """Ids of one long word: ids and their pairs' ranks are kept in blocks of about the root of its length.
+
+        A merge looks for the least rank among blocks, then in its block, and makes
+        that block and its neighbours anew; a block's last pair reaches into the next.
+        A fold copies its state at every step, so that is ids, not text, and nothing
+        that holds all blocks goes through ``let``, which copies too.
+        """
+        size = F.length(shown)
+        block = lambda ids, pairs: F.struct(ids.alias("toks"), pairs.alias("pairs"), F.array_min(pairs).alias("least"))
+        pair = lambda a, b: self.rank(F.concat(F.get(pieces, a), F.get(pieces, b)), ranks)
+
+        def cut(ids: Column, pairs: Column) -> Column:
+            width = F.ceil(F.sqrt(size.cast("double"))).cast("int")
+            return F.transform(F.sequence(F.lit(1), size, width), lambda a: block(F.slice(ids, a, width), F.slice(pairs, a, width))).cast(f"array<{BLOCK}>")
+
+        def rebuilt(some: Column, g: Column, rank: Column) -> Column:
+            """The blocks with the pair at g, which has this rank, made one."""
+
+            def of(ids: Column, pairs: Column) -> Column:
+                left, right = pair(F.get(ids, g - 1), rank), pair(rank, F.get(ids, g + 2))
+                made = F.filter(F.transform(ids, lambda t, i: F.when(i == g, rank).otherwise(t)), lambda t, i: i != g + 1)
+                rest = F.filter(F.transform(pairs, lambda r, i: F.when(i == g - 1, left).when(i == g + 1, right).otherwise(r)), lambda r, i: i != g)
+                # where each block ends; the one that held the right part is one shorter
+                ends = F.transform(some, lambda x, k: F.aggregate(F.slice(some, F.lit(1), k + 1), F.lit(0), lambda n, y: n + F.size(y["toks"])))
+                bounds = F.transform(ends, lambda e: e - F.when(e > g + 1, 1).otherwise(0))
+
+                def blocks(ids: Column, pairs: Column, bounds: Column) -> Column:
+                    start = lambda k: F.coalesce(F.get(bounds, k - 1), F.lit(0))
+                    own = F.transform(bounds, lambda e, k: block(F.slice(ids, start(k) + 1, e - start(k)), F.slice(pairs, start(k) + 1, e - start(k))))
+                    return F.filter(own, lambda x: F.size(x["toks"]) > 0)
+
+                return let(made, lambda m: let(rest, lambda r: let(bounds, lambda b: blocks(m, r, b))))
+
+            flat = lambda name: F.flatten(F.transform(some, lambda x: x[name]))
+            return let(flat("toks"), lambda t: let(flat("pairs"), lambda p: of(t, p)))
+
+        def merge(acc: Column, _: Column) -> Column:
+            leasts = F.transform(acc, lambda x: x["least"])
+            rank = F.array_min(leasts)
+            own = F.array_position(leasts, rank).cast("int")
+            before = lambda own: F.greatest(own - 1, F.lit(1))
+
+            def near(own: Column, rank: Column) -> Column:
+                some = F.slice(acc, before(own), own - before(own) + 3)  # the block before, its own, and two after it
+                lead = F.when(own > 1, F.size(F.get(acc, own - 2)["toks"])).otherwise(0)
+                at = lead + F.array_position(F.get(acc, own - 1)["pairs"], rank).cast("int") - 1
+                return let(some, lambda s: let(at, lambda g: rebuilt(s, g, rank)))
+
+            fresh = let(own, lambda o: let(rank, lambda r: near(o, r))).cast(f"array<{BLOCK}>")
+            return F.when(rank.isNull(), acc).otherwise(F.concat(F.slice(acc, F.lit(1), before(own) - 1), fresh, F.slice(acc, own + 3, F.size(acc))))
+
+        ids = F.transform(F.sequence(F.lit(1), size), lambda i: self.rank(F.substring(shown, i, F.lit(1)), ranks))
+        pairs = F.transform(F.sequence(F.lit(1), size), lambda i: F.when(i < size, self.rank(F.substring(shown, i, F.lit(2)), ranks)))
+        start = let(ids, lambda t: let(pairs, lambda p: cut(t, p)))
+        return F.aggregate(F.sequence(F.lit(2), size), start, merge, lambda acc: F.flatten(F.transform(acc, lambda x: x["toks"])))
+
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
         return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
@@ -102,14 +167,19 @@ class ByteBpe:
     def encode(self, documents: DataFrame, chars: int = 1 << 24) -> DataFrame:
         """doc_id, ids (array of int) of every whole text."""
         kind, pattern = documents.schema["doc_id"].dataType.simpleString(), self.split_pattern
-        buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(parts, LISTS)
         split = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
             lambda batches: chunked(batches, pattern, buckets, chars), f"chunk long, bucket int, doc_ids array<{kind}>, packed binary"
         )
         split = stored_by(split, "words", "chunk")
-        words = split.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "packed").repartitionById(buckets, F.col("bucket"))
-        folded = let(self.ranks, lambda ranks: self.fold(F.col("word"), ranks)).alias("ids")
-        found = words.mapInArrow(distinct_words, "word string, at array<long>").select(folded, "at").mapInArrow(by_chunk, "chunk long, packed binary")
+        # words are told apart within regions of chunks, so that no task's lists grow with the input
+        regions = max(1, -(-split.where(F.col("bucket").isNull()).select("chunk").distinct().count() // REGION))
+        region = F.pmod(F.xxhash64("chunk"), F.lit(regions))
+        words = split.where(F.col("bucket").isNotNull()).select("chunk", (region * buckets + F.col("bucket")).alias("list"), "packed")
+        words = words.repartitionById(parts, F.pmod("list", F.lit(parts)).cast("int")).sortWithinPartitions("list")
+        folded = let(self.ranks, lambda ranks: let(self.pieces, lambda pieces: self.fold(F.col("word"), ranks, pieces))).alias("ids")
+        found = words.mapInArrow(distinct_words, "word string, chunks array<long>, places array<int>").select(folded, "chunks", "places").mapInArrow(by_chunk, "chunk long, packed binary")
         texts = split.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "packed")
         return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(put_together, f"doc_id {kind}, ids array<int>")
 
@@ -157,7 +227,7 @@ def chunked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, chars
 
     find = regex.compile(pattern).findall
     context = TaskContext.get()
-    own, number, held, kind = (context.partitionId() if context else 0) << 10, 0, 0, pa.int64()
+    own, number, held, kind = (context.partitionId() if context else 0) << 32, 0, 0, pa.int64()
     ids: list = []
     codes: list[bytes] = []
 
@@ -215,25 +285,32 @@ def chunked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, chars
         yield from flush()
 
 
-def distinct_words(batches: Iterator[pa.RecordBatch], rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
-    """The distinct words of a bucket, each with its places in all chunks (chunk in the high half, place in the low)."""
-    lengths, data, at = [], [], []
+def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each list, which rows come in order of, with the chunks that have them and their places there."""
+    own, held = None, []
     for batch in batches:
-        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed"), strict=True):
-            n, place, body = unpack(packed.as_buffer())
-            lengths.append(n)
-            data.append(body.tobytes())
-            at.append((np.int64(chunk) << 32) | place.astype(np.int64))
-    if not at:
-        return
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])
-    words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))).dictionary_encode()
-    index, places = words.indices.to_numpy(), np.concatenate(at)
-    places, ends = places[np.argsort(index, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(index))])
+        for number, chunk, packed in zip(batch.column("list").to_pylist(), batch.column("chunk").to_pylist(), batch.column("packed"), strict=True):
+            if held and number != own:
+                yield from told_apart(held)
+                held = []
+            own = number
+            held.append((chunk, *unpack(packed.as_buffer())))
+    if held:
+        yield from told_apart(held)
+
+
+def told_apart(held: list[tuple], rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in held]), dtype=np.int64)])
+    words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.concatenate([x[3] for x in held]))).dictionary_encode()
+    index = words.indices.to_numpy()
+    order, ends = np.argsort(index, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(index))])
+    which = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])[order]
+    places, chunks = np.concatenate([x[2] for x in held])[order].view(np.int32), np.array([x[0] for x in held], np.int64)
     for a in range(0, len(words.dictionary), rows):
         b = min(a + rows, len(words.dictionary))
-        of = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(places[ends[a] : ends[b]]))
-        yield pa.RecordBatch.from_arrays([words.dictionary[a:b].cast(pa.string()), of], names=["word", "at"])
+        many = pa.array((ends[a : b + 1] - ends[a]).astype(np.int32))
+        lists_ = [pa.ListArray.from_arrays(many, pa.array(x)) for x in (chunks[which[ends[a] : ends[b]]], places[ends[a] : ends[b]])]
+        yield pa.RecordBatch.from_arrays([words.dictionary[a:b].cast(pa.string()), *lists_], names=["word", "chunks", "places"])
 
 
 def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,11 +323,11 @@ def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids of words, for each chunk that has them: places, numbers of ids, ids."""
     for batch in batches:
         ids, many = lists(batch.column("ids"))
-        at, places = lists(batch.column("at"))
+        chunk, times = lists(batch.column("chunks"))
+        place, _ = lists(batch.column("places"))
         starts = np.cumsum(many) - many
-        word = np.repeat(np.arange(len(many)), places)
-        order = np.argsort(at, kind="stable")
-        chunk, place, word = at[order] >> 32, at[order] & 0xFFFFFFFF, word[order]
+        order = np.argsort(chunk, kind="stable")
+        chunk, place, word = chunk[order], place[order].view(np.uint32), np.repeat(np.arange(len(many)), times)[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]]) if len(chunk) else [0]
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):

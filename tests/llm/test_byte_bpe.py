@@ -59,3 +59,20 @@ def test_empty_table(spark, ranks):
 def test_rank_file(ranks):
     line = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").readline().split()
     assert ranks[base64.b64decode(line[0])] == int(line[1])
+
+
+def test_long_words_in_blocks(spark, ranks):
+    import time
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    rows = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("ab", 513), ("etaoinshrdlu", 700), ("aaab", 2000), ("éüß語", 1500), ("abcdefghijklmnopqrstuvwxyz", 5000), ("a", 4000))]
+    rows += ["w" * k for k in (511, 512, 513, 514)] + ["the" * 300, "é" * 256, "é" * 257]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in bpe.encode(frame).collect()}
+    assert all(got[i] == library.encode_ordinary(t) for i, t in enumerate(rows))
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32_000))
+    began = time.time()
+    assert bpe.encode(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().ids == library.encode_ordinary(long)
+    assert time.time() - began < 60
