@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def sign_label(value: Column, up: str = "up", down: str = "down", flat: str = "f
     return F.when(value > 0, up).when(value < 0, down).otherwise(flat)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; expressions inside lambdas and conditions are not shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def headline_title(title: Column) -> Column:
     """A title without its trailing publisher."""
     return F.regexp_replace(F.trim(title), r"\s+-\s+[^-]{1,80}$", "")

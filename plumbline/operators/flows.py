@@ -53,26 +53,27 @@ def attribution_totals(events: DataFrame, flows: DataFrame) -> DataFrame:
 
     The totals of ``attribute``, without its pairs: cumulative counts and amounts
     of flows are read at an event's instant and at each step of the ladder, and
-    the differences are the flows between. Sums run inside days; days before are
-    added from a table with one row a day.
+    the differences are the flows between. Sums run inside hours; hours of the day
+    before, and days before, are added from a table with a row for each hour that
+    has a flow or a question. Only the days are one window: one row a day.
     """
-    day = F.floor(times.epoch_seconds(F.col("t")) / 86_400)
+    hour = F.floor(times.epoch_seconds(F.col("t")) / 3600)
     money = flows.groupBy(F.col("occurred_at").alias("t")).agg(F.count("*").alias("n"), F.sum("amount").alias("sum"))
     money = money.select(F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), "t", F.lit(1).alias("side"), F.lit(None).cast("int").alias("step"), "n", "sum")
     steps = [(0, 0, F.col("at")), *[(i + 1, 2, F.col("at") + times.hours(h)) for i, (h, _) in enumerate(LADDER)]]
     asked = events.select("event_id", F.explode(F.array(*[F.struct(t.alias("t"), F.lit(side).alias("side"), F.lit(i).alias("step")) for i, side, t in steps])).alias("s")).select("event_id", "s.*")
-    both = money.unionByName(asked, allowMissingColumns=True).withColumn("day", day)
-    within_day = Window.partitionBy("day").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    read = both.withColumn("n", F.sum("n").over(within_day)).withColumn("sum", F.sum("sum").over(within_day)).where("side <> 1")
-    days = money.groupBy(day.alias("flow_day")).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
-    upto = Window.orderBy("flow_day").rowsBetween(Window.unboundedPreceding, 0)
-    days = days.select("flow_day", F.sum("n").over(upto).alias("day_n"), F.sum("sum").over(upto).alias("day_sum"))
-    # a day without flows has the totals of the last one that has some
-    next_day = F.coalesce(F.lead("flow_day").over(Window.orderBy("flow_day")), F.col("flow_day") + 2)
-    spans = days.withColumn("next_day", next_day).withColumn("day", F.explode(F.sequence(F.col("flow_day") + 1, F.col("next_day"))))
-    total = read.join(F.broadcast(spans.select("day", "day_n", "day_sum")), "day", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    total = total.select("event_id", "step", (zero("n") + zero("day_n")).alias("n"), (zero("sum") + zero("day_sum")).alias("sum"))
+    both = money.unionByName(asked, allowMissingColumns=True).withColumn("hour", hour)
+    within_hour = Window.partitionBy("hour").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    read = both.withColumn("n", F.sum("n").over(within_hour)).withColumn("sum", F.sum("sum").over(within_hour)).where("side <> 1")
+    zero = lambda c: F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(0))
+    hours = both.groupBy("hour").agg(zero(F.sum("n")).alias("n"), zero(F.sum("sum")).alias("sum")).withColumn("day", F.floor(F.col("hour") / 24))
+    days = hours.groupBy("day").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+    earlier = lambda c, w: zero(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    by_day, by_hour = Window.orderBy("day"), Window.partitionBy("day").orderBy("hour")
+    days = days.select("day", earlier("n", by_day).alias("day_n"), earlier("sum", by_day).alias("day_sum"))
+    hours = hours.select("hour", "day", earlier("n", by_hour).alias("hour_n"), earlier("sum", by_hour).alias("hour_sum")).join(days, "day")
+    total = read.join(hours.select("hour", (F.col("hour_n") + F.col("day_n")).alias("before_n"), (F.col("hour_sum") + F.col("day_sum")).alias("before_sum")), "hour")
+    total = total.select("event_id", "step", (zero("n") + F.col("before_n")).alias("n"), (zero("sum") + F.col("before_sum")).alias("sum"))
     at = lambda c, i: F.max(F.when(F.col("step") == i, F.col(c)))
     wide = total.groupBy("event_id").agg(*[at("n", i).alias(f"n{i}") for i in range(len(LADDER) + 1)], (at("sum", len(LADDER)) - at("sum", 0)).alias("amount"))
     score = sum(((F.col(f"n{i + 1}") - F.col(f"n{i}")) * w for i, (_, w) in enumerate(LADDER)), F.lit(0.0))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import vocabulary as V
+from plumbline.functions.text import let
 
 
 def term_pattern(terms: Iterable[str]) -> str:
@@ -60,10 +61,10 @@ def headline_emotion(text: Column) -> Column:
     """
     engine = lexicon_sentiment(F.coalesce(text, F.lit("")))
     spaced = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z']+"), F.lit(0)), " "), F.lit(" "))
-    times = lambda spaced, terms: sum((F.size(F.split(spaced, f" {re.escape(t)}")) - 1 for t in terms), F.lit(0)).cast("long")
+    once = lambda spaced, t: (F.length(spaced) - F.length(F.replace(spaced, F.lit(f" {t}"), F.lit("")))) / (len(t) + 1)
+    times = lambda spaced, terms: sum((once(spaced, t) for t in terms), F.lit(0)).cast("long")
 
-    def of(e: Column, spaced: Column) -> Column:
-        p, n = times(spaced, V.POSITIVE_HEADLINE), times(spaced, V.NEGATIVE_HEADLINE)
+    def of(e: Column, spaced: Column, p: Column, n: Column) -> Column:
         turned = spaced.rlike(" (?:" + "|".join(V.NEGATORS_HEADLINE) + ") ") & (n > 0)
         own = e["score"].isNotNull()
         up = F.when(own, e["positive"]).when(turned, n).otherwise(p)
@@ -80,7 +81,8 @@ def headline_emotion(text: Column) -> Column:
             (~own & turned).alias("negation"),
         )
 
-    return F.get(F.transform(F.array(F.struct(engine.alias("e"), spaced.alias("s"))), lambda x: of(x["e"], x["s"])), F.lit(0))
+    counted = lambda e, s: let(F.struct(times(s, V.POSITIVE_HEADLINE).alias("p"), times(s, V.NEGATIVE_HEADLINE).alias("n")), lambda c: of(e, s, c["p"], c["n"]))
+    return let(engine, lambda e: let(spaced, lambda s: counted(e, s)))
 
 
 def headline_sentiment(text: Column, positive: Iterable[str], negative: Iterable[str], negators: Iterable[str]) -> tuple[Column, Column, Column]:
@@ -100,34 +102,44 @@ def lexicon_sentiment(text: Column) -> Column:
     """
     token = r"[^\W_]+(?:'[^\W_]+)?|[.!?;,\n]"
     tokens = F.regexp_extract_all(F.lower(F.regexp_replace(text, "’", "'")), F.lit(f"(?U){token}"), F.lit(0))
-    arr = lambda words: F.array(*[F.lit(w) for w in words])
-    known = arr([*V.POSITIVE_WORDS, *V.NEGATIVE_WORDS, *V.NEGATORS, *V.ENGLISH_WORDS])
-    words = F.filter(tokens, lambda t: t.rlike(r"\p{L}"))
-    fit = (
-        (F.size(words) > 0)
-        & F.forall(words, lambda w: w.rlike(r"^[\x00-\x7F]*$"))
-        & ~F.exists(words, lambda w: F.array_contains(arr(V.FOREIGN_MARKERS), w))
-        & (F.size(F.filter(words, lambda w: F.array_contains(known, w))) >= 0.6 * F.size(words))
-    )
-    cut = arr([".", "!", "?", ";", ",", "\n", "but", "however", "yet"])
-    state = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("h"))
-
-    def step(acc: Column, t: Column) -> Column:
-        history = F.when(F.array_contains(cut, t), F.array().cast("array<string>")).otherwise(acc["h"])
-        last3 = F.slice(history, F.greatest(F.size(history) - 2, F.lit(1)), 3)
-        odd = F.size(F.filter(last3, lambda w: F.array_contains(arr(V.NEGATORS), w))) % 2 == 1
-        good, bad = F.array_contains(arr(V.POSITIVE_WORDS), t), F.array_contains(arr(V.NEGATIVE_WORDS), t)
-        up = F.when((good & ~odd) | (bad & odd), 1).otherwise(0)
-        down = F.when((bad & ~odd) | (good & odd), 1).otherwise(0)
-        # history keeps words and numbers; stops only clear it
-        longer = F.when(t.rlike(r"[\p{L}\p{N}]"), F.concat(F.slice(history, F.greatest(F.size(history) - 1, F.lit(1)), 2), F.array(t))).otherwise(history)
-        return F.struct((acc["p"] + up).alias("p"), (acc["n"] + down).alias("n"), longer.alias("h"))
-
-    total = F.aggregate(tokens, state, step)
-    p, n = total["p"].cast("long"), total["n"].cast("long")
-    status = F.when(F.trim(text) == "", "empty_text").when(~fit, "unsupported_or_uncertain_language").when(p + n == 0, "no_lexical_overlap").otherwise("ok")
-    ok = status == "ok"
-    return F.struct(F.when(ok, p).alias("positive"), F.when(ok, n).alias("negative"), F.size(words).cast("long").alias("words"), F.when(ok, F.round((p - n) / (p + n), 6)).alias("score"), status.alias("status"))
+    known = [*V.POSITIVE_WORDS, *V.NEGATIVE_WORDS, *V.NEGATORS, *V.ENGLISH_WORDS]
+    bit = lambda held, value: F.when(held, value).otherwise(0)
+    cut, good, bad, negator, word = 1, 2, 4, 8, 16
+    zero = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("h"))
+
+    def code(t: Column) -> Column:
+        """What a token is, as bits."""
+        sets = ((cut, [".", "!", "?", ";", ",", "\n", "but", "however", "yet"]), (good, V.POSITIVE_WORDS), (bad, V.NEGATIVE_WORDS), (negator, V.NEGATORS))
+        return sum((bit(t.isin(*words), value) for value, words in sets), bit(t.rlike(r"[\p{L}\p{N}]"), word))
+
+    def step(acc: Column, c: Column) -> Column:
+        """h has a bit for each of the last three words that is a negator."""
+        is_ = lambda value: c.bitwiseAND(F.lit(value)) > 0
+        h = F.when(is_(cut), 0).otherwise(acc["h"])
+        odd = F.bit_count(h) % 2 == 1
+        up, down = (is_(good) & ~odd) | (is_(bad) & odd), (is_(bad) & ~odd) | (is_(good) & odd)
+        # words and numbers move the history on; stops only clear it
+        moved = F.when(is_(word), (h * 2 + bit(is_(negator), 1)).bitwiseAND(F.lit(7))).otherwise(h)
+        return F.struct((acc["p"] + bit(up, 1)).alias("p"), (acc["n"] + bit(down, 1)).alias("n"), moved.alias("h"))
+
+    def of(tokens: Column, words: Column) -> Column:
+        fit = (
+            (F.size(words) > 0)
+            & F.forall(words, lambda w: w.rlike(r"^[\x00-\x7F]*$"))
+            & ~F.exists(words, lambda w: w.isin(*V.FOREIGN_MARKERS))
+            & (F.size(F.filter(words, lambda w: w.isin(*known))) >= 0.6 * F.size(words))
+        )
+        total = F.when(fit, F.aggregate(F.transform(tokens, code), zero, step))
+
+        def shown(total: Column) -> Column:
+            p, n = total["p"].cast("long"), total["n"].cast("long")
+            status = F.when(F.trim(text) == "", "empty_text").when(total.isNull(), "unsupported_or_uncertain_language").when(p + n == 0, "no_lexical_overlap").otherwise("ok")
+            ok = status == "ok"
+            return F.struct(F.when(ok, p).alias("positive"), F.when(ok, n).alias("negative"), F.size(words).cast("long").alias("words"), F.when(ok, F.round((p - n) / (p + n), 6)).alias("score"), status.alias("status"))
+
+        return let(total, shown)
+
+    return let(tokens, lambda t: let(F.filter(t, lambda x: x.rlike(r"\p{L}")), lambda w: of(t, w)))
 
 
 def summary(scored: DataFrame, by: str) -> DataFrame:
