@@ -127,8 +127,45 @@ def zigzag_points(times_: list, prices: list[float], threshold: float) -> list[t
     return legs
 
 
-def zigzag(series: DataFrame, threshold: float) -> DataFrame:
-    """Legs of each series; the state runs along the series, which is one task's sorted group. Bars without a positive close take no part."""
+def swings(prices: list[float], threshold: float) -> list[int]:
+    """Places of prices without which ``zigzag_points`` would find other legs, in any surroundings.
+
+    Repeats of the price before, prices inside a rise or fall, and a turn and turn
+    back that are smaller than the threshold and lie within the prices around them
+    change nothing, however the series goes on.
+    """
+    kept: list[int] = []
+    for i, price in enumerate(prices):
+        if kept and price == prices[kept[-1]]:
+            continue
+        kept.append(i)
+        while len(kept) >= 3:
+            b, c, d = (prices[k] for k in kept[-3:])
+            if (b < c) == (c < d):
+                del kept[-2]
+                continue
+            if len(kept) < 4:
+                break
+            a = prices[kept[-4]]
+            up = a <= c and b < d and b > c and (b - c) / b * 100 < threshold
+            down = a >= c and b > d and b < c and (c - b) / b * 100 < threshold
+            if not (up or down):
+                break
+            del kept[-3:-1]
+    return kept
+
+
+def zigzag(series: DataFrame, threshold: float, block_hours: int = 24 * 30) -> DataFrame:
+    """Legs of each series. Bars without a positive close take no part.
+
+    A series is cut into blocks of time, which are reduced to their ``swings`` apart
+    from each other; the state then runs along those, a series' turns instead of its
+    bars.
+    """
+
+    def reduce(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("open_time", kind="stable")
+        return group.iloc[swings(group["close"].tolist(), threshold)][["instrument_key", "open_time", "close"]]
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("open_time", kind="stable")
@@ -136,7 +173,10 @@ def zigzag(series: DataFrame, threshold: float) -> DataFrame:
         rows = [(key, d, at[s], at[e], price[s], price[e], (price[e] / price[s] - 1) * 100) for s, e, d in zigzag_points(at, price, threshold)]
         return pd.DataFrame(rows, columns=["instrument_key", "direction", "start_time", "end_time", "start_price", "end_price", "magnitude"])
 
-    return series.where("close > 0").select("instrument_key", "open_time", "close").groupBy("instrument_key").applyInPandas(walk, LEG)
+    block = F.floor(times.epoch_seconds(F.col("open_time")) / (3600 * block_hours))
+    bars = series.where("close > 0").select("instrument_key", "open_time", "close", block.alias("block"))
+    turns = bars.groupBy("instrument_key", "block").applyInPandas(reduce, bars.drop("block").schema)
+    return turns.groupBy("instrument_key").applyInPandas(walk, LEG)
 
 
 def regimes(series: DataFrame, points: DataFrame, hours: int, threshold: float) -> DataFrame:
