@@ -98,3 +98,36 @@ def test_held_out_quality_and_toxicity(spark):
     for query, label, least in ((op1_quality_line_crf, "quality", 0.97), (op3_toxicity_boosted_trees, "toxic", 0.95)):
         rows = [r for r in query(spark, sf).where("held_out").collect() if r.doc_id in labels]
         assert sum(r.predicted == labels[r.doc_id][label] for r in rows) / len(rows) >= least
+
+
+def test_packed_ids_and_number_of_sequences(spark):
+    """Every piece's ids by the library, and sequences against their lower bound."""
+    import math
+    import random
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["alpha", "be ta", "γ", "d-e", "1\n", "<|endoftext|>"]) for _ in range(rng.choice([0, 3, 90, 400, 900, 2500])))) for i in range(120)] + [(120, None), (121, "")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in rows}
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append(r)
+    assert by.keys() == ids.keys()
+    for i, own in by.items():
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids[i])
+        assert len(own) == max(1, math.ceil(len(ids[i]) / 2048))
+        at = 0
+        for r in own:
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[i][at : at + r.length].tobytes())
+            at += r.length
+    sizes = [r.length for r in out]
+    bins = len({r.sequence_id for r in out})
+    assert max(math.ceil(sum(sizes) / 2048), sum(n > 1024 for n in sizes)) <= bins <= len(packing.best_fit(sizes, 2048))
