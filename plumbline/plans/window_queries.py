@@ -9,7 +9,8 @@ from plumbline.functions import times
 from plumbline.operators import moves, providers, series, timeline
 from plumbline.plans.registry_queries import HOUR_MOVES
 from plumbline.plans.series_queries import SPAN
-from plumbline.views import bars, money_flows, observations, table, with_views
+from plumbline.sources import observations as imports
+from plumbline.views import bars, entities, money_flows, observations, table, with_views
 
 NOW = "2001-09-01 00:00:00"
 DELTAS, BOUNDED = ("purchase", "signup"), ("index",)
@@ -97,6 +98,40 @@ def capital_changes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("instrument_key", "kind", "scope", "points", r("first"), r("last"), r("absolute_change"), r("percent_change"), r("net"), "note")
 
 
+KINDS_TAKEN = ("decision", "fund_flow", "macro_release", "holding")
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as imported observations of four kinds, some against every rule."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 47 == 0, "rumour").otherwise(F.get(F.array(*[F.lit(x) for x in KINDS_TAKEN]), (k % 4).cast("int")))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    iso = lambda h: F.concat(day, F.lit(f"T{h}:00:00Z"))
+    routed, decision = kind == "fund_flow", kind == "decision"
+    return table(spark, d, "orders").select(
+        F.when(k % 53 != 0, F.concat(F.lit("s"), (k % 5).cast("string"))).alias("source"), k.cast("string").alias("external_id"), kind.alias("kind"), iso("08").alias("observed_at"),
+        F.when(k % 43 == 0, iso("07")).when(k % 41 == 0, day).otherwise(iso("09")).alias("available_at"), F.when(k % 37 == 0, "http://x").otherwise("https://example.com/x").alias("source_url"),
+        F.when(k % 31 == 0, F.repeat(F.lit("x"), 600)).when(routed, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("actor"), F.when(routed & (k % 3 != 0), "s1").alias("counterparty"),
+        F.when(k % 29 == 0, "nobody").when(k % 2 == 0, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).otherwise("").alias("instrument"), F.when(decision & (k % 5 != 0), "hold").when((kind == "holding") & (k % 7 == 0), "hold").alias("action"),
+        F.when(routed & (k % 11 == 0), "because").alias("reason"), F.round("o_totalprice", 2).cast("string").alias("amount"), F.when(k % 23 != 0, "usd").alias("unit"), F.when(k % 19 == 0, "guessed").alias("basis"), F.when(k % 17 == 0, "yesterday").alias("occurred_at"),
+    )
+
+
+def observation_import(spark: SparkSession, d: str) -> DataFrame:
+    out = imports.checked(records(spark, d), entities(spark, d), KINDS_TAKEN)
+    return out.groupBy(F.coalesce("refused", F.lit("stored")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def observation_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot of two thirds of the orders meets a load of three quarters, some changed, older or of another kind."""
+    o = table(spark, d, "orders").select(F.lit("s").alias("source"), F.col("o_orderkey").cast("string").alias("external_id"), "o_orderkey", F.col("o_orderpriority").alias("kind"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("available_at"), F.round("o_totalprice", 2).cast("string").alias("amount"))
+    k = F.col("o_orderkey")
+    new = o.where(k % 4 != 1).withColumns({
+        "kind": F.when(k % 13 == 0, "other").otherwise(F.col("kind")), "amount": F.when(k % 5 == 0, "1").otherwise(F.col("amount")), "available_at": F.when(k % 10 == 0, "1990-01-01").otherwise(F.col("available_at")),
+    })
+    return imports.merged(o.where(k % 3 != 0).drop("o_orderkey"), new.drop("o_orderkey")).groupBy("change").agg(F.count("*").alias("n"), F.count_if(F.col("amount") == "1").alias("ones"))
+
+
 S, E = (f"TIMESTAMP '{x}'" for x in SPAN)
 EXPLAINED = f"""flow AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][line + 1] AS instrument_key, currency, TIMESTAMP '2024-01-01' + to_days((day(occurred_at) - 1)::INTEGER) + to_hours((order_id % 24)::INTEGER) AS t, amount::DOUBLE AS amount FROM flows WHERE line <= 3),
     pool AS (SELECT instrument_key, 'stored_bars' AS channel, '' AS item, open_time AS t, open_time AS known, close AS value FROM bars
@@ -112,6 +147,13 @@ EXPLAINED = f"""flow AS (SELECT ['click', 'error', 'purchase', 'signup', 'view']
     explained AS (SELECT *, coalesce(greatest(epoch_us(least({E}, until)) - epoch_us(greatest({S}, since)), 0) / 3.6e9, 0) AS hours FROM lines)"""
 
 QUERIES = {
+    "observation_import": (observation_import, """WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 47 = 0 THEN 'rumour' ELSE ['decision', 'fund_flow', 'macro_release', 'holding'][o_orderkey % 4 + 1] END AS kind FROM orders)
+        SELECT CASE WHEN k % 53 = 0 THEN 'missing_field' WHEN k % 31 = 0 THEN 'too_long' WHEN kind = 'rumour' THEN 'kind' WHEN k % 29 = 0 THEN 'unknown_instrument' WHEN k % 37 = 0 THEN 'source_url' WHEN k % 17 = 0 THEN 'occurred_at' WHEN k % 43 <> 0 AND k % 41 = 0 THEN 'instant'
+        WHEN k % 43 = 0 THEN 'known_before_observed' WHEN k % 23 = 0 THEN 'unit' WHEN k % 19 = 0 THEN 'basis' WHEN kind = 'decision' AND k % 5 = 0 THEN 'decision_without_action' WHEN kind = 'fund_flow' AND k % 3 = 0 THEN 'half_route' WHEN kind = 'fund_flow' AND k % 11 = 0 THEN 'claims_on_route'
+        WHEN kind = 'holding' AND k % 7 = 0 THEN 'claim_outside_decision' ELSE 'stored' END AS reason, count(*) AS n FROM r GROUP BY 1"""),
+    "observation_merge": (observation_merge, """WITH r AS (SELECT o_orderkey AS k, round(o_totalprice, 2) = 1 AS was_one FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 1)
+        SELECT CASE WHEN k % 4 = 1 THEN 'kept' WHEN k % 3 = 0 THEN 'inserted' WHEN k % 13 = 0 THEN 'quarantined' WHEN k % 5 <> 0 THEN 'unchanged' WHEN k % 10 = 0 THEN 'stale' ELSE 'updated' END AS change, count(*) AS n,
+        count(*) FILTER (WHERE was_one OR (k % 4 <> 1 AND k % 5 = 0 AND (k % 3 = 0 OR (k % 13 <> 0 AND k % 10 <> 0)))) AS ones FROM r GROUP BY 1"""),
     "provider_report": (provider_report, f"WITH {RUNS} SELECT source, query, runs, last_run, fetched_peak, fetched_last, stored_peak, stored_last, identities, truncated_runs, failed_runs, array_to_string(flags, ',') AS flags FROM r"),
     "provider_flag_counts": (provider_flag_counts, f"WITH {RUNS} SELECT flag, count(*) FILTER (WHERE list_contains(flags, flag)) AS series FROM r, (SELECT unnest({list(providers.FLAGS)}) AS flag) GROUP BY 1"),
     "timeline_explained": (timeline_explained, with_views(*HOUR_MOVES, "observations", "flows", EXPLAINED, body="""SELECT instrument_key, channel, item, CASE WHEN records > 0 THEN 'present' WHEN before > 0 THEN 'before_only' WHEN late > 0 THEN 'late_only' WHEN ever > 0 THEN 'outside_window' ELSE 'never_recorded' END AS status,
