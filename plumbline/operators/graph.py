@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import staged
+
 
 def tree(edges: DataFrame, roots: DataFrame, depth: int, down: bool = True) -> DataFrame:
     """(root, node, depth): nodes reached from the roots, each at its least depth, no deeper than ``depth``.
 
     Every level is one join of the frontier with the edges and an anti-join with
-    what was reached before; cycles end there.
+    what was reached before; cycles end there, and so does the walk where nothing
+    new is found. Levels are staged, so plans do not nest.
     """
     if not 1 <= depth <= 20:
         raise ValueError("depth must be from 1 to 20")
     step = edges.select(F.col("dst" if down else "src").alias("node"), F.col("src" if down else "dst").alias("next"))
-    reached = roots.select(F.col("key").alias("root"), F.col("key").alias("node"), F.lit(0).alias("depth"))
-    frontier = reached
+    reached = frontier = staged(roots.select(F.col("key").alias("root"), F.col("key").alias("node"), F.lit(0).alias("depth")), "roots")
     for level in range(1, depth + 1):
         found = frontier.join(step, "node").select("root", F.col("next").alias("node")).distinct()
-        frontier = found.join(reached.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("depth"))
+        frontier = staged(found.join(reached.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("depth")), "level")
+        if frontier.isEmpty():
+            break
         reached = reached.union(frontier)
     return reached
 

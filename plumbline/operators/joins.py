@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from plumbline.functions import times
 
 
+#: Buckets that one interval may meet; wider ones want a larger bucket.
+BUCKETS = 100_000
+
+
 def within(left: DataFrame, right: DataFrame, start: str, end: str, instant: str, bucket_seconds: int, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
     """Rows of ``right`` whose ``instant`` lies in [start, end] of a row of ``left``.
 
     Left rows are listed under each time bucket their interval meets, right rows
     under their own; the join is on keys and bucket, the bounds are a residual.
     Columns of both sides must differ but for ``keys``. ``how`` is inner or
-    left_semi (rows of ``right`` that lie in some interval).
+    left_semi (rows of ``right`` that lie in some interval). An interval of more than
+    ``BUCKETS`` buckets is an error: its bucket is too small.
     """
     bucket = lambda ts: F.floor(times.epoch_seconds(ts) / bucket_seconds)
-    lhs = left.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+    first, last = bucket(F.col(start)), bucket(F.col(end))
+    refused = F.raise_error(F.lit(f"an interval meets more than {BUCKETS} buckets")).cast("array<bigint>")
+    lhs = left.withColumn("_bucket", F.explode(F.when(last - first < BUCKETS, F.sequence(first, last)).when(first.isNotNull() & last.isNotNull(), refused)))
     rhs = right.withColumn("_bucket", bucket(F.col(instant)))
     inside = F.col(instant).between(F.col(start), F.col(end))
     if how == "left_semi":

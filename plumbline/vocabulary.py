@@ -1,74 +1,11 @@
 """Closed vocabularies.
 
-Fixed values that results depend on: kinds and families, categories of headlines
-and their terms, sentiment words, weights by kind, metric aliases and ratios.
+Fixed values that results depend on: families of categories, categories of
+headlines and their terms, sentiment words, metric aliases and ratios.
 """
 
 from __future__ import annotations
 
-OBSERVATION_FAMILY = {
-    "fund_flow": "money_movement",
-    "exchange_transfer": "money_movement",
-    "onchain_transfer": "money_movement",
-    "etf_flow": "money_movement",
-    "stablecoin_mint_burn": "money_movement",
-    "liquidation": "money_movement",
-    "liquidation_level": "market_structure",
-    "open_interest": "market_structure",
-    "funding_rate": "market_structure",
-    "order_book_imbalance": "market_structure",
-    "long_short_account_ratio": "market_structure",
-    "top_long_short_position_ratio": "market_structure",
-    "margin_debt": "money_movement",
-    "short_interest": "money_movement",
-    "options_positioning": "market_structure",
-    "cot_positioning": "market_structure",
-    "cot_open_interest": "market_structure",
-    "order_flow": "market_structure",
-    "trade_print": "market_structure",
-    "block_trade": "money_movement",
-    "trade_flow": "money_movement",
-    "energy_flow": "money_movement",
-    "social_sentiment": "sentiment_emotion",
-    "news_event": "sentiment_emotion",
-    "market_context": "sentiment_emotion",
-    "capitulation_indicator": "sentiment_emotion",
-    "political_event": "policy_decision",
-    "geopolitical_event": "policy_decision",
-    "regulatory_action": "policy_decision",
-    "macro_release": "macro_environment",
-    "labor_metric": "macro_environment",
-    "calendar_event": "macro_environment",
-    "filing_event": "corporate_fundamental",
-    "insider_trade": "corporate_fundamental",
-    "holding": "corporate_fundamental",
-    "investment_adviser": "corporate_fundamental",
-    "market_shock": "security_incident",
-    "decision": "policy_decision",
-    "stablecoin_supply": "money_movement",
-    "market_activity": "money_movement",
-}
-DIRECTION_WEIGHTS = {
-    "order_flow": 3,
-    "trade_print": 3,
-    "block_trade": 3,
-    "order_book_imbalance": 3,
-    "liquidation": 3,
-    "fund_flow": 2,
-    "exchange_transfer": 2,
-    "onchain_transfer": 2,
-    "etf_flow": 2,
-    "stablecoin_mint_burn": 2,
-    "insider_trade": 2,
-    "social_sentiment": 1,
-    "market_context": 1,
-    "capitulation_indicator": 1,
-    "political_event": 2,
-    "geopolitical_event": 2,
-    "regulatory_action": 1,
-    "market_shock": 2,
-}
-OBSERVATION_INDICATOR_WEIGHTS = {"fund_flow": 2, "insider_trade": 2, "macro_release": 1, "holding": 1, "filing_event": 1}
 CATEGORY_FAMILY = {
     "macro_rates": "macro_environment",
     "regulation_legal": "policy_decision",
