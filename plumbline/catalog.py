@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import filter_queries, fundamental_queries, indicator_queries, pattern_queries, profile_queries, registry_queries, report_queries, series_queries, source_queries, window_queries
+from plumbline.plans import filter_queries, fundamental_queries, history_queries, indicator_queries, pattern_queries, profile_queries, registry_queries, report_queries, series_queries, source_queries, window_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL: dict[str, tuple[Query, str | None]] = {**series_queries.QUERIES, **registry_queries.QUERIES, **source_queries.QUERIES, **report_queries.QUERIES, **indicator_queries.QUERIES, **profile_queries.QUERIES, **pattern_queries.QUERIES, **window_queries.QUERIES, **fundamental_queries.QUERIES, **filter_queries.QUERIES}
+ALL: dict[str, tuple[Query, str | None]] = {**series_queries.QUERIES, **registry_queries.QUERIES, **source_queries.QUERIES, **report_queries.QUERIES, **indicator_queries.QUERIES, **profile_queries.QUERIES, **pattern_queries.QUERIES, **window_queries.QUERIES, **fundamental_queries.QUERIES, **filter_queries.QUERIES, **history_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:
