@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import gather, let, pack, stored_by, unpack
+from plumbline.llm.common import gather, give_back, let, pack, stored_by, unpack
 
 BUCKETS = 32_768
 #: Words of more bytes are folded in blocks.
@@ -281,8 +281,11 @@ def chunked(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, chars
                 yield from flush()
                 ids, codes, held, number = [], [], 0, number + 1
                 listed, after_space, whole_pieces = fresh()
+                give_back()
     if ids:
         yield from flush()
+    del ids, codes, listed, after_space, whole_pieces
+    give_back()
 
 
 def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +300,8 @@ def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             held.append((chunk, *unpack(packed.as_buffer())))
     if held:
         yield from told_apart(held)
+    del held
+    give_back()
 
 
 def told_apart(held: list[tuple], rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:

@@ -82,6 +82,16 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def give_back() -> None:
+    """Return freed memory of a worker to the system; workers live on and would hold their largest task's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned integers by planes of bytes, compressed."""
     body = [len(arrays).to_bytes(4, "little")]
