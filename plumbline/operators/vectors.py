@@ -16,14 +16,20 @@ def sparse_cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles at twelve places, the same in any order; a plain one if a value is not finite or is 1e20 or more."""
+    whole = value.try_cast("decimal(32,12)")
+    return F.when(F.count(value) == F.count(whole), F.sum(whole).cast("double")).otherwise(F.sum(value))
+
+
 def feature_vectors(found: DataFrame) -> DataFrame:
     """One row a boundary of ``pit.evidence``: vector (a sparse map) and hash.
 
     Features are the records, the sum of directions, and for each kind its records
     and total amount. The hash is of the sorted features in millionths, so equal
-    vectors have equal hashes.
+    vectors have equal hashes; amounts are summed exactly, so their order does not show.
     """
-    by_kind = found.groupBy("as_of", "kind").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.sum(F.signum("amount")).alias("signs"))
+    by_kind = found.groupBy("as_of", "kind").agg(F.count("*").alias("n"), exact_sum(F.col("amount")).alias("total"), F.sum(F.signum("amount")).alias("signs"))
     entry = lambda name, value: F.struct(name.alias("key"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"))
     own = F.array(entry(F.concat(F.lit("kind_"), "kind"), F.col("n")), entry(F.concat(F.lit("measured_"), "kind", F.lit("_total")), F.col("total")))
     whole = F.array(entry(F.lit("event_records"), F.sum("n")), entry(F.lit("direction_score"), F.sum("signs")))
