@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import times
+from plumbline.session import staged
 
 
 #: Buckets that one interval may meet; wider ones want a larger bucket.
@@ -39,6 +40,30 @@ def within(left: DataFrame, right: DataFrame, start: str, end: str, instant: str
     return lhs.join(rhs, [*keys, "_bucket"]).where(inside).drop("_bucket")
 
 
+#: Rows of one key that meet one copy of its known row, about.
+SHARE = 100_000
+
+
+def marked(rows: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds ``name``: true for rows whose ``key`` is a ``key`` of ``known``, else null; both are columns of that name.
+
+    Blank and null keys are not looked up. A key of more than ``SHARE`` rows is dealt to as
+    many shares as it fills, with a copy of its known row for each, so no task
+    gets all rows of a frequent key. What is known only lists keys that rows ask for.
+    """
+    asked = F.when(F.trim(key) != "", F.col(key))
+    many = rows.select(asked.alias("_key")).where("_key IS NOT NULL").groupBy("_key").agg(F.floor(F.count("*") / SHARE).cast("int").alias("_more"))
+    held = staged(many.join(known.select(F.col(key).alias("_key")).distinct(), "_key"), "known")
+    # a frequent key fills a share, so there are rows / SHARE of them at most
+    often = F.broadcast(held.where("_more > 0").withColumnRenamed("_more", "_most"))
+    dealt = held.select("_key", F.explode(F.sequence(F.lit(0), F.col("_more"))).alias("_share"), F.lit(True).alias(name))
+    spread = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_most") + 1).cast("int"), F.lit(0))
+    keyed = rows.withColumn("_key", asked).join(often, "_key", "left").withColumn("_share", spread).drop("_most")
+    # rows without a key are spread over all tasks; they match nothing
+    alone = F.coalesce("_key", F.concat(F.lit(" "), F.pmod(F.xxhash64(*rows.columns), F.lit(100_003)).cast("string")))
+    return keyed.withColumn("_key", alone).join(dealt, ["_key", "_share"], "left").drop("_key", "_share")
+
+
 def as_of(left: DataFrame, right: DataFrame, at: str, instant: str, value: str, keys: Sequence[str]) -> DataFrame:
     """Adds to each left row the ``value`` and ``instant`` of the latest right row with instant <= at; one sort, no pairs."""
     blank = right.select(*keys, F.col(instant).alias("_t"), F.struct(F.col(instant).alias("t"), F.col(value).alias("v")).alias("_hit"), F.lit(0).alias("_side"))

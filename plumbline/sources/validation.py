@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import public_url
+from plumbline.operators.joins import marked
 
 #: Minutes of the price grid, decimal exponents of a price, points of a document.
 GRID_MINUTES, EXPONENT, POINTS = 5, 12, (2, 10_000)
@@ -61,8 +62,9 @@ def price_documents(raw: DataFrame, key: str) -> DataFrame:
 def flow_records(records: DataFrame, entities: DataFrame) -> DataFrame:
     """Records (src, dst, type, amount, currency, source_url, texts) with the reason that refuses them; ends must be known entities."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    known = lambda name: entities.select(F.col("key").alias(name), F.lit(True).alias(f"known_{name}")).distinct()
-    both = records.join(known("src"), "src", "left").join(known("dst"), "dst", "left")
+    both = records
+    for name in ("src", "dst"):
+        both = marked(both, entities.select(F.col("key").alias(name)), name, f"known_{name}")
     amount = F.col("amount").try_cast("decimal(38,18)")
     missing = [blank(c) for c in ("src", "dst", "type", "amount", "currency", "source_url")]
     any_missing = missing[0]
