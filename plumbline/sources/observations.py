@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import public_url
+from plumbline.operators.joins import marked
 from plumbline.sources.validation import ROUTED_KINDS, first_of
 
 REQUIRED = ("source", "external_id", "kind", "observed_at", "available_at", "source_url")
@@ -38,7 +39,6 @@ def checked(records: DataFrame, instruments: DataFrame, kinds: Sequence[str]) ->
     basis, and routed kinds have both ends.
     """
     own = records.select(*[F.col(c).cast("string").alias(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in FIELDS])
-    known = instruments.select(F.col("key").alias("instrument"), F.lit(True).alias("known")).distinct()
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     some = lambda test, names: F.exists(F.array(*[test(n) for n in names]), lambda x: F.coalesce(x, F.lit(False)))
     basis = F.coalesce("reason_basis", F.lit("unknown"))
@@ -61,7 +61,7 @@ def checked(records: DataFrame, instruments: DataFrame, kinds: Sequence[str]) ->
         ("claims_on_route", routed & claims),
         ("claim_outside_decision", ~decision & claims),
     )
-    return own.join(known, "instrument", "left").withColumn("reason_refused", reason).select(*FIELDS, F.col("reason_refused").alias("refused"))
+    return marked(own, instruments.select(F.col("key").alias("instrument")), "instrument", "known").withColumn("reason_refused", reason).select(*FIELDS, F.col("reason_refused").alias("refused"))
 
 
 def digest(columns: Sequence[str]) -> Column:
