@@ -6,7 +6,10 @@ holds each set packed. In any one order of shingles, two sets of that similarity
 share one of the first n - ceil(0.8 n) + 1 of each; shingles that are frequent in a
 sample come last in the order, which only spares work.
 
-First each node is compared with the largest of its shared shingle and band of
+First come the pairs that SimHash links: fingerprints of five-word shingles that
+differ by 2 bits or fewer, met by their segments' bit counts as in ``simhash``; whole
+sets decide. No radius of fingerprints holds every pair of that similarity, so a second
+search follows. Each node is compared with the largest of its shared shingle and band of
 sizes, which joins large groups of near copies in rows in proportion to their
 size. A head's set is dealt to shares of its members, so no group meets in one
 task. Then all pairs that share a shingle and are not joined yet are compared. A
@@ -31,12 +34,13 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import gather, pack, stored, stored_by, unpack
 from plumbline.llm.components import components
-from plumbline.llm.simhash import LOWER, SEED
+from plumbline.llm.simhash import LOWER, SEED, fingerprint
+from plumbline.llm.simhash import links as linked
 
 SHINGLE = 5
 SAMPLE, FREQUENT = 16, 1 << 16
@@ -100,16 +104,19 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def named(rows: DataFrame, whole: bool) -> DataFrame:
-    """(row, node) of each row, and if ``whole`` the size of its set, the packed set and its bitmap."""
+    """(row, node) of each row, and if ``whole`` the size of its set, the packed set, its bitmap and the text's SimHash."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 found = [shingle_set(t) for t in batch["text"].iloc[a : a + 1024]]
                 out = pd.DataFrame({"row": batch["row"].iloc[a : a + 1024].to_numpy(), "node": np.array([node_of(s) for s in found], dtype="<u8").view("<i8")})
-                yield out.assign(n=[len(s) for s in found], packed=[packed(s) for s in found], bits=[bits_of(s) for s in found]) if whole else out
+                if whole:
+                    marks = [fingerprint(t, SHINGLE) for t in batch["text"].iloc[a : a + 1024]]
+                    out = out.assign(n=[len(s) for s in found], packed=[packed(s) for s in found], bits=[bits_of(s) for s in found], fp=marks)
+                yield out
 
-    return rows.select("row", "text").mapInPandas(each, "row long, node long" + ", n int, packed binary, bits array<long>" * whole)
+    return rows.select("row", "text").mapInPandas(each, "row long, node long" + ", n int, packed binary, bits array<long>, fp long" * whole)
 
 
 def listed(nodes: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -153,15 +160,26 @@ def similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_sets(with_sets(pairs, "b", "y", nodes), "a", "x", nodes).select("a", "b", "x", "y").mapInPandas(each, "a long, b long")
 
 
+def overlapping(x: Column, y: Column) -> Column:
+    """Whether two (n, bits) may share what a similarity of 0.8 needs: bits that only one has are elements that only it has."""
+    alone = lambda a, b: sum(F.bit_count(F.get(a["bits"], F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b["bits"], F.lit(k))))) for k in range(WORDS))
+    return 9 * F.least(x["n"] - alone(x, y), y["n"] - alone(y, x)) >= 4 * (x["n"] + y["n"])
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps leave, before any set is fetched."""
+    side = lambda key, name: nodes.select(F.col("node").alias(key), F.struct("n", "bits").alias(name))
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return met.where(overlapping(F.col("x"), F.col("y"))).select("a", "b")
+
+
 def open_pairs(left: DataFrame) -> DataFrame:
     """(a, b) of those rows (s, i, n, node, root, bits) that share s, have different roots and may be similar by their sizes, places and bitmaps."""
     x, y = F.col("x"), F.col("y")
     # the first shingle that both share leaves room for the overlap that 0.8 needs
     room = F.least(x["n"] - x["i"], y["n"] - y["i"])
     close = (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & (9 * room >= 4 * (x["n"] + y["n"]))
-    alone = lambda a, b: sum(F.bit_count(F.get(a["bits"], F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b["bits"], F.lit(k))))) for k in range(WORDS))
-    shared = F.least(x["n"] - alone(x, y), y["n"] - alone(y, x))
-    apart = (x["root"] != y["root"]) & close & (9 * shared >= 4 * (x["n"] + y["n"]))
+    apart = (x["root"] != y["root"]) & close & overlapping(x, y)
     row = F.struct("i", "n", "node", "root", "bits")
     often = left.groupBy("s").agg(F.count("*").alias("many")).where(F.col("many") > FEW).select("s")
     few = left.join(often, "s", "left_anti").select("s", row.alias("x"))
@@ -176,21 +194,35 @@ def open_pairs(left: DataFrame) -> DataFrame:
     return plain.select(*ends).union(listed.select(*ends)).distinct()
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes whose SimHashes differ by 2 bits or fewer, each fingerprint's nodes and its neighbours by their least node."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = nodes.select("fp", "node").join(heads, "fp").where("node <> head").select("node", "head")
+    side = lambda fp, node: heads.select(F.col("fp").alias(fp), F.col("head").alias(node))
+    near = linked(heads.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"}).join(side("fa", "node"), "fa").join(side("fb", "head"), "fb").select("node", "head")
+    return same.union(near).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
 def groups(rows: DataFrame) -> DataFrame:
     """(row, root) of every row; rows of one root are near copies, directly or through others."""
     frequent = frequent_shingles(rows)
-    nodes = stored_by(named(rows, whole=True).groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed"), F.first("bits").alias("bits")), "nodes", "node")
+    nodes = stored_by(named(rows, whole=True).groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed"), F.first("bits").alias("bits"), F.min("fp").alias("fp")), "nodes", "node")
     # both columns are read on either side of the join, so that one exchange serves the count and the join
     keys = listed(nodes, frequent).repartition("s")
     who = F.struct("node", "at")
     shared = keys.groupBy("s").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo.node <> hi.node").select("s")
     met = keys.join(shared.hint("shuffle_hash"), "s")
     met = stored(met.select("s", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i")), "met")
+    first = stored(similar(stored(possible(by_fingerprint(nodes), nodes), "simhash"), nodes), "near")
+    joined = components(first)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).alias("band")
     heads = met.groupBy("s", band).agg(F.max(F.struct("n", "node")).alias("head"))
     star = met.select("s", band, "node").join(heads.hint("shuffle_hash"), ["s", "band"]).where("node <> head.node")
     star = stored(star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "star")
-    links = stored(similar(star, nodes), "near")
+    for key in ("a", "b"):
+        star = star.join(joined.select(F.col("node").alias(key), F.col("root").alias(f"root_{key}")), key, "left")
+    star = stored(possible(star.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), nodes), "star")
+    links = stored(first.union(similar(star, nodes)), "near")
     roots = components(links)
     rooted = met.join(roots, "node", "left").select("s", "i", "n", "node", F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")

@@ -104,3 +104,14 @@ def test_sets_of_hot_nodes_are_dealt_out(spark):
     found = near_copies.with_sets(pairs, "a", "x", nodes).collect()
     assert len(found) == 1199 and all(near_copies.set_of(r.x).tolist() == list(range(20)) for r in found)
     assert near_copies.similar(pairs, nodes).count() == 1199
+
+
+def test_stage_links_by_simhash_first(spark, monkeypatch):
+    asked = []
+    links = near_copies.linked
+    monkeypatch.setattr(near_copies, "linked", lambda distinct: asked.append(distinct.count()) or links(distinct))
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[::-1]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
+    assert asked and 2 <= asked[0] <= 3
