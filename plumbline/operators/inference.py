@@ -130,11 +130,11 @@ def permutation_means(values: DataFrame, rounds: int = 2000, seed: int = 2026092
     """Per category (columns role, value): two-sided permutation test of the difference of means.
 
     Rows are counted by role and value, and a category's distinct values are dealt
-    by hash to shards of about ``VALUES``, ``shards`` at most. In each round the
-    number of moves of every shard is drawn from the shards' sizes, alike in all of
-    the category's tasks, and inside a shard the moves are drawn from its counts:
-    together a permutation of all rows. A task returns a sum for each round, so
-    neither values nor rows of a category meet. p counts rounds whose difference
+    by hash to shards of about ``VALUES``, ``shards`` at most. The number of moves of
+    every shard in each round is drawn once from the shards' sizes, and a shard
+    gets its own numbers; inside it the moves are drawn from its counts: together a
+    permutation of all rows. A task returns a sum for each round, so neither values
+    nor rows of a category meet. p counts rounds whose difference
     is as large as the observed one, within 1e-9, and the observed one itself.
     Null and non-finite values are left out; fewer than two rows of either role
     give a null difference and p.
@@ -147,24 +147,30 @@ def permutation_means(values: DataFrame, rounds: int = 2000, seed: int = 2026092
     size = size.select("category", "shards", "n", "m", (F.col("moves") + F.col("controls")).alias("total"), difference.alias("difference"))
     dealt = counted.join(size.select(F.col("category").alias("_c"), "shards", "n", "difference").where("difference IS NOT NULL"), F.col("category").eqNullSafe(F.col("_c")))
     dealt = dealt.select("category", F.pmod(F.xxhash64("value"), F.col("shards")).cast("int").alias("shard"), "n", "value", (F.col("a") + F.col("b")).alias("many"))
-    # one row a category: the sizes of its shards, ``shards`` numbers at most
-    sizes = dealt.groupBy("category", "shard").agg(F.sum("many").alias("s")).groupBy(F.col("category").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("shard", "s"))).alias("sizes"))
+    kind = values.schema["category"].dataType.simpleString()
+
+    def seeds(category: object) -> list[int]:
+        return [seed, zlib.crc32(str(category).encode())]
+
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard")
+        category, take, of = group["category"].iloc[0], int(group["n"].iloc[0]), group["s"].to_numpy(dtype=np.int64)
+        alike = np.random.default_rng(seeds(category))
+        takes = np.stack([drawn(of, take, alike) for _ in range(rounds)], axis=1)
+        return pd.DataFrame({"category": category, "shard": group["shard"].to_numpy(), "takes": list(takes)})
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
+    # a category's group: one row a shard, ``shards`` at most
+    takes = dealt.groupBy("category", "shard").agg(F.first("n").alias("n"), F.sum("many").alias("s")).groupBy("category").applyInPandas(share, f"category {kind}, shard int, takes array<long>")
+
+    def each(group: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("value")
-        category, shard = group["category"].iloc[0], int(group["shard"].iloc[0])
-        held = group["sizes"].iloc[0]
-        own = [r["shard"] for r in held].index(shard)
-        of = np.array([r["s"] for r in held], dtype=np.int64)
-        value, count, take = group["value"].to_numpy(), group["many"].to_numpy(dtype=np.int64), int(group["n"].iloc[0])
-        key = [seed, zlib.crc32(str(category).encode())]
-        alike, inside = np.random.default_rng(key), np.random.default_rng([*key, shard + 1])
-        sums = [float(drawn(count, int(drawn(of, take, alike)[own]), inside) @ value) for _ in range(rounds)]
+        category, shard = taken["category"].iloc[0], int(taken["shard"].iloc[0])
+        value, count = group["value"].to_numpy(), group["many"].to_numpy(dtype=np.int64)
+        inside = np.random.default_rng([*seeds(category), shard + 1])
+        sums = [float(drawn(count, int(take), inside) @ value) for take in taken["takes"].iloc[0]]
         return pd.DataFrame({"category": category, "round": np.arange(rounds, dtype=np.int32), "part": sums})
 
-    kind = values.schema["category"].dataType.simpleString()
-    with_sizes = dealt.join(sizes, F.col("category").eqNullSafe(F.col("_c"))).drop("_c")
-    parts = with_sizes.groupBy("category", "shard").applyInPandas(each, f"category {kind}, round int, part double")
+    parts = dealt.drop("n").groupBy("category", "shard").cogroup(takes.groupBy("category", "shard")).applyInPandas(each, f"category {kind}, round int, part double")
     moves = parts.groupBy(F.col("category").alias("_c"), "round").agg(F.sum("part").alias("s"))
     met = moves.join(size, F.col("category").eqNullSafe(F.col("_c")))
     gap = F.abs(F.col("s") / F.col("n") - (F.col("total") - F.col("s")) / F.col("m"))
