@@ -64,23 +64,30 @@ def envelope_reason(period: Column, value: Column, currency: Column, unit: Colum
 
 
 def grouped(metrics: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """One row a group (entity, period, source): ``positions``, one for each k of the vocabulary with value, reason and scope."""
-    whole = F.struct("value", *META, "observation")
-    own = metrics.where(F.col("k").isin(*vocabulary)).groupBy("entity", "period", "source", "k").agg(F.countDistinct(F.to_json(whole)).alias("variants"), F.min_by(whole, F.to_json(whole)).alias("e"))
-    reason = F.when(F.col("variants") > 1, "conflicting").otherwise(envelope_reason(F.col("period"), F.col("e.value"), F.col("e.currency"), F.col("e.unit"), F.col("e.scale"), F.col("e.observation"), vocabulary))
-    reason = F.coalesce(reason, F.when((F.trim(F.coalesce("period", F.lit(""))) == "") | (F.trim(F.coalesce("source", F.lit(""))) == ""), "blank_period_or_source"))
-    o = F.col("e.observation")
-    held = F.struct(F.col("k"), reason.alias("reason"), F.col("e.value").alias("value"), *[F.col(f"e.{m}").alias(m) for m in META], o["end"].alias("end"), o["accession"].alias("accession"), o["form"].alias("form"), o["start"].alias("start"), o["period_type"].alias("period_type"))
-    # as many as the vocabulary has at most
-    rows = own.withColumn("p", held).groupBy("entity", "period", "source").agg(F.collect_list("p").alias("have"))
-
-    def position(k: str, label: str) -> Column:
-        p = F.get(F.filter("have", lambda x: x["k"] == k), F.lit(0))
-        why = F.when(p.isNull(), "missing").otherwise(p["reason"])
+    """One row a group (entity, period, source): ``positions``, one for each k of the vocabulary with value, reason and scope.
+
+    An envelope is judged before it is shuffled: what moves is its reason, value and
+    scope, and a digest that tells variants apart. Of variants that conflict, that of
+    the least digest lends its scope.
+    """
+    o = F.col("observation")
+    why = envelope_reason(F.col("period"), F.col("value"), F.col("currency"), F.col("unit"), F.col("scale"), o, vocabulary)
+    why = F.coalesce(why, F.when((F.trim(F.coalesce("period", F.lit(""))) == "") | (F.trim(F.coalesce("source", F.lit(""))) == ""), "blank_period_or_source"))
+    scope = [F.col(m) for m in META] + [o[c].alias(c) for c in ("end", "accession", "form", "start", "period_type")]
+    digest = F.unhex(F.sha2(F.to_json(F.struct("value", *META, "observation")), 256))
+    held = F.struct(digest.alias("digest"), why.alias("reason"), F.col("value"), *scope)
+    own = metrics.where(F.col("k").isin(*vocabulary)).select("entity", "period", "source", "k", held.alias("p")).repartition("entity", "period", "source")
+    names = sorted(vocabulary)
+    of = lambda k, c: F.when(F.col("k") == k, F.col(c))
+    rows = own.groupBy("entity", "period", "source").agg(*[F.min(of(k, "p")).alias(f"least{i}") for i, k in enumerate(names)], *[F.max(of(k, "p.digest")).alias(f"most{i}") for i, k in enumerate(names)])
+
+    def position(i: int, k: str) -> Column:
+        p = F.col(f"least{i}")
+        why = F.when(p.isNull(), "missing").when(p["digest"] != F.col(f"most{i}"), "conflicting").otherwise(p["reason"])
         kept = [p[c].alias(c) for c in (*META, "end", "accession", "form", "start", "period_type")]
-        return F.struct(F.lit(k).alias("metric"), F.lit(label).alias("label"), F.when(why.isNull(), p["value"]).alias("value"), why.alias("reason"), *kept)
+        return F.struct(F.lit(k).alias("metric"), F.lit(vocabulary[k][0]).alias("label"), F.when(why.isNull(), p["value"]).alias("value"), why.alias("reason"), *kept)
 
-    return rows.select("entity", "period", "source", F.array(*[position(k, vocabulary[k][0]) for k in sorted(vocabulary)]).alias("positions"))
+    return rows.select("entity", "period", "source", F.array(*[position(i, k) for i, k in enumerate(names)]).alias("positions"))
 
 
 def positions(groups: DataFrame) -> DataFrame:
