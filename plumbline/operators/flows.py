@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import times
 from plumbline.operators.joins import within
+from plumbline.session import staged
 
 
 def sided(flows: DataFrame) -> DataFrame:
@@ -55,10 +56,11 @@ def attribution_totals(events: DataFrame, flows: DataFrame) -> DataFrame:
     of flows are read at an event's instant and at each step of the ladder, and
     the differences are the flows between. Sums run inside hours; hours of the day
     before, and days before, are added from a table with a row for each hour that
-    has a flow or a question. Only the days are one window: one row a day.
+    has a flow or a question. Only the days are one window: one row a day. Flows are
+    read once, into a stored table with a row for each instant.
     """
     hour = F.floor(times.epoch_seconds(F.col("t")) / 3600)
-    money = flows.groupBy(F.col("occurred_at").alias("t")).agg(F.count("*").alias("n"), F.sum("amount").alias("sum"))
+    money = staged(flows.groupBy(F.col("occurred_at").alias("t")).agg(F.count("*").alias("n"), F.sum("amount").alias("sum")), "money")
     money = money.select(F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), "t", F.lit(1).alias("side"), F.lit(None).cast("int").alias("step"), "n", "sum")
     steps = [(0, 0, F.col("at")), *[(i + 1, 2, F.col("at") + times.hours(h)) for i, (h, _) in enumerate(LADDER)]]
     asked = events.select("event_id", F.explode(F.array(*[F.struct(t.alias("t"), F.lit(side).alias("side"), F.lit(i).alias("step")) for i, side, t in steps])).alias("s")).select("event_id", "s.*")
