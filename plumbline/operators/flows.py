@@ -27,8 +27,19 @@ def summary(flows: DataFrame, entities: DataFrame | None = None) -> DataFrame:
 
 
 def top_counterparties(flows: DataFrame, k: int) -> DataFrame:
-    """The k partners of largest total by entity and currency; ties by partner, descending."""
-    totals = sided(flows).groupBy("entity", "currency", "partner").agg(F.sum("amount").cast("decimal(28,2)").alias("total"))
+    """The k partners of largest total by entity and currency; ties by partner, descending.
+
+    Flows are added up by pair, whichever way they go, before either end gets its row.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    turned = F.coalesce(src > dst, dst.isNull() & src.isNotNull())
+    ends = flows.select(F.when(turned, dst).otherwise(src).alias("a"), F.when(turned, src).otherwise(dst).alias("b"), "currency", "amount")
+    pairs = ends.groupBy("a", "b", "currency").agg(F.sum("amount").alias("total"))
+    end = lambda own, other: F.struct(F.col(own).alias("entity"), F.col(other).alias("partner"))
+    # a flow to itself counts for either side, in one row
+    itself = F.col("a").eqNullSafe(F.col("b"))
+    rows = pairs.select(F.explode(F.when(itself, F.array(end("a", "b"))).otherwise(F.array(end("a", "b"), end("b", "a")))).alias("s"), "currency", (F.col("total") * F.when(itself, 2).otherwise(1)).cast("decimal(28,2)").alias("total"))
+    totals = rows.select("s.entity", "currency", "s.partner", "total")
     best = Window.partitionBy("entity", "currency").orderBy(F.desc("total"), F.desc("partner"))
     return totals.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
