@@ -123,9 +123,10 @@ def fund_holdings(raw: DataFrame) -> DataFrame:
     security = "struct<name:string,title:string,cusip:string,balance:string,units:string,curCd:string,valUSD:string>"
     shape = f"submissionType string, formData struct<genInfo:struct<regName:string,repPdDate:string>,invstOrSecs:struct<invstOrSec:array<{security}>>>"
     x = raw.where(~has_doctype(F.col("payload"))).select(*[c for c in raw.columns if c != "payload"], F.from_xml("payload", shape).alias("x"))
-    x = x.where(F.col("x.submissionType").isin("NPORT-P", "NPORT-P/A"))
+    # as a condition on the exploded rows: a filter on parsed columns would be pushed below the parser, which then runs again
+    held = F.when(F.col("x.submissionType").isin("NPORT-P", "NPORT-P/A"), F.col("x.formData.invstOrSecs.invstOrSec"))
     own = [c for c in raw.columns if c != "payload"]
-    rows = x.select(*own, F.col("x.formData.genInfo.regName").alias("fund"), F.to_date("x.formData.genInfo.repPdDate").alias("period"), F.posexplode("x.formData.invstOrSecs.invstOrSec").alias("place", "s"))
+    rows = x.select(*own, F.col("x.formData.genInfo.regName").alias("fund"), F.to_date("x.formData.genInfo.repPdDate").alias("period"), F.posexplode_outer(held).alias("place", "s")).where("place IS NOT NULL")
     kept = rows.where((F.coalesce("s.name", F.lit("")) != "") | number(F.col("s.valUSD")).isNotNull())
     value = number(F.col("s.valUSD"))
     return kept.select(*own, "fund", "period", (F.col("place") + 1).alias("place"), F.col("s.name").alias("name"), F.col("s.cusip").alias("cusip"), number(F.col("s.balance")).alias("balance"), value.alias("value"), F.when(value.isNotNull(), F.coalesce("s.curCd", F.lit("USD"))).alias("currency"))
