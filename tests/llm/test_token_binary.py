@@ -86,3 +86,34 @@ def test_pieces_apart_give_the_ids_of_whole_texts():
     encoder = tokens.PieceEncoder(PATH, keep=500)
     for i in range(0, len(texts), 200):
         assert encoder.encode(texts[i : i + 200]) == encoder.plain(texts[i : i + 200])
+
+
+def test_pieces_that_are_known_are_not_asked_for_again():
+    encoder = tokens.PieceEncoder(PATH)
+    texts = ["Words met before, and stops (some). été! 12 x\ny  z", "met Words\nété before"]
+    again = ["met stops (some). before\nWords,", "été! met  z. 12"]
+    want = encoder.plain(again)
+    assert encoder.encode(texts) == encoder.plain(texts)
+    encoder.encode(["stops Words. Words, Words met 12 été!  z. before\nWords été", "met", "été."])
+    encoder.tokenizer = encoder.words = None
+    assert encoder.encode(again) == want
+
+
+def test_cuts_beside_any_white_space_and_sign():
+    rng = random.Random(5)
+    parts = [*" \t\n\r\x0b\x0c\x1c\x1f\x7f\0\x85\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000\ufeff", "'ll", "'S", "\n\n", "  ", "word", "\xe9t\xe9"]
+    parts += [*"aZ0'\".,-_<|\xe9\xd7\xf7\xff\xb5\xaa\xc0\xad\u0100\u0430\u05d0\u0663\u30a2\xb2\u2167\u20ac\u201c\u2026\u0301\u20dd\U0001f600"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(6000)]
+    encoder = tokens.PieceEncoder(PATH, keep=700)
+    for i in range(0, len(texts), 300):
+        assert encoder.encode(texts[i : i + 300]) == encoder.plain(texts[i : i + 300])
+    assert max(map(len, encoder.known)) <= 64 and len(encoder.known) == len(encoder.ids) == len(encoder.uses)
+
+
+def test_long_pieces_are_not_kept_and_kept_ones_are_bounded():
+    encoder = tokens.PieceEncoder(PATH, keep=100)
+    for i in range(20):
+        texts = [f"often {'x' * 70}{i} often", *(f"once{i}q{j}" for j in range(60))]
+        assert encoder.encode(texts) == encoder.plain(texts)
+        assert len(encoder.known) <= 100 + 66 and not any(len(p) > 64 for p in encoder.known)
+    assert "often" in encoder.known and encoder.known[" often"] < len(encoder.ids)
