@@ -69,7 +69,7 @@ def contrasted(observations: DataFrame, values: DataFrame, hours: int) -> DataFr
     trend = inference.time_trend(own.where("value IS NOT NULL"), "kind", "start_time", "value", ["value"])
     enough = F.least("moves_measured", "controls_measured") >= 2
     tested = F.least("moves", "controls") > 0
-    share = lambda a, b: F.when(tested, F.col(a) / F.col(b))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     rows = rows.join(trend.select("kind", "drift"), "kind", "left").withColumns({"move_share": share("moves_with", "moves"), "control_share": share("controls_with", "controls"), "tested": tested})
     rows = rows.withColumns({c: F.when(tested & enough, F.col(c)) for c in ("move_mean", "control_mean")})
     return rows.withColumns({

@@ -104,3 +104,11 @@ def test_a_planted_condition_stands_out(spark):
     found = {r.kind: r for r in profiles.move_profile(spark.createDataFrame(windows, WINDOWS), spark.createDataFrame(observed, OBSERVED), 6, rounds=500).collect()}
     assert found["level"].stands_out and not found["noise"].stands_out
     assert found["drift"].drifts and not found["drift"].stands_out
+
+
+def test_share_of_the_role_that_has_windows(spark):
+    windows = spark.createDataFrame([("control", "a", hour(3 * i), hour(3 * i + 3)) for i in range(1, 5)], WINDOWS)
+    observed = spark.createDataFrame([("k", hour(4), hour(4), 1.0), ("other", hour(7), hour(7), 1.0), ("k", hour(14), hour(14), 1.0), ("other", hour(1), hour(15), 1.0)], OBSERVED)
+    made = {r.kind: r for r in profiles.contrast(windows, observed, 3).collect()}
+    assert (made["k"].moves, made["k"].controls, made["k"].controls_with, made["k"].tested) == (0, 2, 1, False)
+    assert made["k"].control_share == 0.5 and made["k"].move_share is None and made["k"].enrichment is None
